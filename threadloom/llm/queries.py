@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language_id, media, mixing, sharding, token_store, toxicity
+from threadloom.llm import language_id, line_dedup, media, mixing, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -41,7 +45,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_mix_sources, op5_media_columns, op8_token_store, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_mix_sources, op5_media_columns, op8_token_store, op9_toxicity, op10_sharding)}
 
 
 OP4_SQL = r"""
