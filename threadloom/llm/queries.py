@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language_id, line_dedup, media, mixing, sharding, token_store, toxicity
+from threadloom.llm import language_id, line_dedup, media, mixing, ngram_jaccard, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_mix_sources, op5_media_columns, op8_token_store, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op8_token_store, op9_toxicity, op10_sharding)}
 
 
 OP4_SQL = r"""
