@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language_id, line_dedup, media, mixing, ngram_jaccard, sharding, token_store, toxicity
+from threadloom.llm import decontaminate, language_id, line_dedup, media, mixing, ngram_jaccard, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op8_token_store, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op8_token_store, op9_toxicity, op10_sharding)}
 
 
 OP4_SQL = r"""
