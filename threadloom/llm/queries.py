@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontaminate, language_id, line_dedup, media, mixing, ngram_jaccard, sharding, token_store, toxicity
+from threadloom.llm import decontaminate, language_id, line_dedup, lm_scoring, media, mixing, ngram_jaccard, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -53,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op8_token_store, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op7_lm_scoring, op8_token_store, op9_toxicity, op10_sharding)}
 
 
 OP4_SQL = r"""
