@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import crc_mod
 
-DIM_BITS = 16
+DIM_BITS = 15
 DIM = 1 << DIM_BITS
 MAX_N = 4
-#: Bounds of the training sample: texts a language, of these landmarks, and languages (the most frequent).
-SAMPLE_PER_LANGUAGE = 240
-LANDMARKS_PER_LANGUAGE = 80
-MAX_LANGUAGES = 400
+#: Bounds of the training sample: texts a language, landmarks in all, and languages (the most frequent).
+SAMPLE_PER_LANGUAGE = 200
+LANDMARKS = 320
+MAX_LANGUAGES = 200
 RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
@@ -78,18 +78,28 @@ class LanguageModel:
         return said
 
 
-def fit_kernel_ridge(present: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks_per_language: int = LANDMARKS_PER_LANGUAGE) -> LanguageModel:
-    """present: texts x DIM of 0 and 1, float32. Ties between languages later go to the first by code point."""
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of unit length from packed bits."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8)).reshape(len(bits), DIM).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+    return x
+
+
+def fit_kernel_ridge(bits: list[bytes], labels: list[str], ridge: float = RIDGE, landmarks: int = LANDMARKS) -> LanguageModel:
+    """bits: packed presence of each text. Memory: the landmarks' vectors and one batch beside the packed bits.
+
+    Ties between languages later go to the first by code point.
+    """
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((DIM, 0), dtype=np.float32))
     y = np.array([languages.index(x) for x in labels])
-    unit = present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1.0))
-    marks = unit[np.concatenate([np.flatnonzero(y == k)[:landmarks_per_language] for k in range(len(languages))])]
+    each = max(1, landmarks // len(languages))
+    marks = _unit([bits[i] for k in range(len(languages)) for i in np.flatnonzero(y == k)[:each]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm to the power -1/2 on its range
-    features = (unit @ marks.T).astype(np.float64) @ root
+    features = np.concatenate([(_unit(bits[at : at + BATCH]) @ marks.T).astype(np.float64) @ root for at in range(0, len(bits), BATCH)])
     targets = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     w = np.linalg.solve(features.T @ features + ridge * len(y) * np.eye(features.shape[1]), features.T @ targets)
     return LanguageModel(languages, np.ascontiguousarray(marks.T @ (root @ w).astype(np.float32), dtype=np.float32))
@@ -111,7 +121,7 @@ def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return fit_kernel_ridge(np.zeros((0, DIM), dtype=np.float32), [])
+        return fit_kernel_ridge([], [])
     span = float(2**63)
     edge = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * sample_per_language / r["count"]) * 2 * span - span)])
     near = rows.where(F.col("h").cast("double") <= edge[F.col("lang")])
@@ -121,9 +131,7 @@ def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -
         own = taken.setdefault(r["lang"], [])
         if len(own) < sample_per_language:
             own.append(bytes(r["bits"]))
-    labels = [k for k, v in taken.items() for _ in v]
-    present = np.unpackbits(np.frombuffer(b"".join(b for v in taken.values() for b in v), dtype=np.uint8)).reshape(len(labels), DIM).astype(np.float32)
-    return fit_kernel_ridge(present, labels)
+    return fit_kernel_ridge([b for v in taken.values() for b in v], [k for k, v in taken.items() for _ in v])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
