@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -34,13 +35,13 @@ MAGIC = b"TLPACK01"
 FRAME_BYTES = 1 << 17
 #: Chunk sizes in ids: least, mean of the rolling hash's cuts, most.
 LEAST, MEAN_BITS, MOST = 256, 10, 4096
-SPAN = 8
+SPAN = 4
 _STEP = 0x9E3779B97F4A7C15
 
 
 def _id_weights(n: int = 1 << 16) -> np.ndarray:
     x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
 
 
 _WEIGHTS = _id_weights()
@@ -54,8 +55,8 @@ def cut_points(ids: np.ndarray) -> list[int]:
     w = _WEIGHTS[ids & 0xFFFF]
     h = w.copy()
     for j in range(1, SPAN):
-        h[j:] += w[:-j] * np.uint64(pow(_STEP, j, 1 << 64))
-    candidates = np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + 1
+        h[j:] += w[:-j] * np.uint32(pow(_STEP, j, 1 << 32))
+    candidates = np.flatnonzero(h < np.uint32(1 << (32 - MEAN_BITS))) + 1
     ends, start = [], 0
     for c in candidates.tolist():
         while c - start > MOST:
@@ -73,7 +74,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
 
 
 def chunk_hash(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(ids.astype("<u4", copy=False).tobytes(), digest_size=16).digest()
 
 
 def merkle_root(hashes: list[bytes]) -> bytes:
@@ -162,10 +163,12 @@ class Encoder:
     once, letters by the library's model alone, the rest by the whole tokenizer; the result is that of encoding the text.
     """
 
-    _DOUBLE = re.compile(r"\s\s")
+    #: White space but for the space and the line feed, and neighbours that make a break depend on more than one character.
+    _OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, most_pieces: int = 350_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -186,15 +189,20 @@ class Encoder:
         return any(s in text for s in self._special)
 
     def model_ids(self, letters: str) -> bytes:
-        found = [t.id for t in self._model.tokenize(letters)]
-        return struct.pack(f"<{len(found)}I", *found)
+        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out, feed, first, later = [], self._first["\n"], self._first.__getitem__, self._later.__getitem__
         for t in texts:
-            pieces = t.split(" ") if not self._DOUBLE.search(t) else self._SAFE.split(t)
-            lead = self._first[pieces[0]]
-            out.append(lead + b"".join(map(self._later.__getitem__, pieces[1:])))
+            if any(c in t for c in self._OTHER_SPACE) or any(c in t for c in self._JOINED_SPACE) or self.special_in(t):
+                pieces = self._SAFE.split(t)
+                out.append(self._first[pieces[0]] + b"".join(map(later, pieces[1:])))
+            else:
+                lines = []
+                for line in t.split("\n"):
+                    pieces = line.split(" ")
+                    lines.append(first(pieces[0]) + b"".join(map(later, pieces[1:])))
+                out.append(feed.join(lines))
             self._later.age()
             self._first.age()
         return out
@@ -217,22 +225,16 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         data = self._old.get(piece)
         if data is None:
-            data = self._learn(piece)
+            if piece.isalpha():
+                lead = self._ascii_lead + piece if piece.isascii() else (self._lead + piece).encode().decode("latin-1").translate(self._letters)
+                data = self._owner.model_ids(lead)
+            elif piece and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                data = self[piece[:-1]] + self.other[piece[-1]]
+            else:
+                data = self._owner.whole(self._lead + piece)
         self[piece] = data
         return data
 
-    def _learn(self, piece: str) -> bytes:
-        if piece.isalpha():
-            if piece.isascii():
-                return self._owner.model_ids(self._ascii_lead + piece)
-            return self._owner.model_ids((self._lead + piece).encode().decode("latin-1").translate(self._letters))
-        if piece and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return self[piece[:-1]] + self.other[piece[-1]]
-        head, feed, rest = piece.partition("\n")
-        if feed and head and rest and not head[-1].isspace() and not rest[0].isspace() and not self._owner.special_in(piece):
-            return self[head] + self.other["\n"] + self.other[rest]
-        return self._owner.whole(self._lead + piece)
-
 
 _encoders: dict[str, Encoder] = {}
 
