@@ -189,17 +189,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     return found
 
 
+def _without_matches(shared, threshold: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.matches(t, threshold) for t in texts], dtype=bool)
+
+    return clean
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, all columns unchanged, that hold no copy of an item."""
     columns = docs.columns
     kept = docs
     for block in prepared_blocks(docs.select(F.col(text_col).alias("text")), benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.matches(t, threshold) for t in texts], dtype=bool)
-
+        clean = _without_matches(docs.sparkSession.sparkContext.broadcast(block), threshold)
         place = F.struct(*[kept[c] for c in columns]).alias("__doc")
         kept = kept.select(place, clean(kept[text_col]).alias("__clean")).where("__clean").select("__doc.*")
     return kept
