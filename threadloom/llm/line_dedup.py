@@ -122,6 +122,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return marked.where(F.lit(False)).select("gpos")
     named = materialise(reduce(DataFrame.unionByName, named), "line-named")
     firsts = named.groupBy("m", "r1", "r2").agg(F.min("start").alias("earliest"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").drop("n_same")
+    firsts = materialise(firsts, "line-firsts")  # read back, it has no partitioning that would keep Spark from splitting a hot window
     later = named.join(firsts, ["m", "r1", "r2"]).where("start > earliest")
     return later.select(F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("gpos")).distinct()
 
