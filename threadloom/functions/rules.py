@@ -1,0 +1,49 @@
+"""Text rules as data, compiled to columns: ordered first-match classes and sets of labels."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import functions as F
+from pyspark.sql.column import Column
+
+
+@dataclass(frozen=True)
+class Rule:
+    label: str
+    pattern: str  # a regular expression that is searched for
+
+
+def first_match(text: Column, rules: Sequence[Rule], otherwise: str) -> Column:
+    """Label of the first rule whose pattern is found; a null text matches none."""
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for rule in rules:
+        found = found.when(F.regexp_like(text, F.lit(rule.pattern)), rule.label)
+    return found.otherwise(otherwise)
+
+
+def all_matches(text: Column, rules: Sequence[Rule]) -> Column:
+    """Sorted distinct labels of all rules whose pattern is found."""
+    hits = [F.when(F.regexp_like(text, F.lit(r.pattern)), F.lit(r.label)) for r in rules]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+
+
+def any_and_none(text: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:
+    """Whether some wanted word stands in the text and no unwanted one."""
+    has = lambda ws: F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in ws], F.lit(False)) if ws else F.lit(False)
+    return has(include) & ~has(exclude)
+
+
+# Marks of advertising, and of text that holds nothing to read.
+SPAM = r"(加微信|加VX|加vx|代刷|兼职日结|点击链接|https?://\S+\s*$)"
+GARBLED = r"(?U)^[\W_]+$"
+
+
+def looks_like_spam(text: Column) -> Column:
+    return F.coalesce(F.regexp_like(text, F.lit(SPAM)), F.lit(False))
+
+
+def looks_garbled(text: Column) -> Column:
+    """Only signs and underscores, in any script."""
+    return F.coalesce(F.regexp_like(text, F.lit(GARBLED)), F.lit(True))
