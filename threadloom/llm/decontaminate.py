@@ -25,6 +25,7 @@ THRESHOLD = 0.5
 BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -57,6 +58,7 @@ class Block:
     items: list[np.ndarray]
     vocabulary: dict[str, int]
     grams: np.ndarray  # sorted distinct codes
+    sizes: tuple[int, ...] = (N,)
     seeds: np.ndarray | None = None  # sorted codes
     places: dict[int, list[tuple[int, int]]] | None = None  # seed code: (item, place)
 
@@ -64,24 +66,31 @@ class Block:
     def of(rows: list[tuple[object, str | None]]) -> Block:
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)], dtype=np.int64) for _, t in rows]
-        block = Block([i for i, _ in rows], items, vocabulary, np.zeros(0, dtype=np.int64))
-        codes = [block.codes(x)[0] for x in items]
+        sizes = tuple(sorted({min(N, len(x)) for x in items} - {0}))
+        block = Block([i for i, _ in rows], items, vocabulary, np.zeros(0, dtype=np.int64), sizes)
+        codes = [block.codes(x, (min(N, len(x)),))[0] for x in items if len(x)]
         block.grams = np.unique(np.concatenate([*codes, block.grams]))
         return block
 
-    def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and places of the n-grams whose words are all in the vocabulary; a shorter item is one n-gram."""
-        base = len(self.vocabulary) + 1
-        if not 0 < len(ids):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        padded = np.concatenate([ids, np.zeros(max(0, N - len(ids)), dtype=np.int64)])
-        code, whole = np.zeros(len(padded) - N + 1, dtype=np.int64), np.ones(len(padded) - N + 1, dtype=bool)
-        for j in range(N):
-            part = padded[j : len(padded) - N + 1 + j]
-            code = code * base + part
-            whole &= part != 0
-        at = np.flatnonzero(whole)
-        return code[at], at
+    def codes(self, ids: np.ndarray, sizes: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed codes and places of the n-grams whose words are all in the vocabulary, of the sizes that items have.
+
+        Items shorter than N words are one n-gram of their own size. Two n-grams of one code only cost an alignment.
+        """
+        codes, places = [], []
+        for n in sizes if sizes is not None else self.sizes:
+            if len(ids) < n:
+                continue
+            code, whole = np.full(len(ids) - n + 1, n, dtype=np.uint64), np.ones(len(ids) - n + 1, dtype=bool)
+            for j in range(n):
+                part = ids[j : len(ids) - n + 1 + j]
+                code = (code + part.astype(np.uint64)) * _STEP
+                code ^= code >> np.uint64(29)
+                whole &= part != 0
+            at = np.flatnonzero(whole)
+            codes.append(code[at].view(np.int64))
+            places.append(at)
+        return (np.concatenate(codes), np.concatenate(places)) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
     def word_ids(self, text: str | None) -> np.ndarray:
         found = words(text)
@@ -97,7 +106,7 @@ class Block:
         """Of each two neighbouring n-grams the rarer in the corpus; a lone n-gram always."""
         self.places = {}
         for k, item in enumerate(self.items):
-            codes, at = self.codes(item)
+            codes, at = self.codes(item, (min(N, len(item)),)) if len(item) else self.codes(item)
             rank = [(counts.get(int(c), 0), int(c)) for c in codes]
             chosen = {min((i, i + 1), key=lambda j: rank[j]) for i in range(len(codes) - 1)} or set(range(len(codes)))
             for j in chosen:
