@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -54,6 +57,15 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")) % n
 
 
+def give_back() -> None:
+    """Called at the end of a task: workers serve many tasks, so memory that this one no longer needs goes back at once."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def utf8(text: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")

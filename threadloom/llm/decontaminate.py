@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import give_back
+
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least share of an item's full alignment score that counts as a copy of it.
@@ -169,6 +171,7 @@ def prepared_blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BL
                     np.add.at(total, np.searchsorted(block.grams, own), 1)
             some = np.flatnonzero(total)
             yield pd.DataFrame({"gram": block.grams[some], "n": total[some]})
+            give_back()
 
         counts = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         block.choose_seeds({r["gram"]: r["n"] for r in counts.collect()})  # at most the block's n-grams

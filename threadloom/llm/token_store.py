@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fresh_path, materialise
+from threadloom.llm.common import fresh_path, give_back, materialise
 from threadloom.llm.files import Ranges, Writer, make_dir, remove_dir
 
 END_ID = 2
@@ -168,7 +168,7 @@ class Encoder:
     _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 100_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -288,6 +288,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *
                 yield frame
         if pack:
             pack.close()
+        give_back()
 
     drafts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, f"doc_id {id_type}, {RECIPE}"), "token-drafts")
     uses = drafts.select("uid", "pack", F.posexplode("refs").alias("seq", "ref")).select("uid", "pack", "seq", "ref.*")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import crc_mod, materialise
+from threadloom.llm.common import crc_mod, give_back, materialise
 
 #: Bounds of the labelled sample that the classifier is fitted on.
 SAMPLE_TOXIC = 3_000
@@ -67,7 +67,7 @@ class Tokens(dict):
                 folded = _NON_LETTER.sub("", token.lower().translate(LEET))
                 if not flags & HIT and (self.known(folded) or self.known(_NON_LETTER.sub("", word))):
                     flags |= HIDDEN_HIT
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = flags
         return flags
@@ -309,6 +309,8 @@ def _scorer(docs: DataFrame, model: ToxicityModel | None, kept: list[str], text_
         for pdf in batches:
             scores = model.score(list(pdf[text_col]), tokens) if model and len(pdf) else np.zeros(len(pdf))
             yield pd.DataFrame({**{c: pdf[c].to_numpy() for c in kept}, "score": scores})
+        del tokens
+        give_back()
 
     return run
 
@@ -331,5 +333,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float
         tokens = Tokens(model.lexicon) if model else None
         for texts in batches:
             yield pd.Series(model.score(list(texts), tokens) if model and len(texts) else np.zeros(len(texts)))
+        del tokens
+        give_back()
 
     return docs.select(place.alias("__doc"), scored(docs["text"]).alias("__score")).where(F.col("__score") < threshold).select("__doc.*")
