@@ -204,7 +204,9 @@ class ToxicityModel:
 def fit(texts_features: np.ndarray, labels: np.ndarray, weight: np.ndarray, lexicon: frozenset[str], folds: int = 4) -> ToxicityModel:
     """Trees on all rows; calibration on the predictions of trees that did not see the row."""
     y = labels.astype(float)
-    fold = np.arange(len(y)) % folds
+    fold = np.zeros(len(y), dtype=int)
+    for label in (0, 1):  # dealt within each label, else the order of rows could leave a label out of the others
+        fold[labels == label] = np.arange(int((labels == label).sum())) % folds
     out = np.zeros(len(y))
     for k in range(folds):
         seen = fold != k
