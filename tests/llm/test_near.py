@@ -138,3 +138,32 @@ def test_copies_of_items(spark):
     clean = DC.decontaminated(df, bench)
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [4, 5, 6, 7]
     assert DC.contaminated(frame(spark, []), bench).count() == 0 and DC.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_copies_with_edits_everywhere_against_full_alignment(spark):
+    rng = np.random.default_rng(8)
+    items = [words(rng, n, 400) for n in (15, 16, 24, 31, 40, 7)] + [["w1", "w2", "w1", "w2", "w1", "w3"]]
+    rows = []
+    for item in items:
+        for every in (2, 3, 4):
+            cut = lambda k, every=every: k % every == every - 1
+            changed = ["zz" if cut(k) else w for k, w in enumerate(item)]
+            longer = [x for k, w in enumerate(item) for x in ([w, "zz"] if cut(k) else [w])]
+            shorter = [w for k, w in enumerate(item) if not cut(k)]
+            rows += [words(rng, 30, 400) + t + words(rng, 30, 400) for t in (changed, longer, shorter)]
+        rows.append([x for w in item for x in (w, "zz")])
+        rows += [list(item), words(rng, 20, 400) + item[: len(item) // 2 + 1]]
+    rows += [words(rng, 200, 30) for _ in range(20)]
+    texts = frame(spark, [(d, " ".join(t)) for d, t in enumerate(rows)])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    number = {w: k for k, w in enumerate(sorted({w for t in [*items, *rows] for w in t} - {"zz"}), 1)} | {"zz": 0}
+    coded = lambda t: np.array([number[w] for w in t])
+    for threshold in (0.5, 0.7):
+        want = {}
+        for d, t in enumerate(rows):
+            for i, item in enumerate(items):
+                score = DC.align(coded(item), coded(t))[0] / (DC.MATCH * len(item))
+                if score >= threshold:
+                    want[(d, i)] = score
+        got = DC.contaminated(texts, bench, threshold=threshold).collect()
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)

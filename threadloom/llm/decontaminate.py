@@ -1,13 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of whole words.
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment of whole words.
 
-Test items come in blocks of bounded size, each held by every task; the corpus is only scanned, never shuffled. A first
-scan counts how often the corpus has each item n-gram. Of every two neighbouring n-grams of an item the rarer is a seed,
-so whatever four words in a row a text shares with an item, a seed lies in them, however common all of them are. Seeds
-in a text place an item on diagonals; the words there are aligned with the item, allowing changed, added and lost words.
+Test items come in blocks of bounded size, each held by every task; the corpus is only scanned, never shuffled. No copy
+that reaches the threshold is lost on the way to its alignment, wherever its words were edited:
+
+* A score of s needs s / MATCH matched words, so of an item's words only so many can go unmatched. A bit more than that
+  many are its seeds, those that fewest items hold; a text with too few of them (each counted as often as the item has it)
+  can't reach the threshold.
+* A stretch of text scores at most MATCH for each of its words that the item has, less one for each other word. Only
+  where this bound reaches the threshold is the text aligned with the item, allowing changed, added and lost words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +24,6 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import give_back
 
-N = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least share of an item's full alignment score that counts as a copy of it.
 THRESHOLD = 0.5
@@ -27,7 +31,6 @@ THRESHOLD = 0.5
 BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -54,93 +57,78 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Block:
-    """Items as word ids over their own vocabulary, their n-grams, and the seeds among these."""
+    """Items as word ids over their own vocabulary, and the items that have each word among their seeds."""
 
     ids: list
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    grams: np.ndarray  # sorted distinct codes
-    sizes: tuple[int, ...] = (N,)
-    seeds: np.ndarray | None = None  # sorted codes
-    places: dict[int, list[tuple[int, int]]] | None = None  # seed code: (item, place)
+    need: np.ndarray  # least score of each item
+    least: np.ndarray  # seeds of each item that a text must have
+    first: np.ndarray  # place in holders of the first item of each word id, and one more
+    holders: np.ndarray  # item places, by word
+    times: np.ndarray  # how often the word is among that item's seeds
 
     @staticmethod
-    def of(rows: list[tuple[object, str | None]]) -> Block:
+    def of(rows: list[tuple[object, str | None]], threshold: float) -> Block:
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)], dtype=np.int64) for _, t in rows]
-        sizes = tuple(sorted({min(N, len(x)) for x in items} - {0}))
-        block = Block([i for i, _ in rows], items, vocabulary, np.zeros(0, dtype=np.int64), sizes)
-        codes = [block.codes(x, (min(N, len(x)),))[0] for x in items if len(x)]
-        block.grams = np.unique(np.concatenate([*codes, block.grams]))
-        return block
-
-    def codes(self, ids: np.ndarray, sizes: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed codes and places of the n-grams whose words are all in the vocabulary, of the sizes that items have.
-
-        Items shorter than N words are one n-gram of their own size. Two n-grams of one code only cost an alignment.
-        """
-        codes, places = [], []
-        for n in sizes if sizes is not None else self.sizes:
-            if len(ids) < n:
-                continue
-            code, whole = np.full(len(ids) - n + 1, n, dtype=np.uint64), np.ones(len(ids) - n + 1, dtype=bool)
-            for j in range(n):
-                part = ids[j : len(ids) - n + 1 + j]
-                code = (code + part.astype(np.uint64)) * _STEP
-                code ^= code >> np.uint64(29)
-                whole &= part != 0
-            at = np.flatnonzero(whole)
-            codes.append(code[at].view(np.int64))
-            places.append(at)
-        return (np.concatenate(codes), np.concatenate(places)) if codes else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        held = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        for x in items:
+            held[np.unique(x)] += 1
+        need, least, triples = [], [], []
+        for k, x in enumerate(items):
+            need.append(threshold * MATCH * len(x))
+            matched = max(1, math.ceil(need[-1] / MATCH - 1e-9))
+            spare = max(0, len(x) - matched)  # words that a copy may lack
+            n = min(len(x), spare + 1 + len(x) // 4)
+            least.append(max(1, n - spare))
+            seeds, times = np.unique(x[np.lexsort((x, held[x]))[:n]], return_counts=True)
+            triples.append((seeds, np.full(len(seeds), k), times))
+        word, item, times = (np.concatenate(c).astype(np.int64) for c in zip(*triples, strict=True))
+        order = np.argsort(word, kind="stable")
+        first = np.searchsorted(word[order], np.arange(len(vocabulary) + 2))
+        return Block([i for i, _ in rows], items, vocabulary, np.array(need), np.array(least), first, item[order], times[order])
 
     def word_ids(self, text: str | None) -> np.ndarray:
         found = words(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in found), dtype=np.int64, count=len(found))
 
-    def among(self, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        if not len(table) or not len(codes):
-            return np.zeros(len(codes), dtype=bool)
-        return table[np.minimum(np.searchsorted(table, codes), len(table) - 1)] == codes
-
-    def choose_seeds(self, counts: dict[int, int]) -> None:
-        """Of each two neighbouring n-grams the rarer in the corpus; a lone n-gram always."""
-        self.places = {}
-        for k, item in enumerate(self.items):
-            codes, at = self.codes(item, (min(N, len(item)),)) if len(item) else self.codes(item)
-            rank = [(counts.get(int(c), 0), int(c)) for c in codes]
-            chosen = {min((i, i + 1), key=lambda j: rank[j]) for i in range(len(codes) - 1)} or set(range(len(codes)))
-            for j in chosen:
-                self.places.setdefault(int(codes[j]), []).append((k, int(at[j])))
-        self.seeds = np.array(sorted(self.places), dtype=np.int64)
-
-    def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the items of which the text has enough seeds."""
+        own, n = np.unique(ids[ids != 0], return_counts=True)
+        low, size = self.first[own], self.first[own + 1] - self.first[own]
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.minimum(self.times[at], np.repeat(n, size))
+        return np.flatnonzero(np.bincount(self.holders[at], weights=shared, minlength=len(self.items)) >= self.least)
+
+    def stretches(self, k: int, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Apart from each other, the stretches of text that hold every part whose words allow the score that item k needs."""
+        mark = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
+        mark[self.items[k]] = MATCH + 1
+        upto = np.concatenate(([0], np.cumsum(mark[ids] - 1)))
+        ends = np.flatnonzero(upto - np.minimum.accumulate(upto) >= self.need[k])
+        if not len(ends):
+            return []
+        m = len(self.items[k])
+        span = int((MATCH + 1) * m - self.need[k])  # a part with more words than this has too few of the item's
+        cuts = np.flatnonzero(np.diff(ends) > span)
+        lows, highs = ends[np.concatenate(([0], cuts + 1))] - span, ends[np.concatenate((cuts, [len(ends) - 1]))]
+        return [(max(0, int(a)), int(b)) for a, b in zip(lows, highs, strict=True)]
+
+    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) of the best copy of each item in the text that reaches the threshold."""
         ids = self.word_ids(text)
-        codes, at = self.codes(ids)
-        hit = np.flatnonzero(self.among(codes, self.seeds))
-        diagonals: dict[int, list[int]] = {}
-        for h in hit:
-            for item, place in self.places[int(codes[h])]:
-                diagonals.setdefault(item, []).append(int(at[h]) - place)
         found = []
-        for k, starts in diagonals.items():
+        for k in self.candidates(ids):
             item, best = self.items[k], None
-            m = len(item)
-            starts = sorted(set(starts))
-            while starts:  # neighbouring diagonals share one stretch of text
-                last = 0
-                while last + 1 < len(starts) and starts[last + 1] - starts[last] <= m:
-                    last += 1
-                low, high = max(0, starts[0] - m // 2), min(len(ids), starts[last] + m + m // 2)
-                starts = starts[last + 1 :]
+            for low, high in self.stretches(k, ids):
                 score, end_item, end_text = align(item, ids[low:high])
-                if score >= threshold * MATCH * m and (best is None or score > best[0]):
+                if score >= self.need[k] and (best is None or score > best[0]):
                     _, _, back = align(item[:end_item][::-1], ids[low : low + end_text][::-1])
                     best = (score, low + end_text - back, low + end_text)
             if best:
-                found.append((k, best[0] / (MATCH * m), best[1], best[2]))
+                found.append((int(k), best[0] / (MATCH * len(item)), best[1], best[2]))
         return found
 
 
@@ -153,29 +141,12 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list]:
         yield sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=str)
 
 
-def prepared_blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
-    """Blocks with seeds chosen by the corpus counts of their n-grams, one scan of the documents each."""
+def prepared_blocks(benchmark: DataFrame, threshold: float, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
+    """The blocks that hold any word."""
     for rows in _blocks(benchmark, block_chars):
-        block = Block.of(rows)
-        if not len(block.grams):
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = shared.value
-            total = np.zeros(len(block.grams), dtype=np.int64)
-            for pdf in batches:
-                for text in pdf["text"]:
-                    codes, _ = block.codes(block.word_ids(text))
-                    own = codes[block.among(codes, block.grams)]
-                    np.add.at(total, np.searchsorted(block.grams, own), 1)
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": block.grams[some], "n": total[some]})
-            give_back()
-
-        counts = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        block.choose_seeds({r["gram"]: r["n"] for r in counts.collect()})  # at most the block's n-grams
-        yield block
+        rows = [(i, t) for i, t in rows if words(t)]
+        if rows:
+            yield Block.of(rows, threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -188,23 +159,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fields = f"doc_id {dict(own.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, score double, first_word long, end_word long"
     found = own.sparkSession.createDataFrame([], fields)
-    for block in prepared_blocks(own, benchmark, block_chars):
+    for block in prepared_blocks(benchmark, threshold, block_chars):
         shared = own.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             block = shared.value
             for pdf in batches:
-                rows = [(d, block.ids[k], score, a, b) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, score, a, b in block.matches(t, threshold)]
+                rows = [(d, block.ids[k], score, a, b) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, score, a, b in block.matches(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
+            give_back()
 
         found = found.union(own.mapInPandas(match, fields))
     return found
 
 
-def _without_matches(shared, threshold: float):
+def _without_matches(shared):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.matches(t, threshold) for t in texts], dtype=bool)
+        return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
 
     return clean
 
@@ -213,8 +185,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float =
     """The rows of docs, all columns unchanged, that hold no copy of an item."""
     columns = docs.columns
     kept = docs
-    for block in prepared_blocks(docs.select(F.col(text_col).alias("text")), benchmark, block_chars):
-        clean = _without_matches(docs.sparkSession.sparkContext.broadcast(block), threshold)
+    for block in prepared_blocks(benchmark, threshold, block_chars):
+        clean = _without_matches(docs.sparkSession.sparkContext.broadcast(block))
         place = F.struct(*[kept[c] for c in columns]).alias("__doc")
         kept = kept.select(place, clean(kept[text_col]).alias("__clean")).where("__clean").select("__doc.*")
     return kept
