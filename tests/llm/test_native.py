@@ -173,3 +173,11 @@ def test_lines_of_nothing(spark):
     long = [(i, "\n".join(f"line {k} of the long text" for k in range(400)), "s") for i in (1, 2)]
     got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.line_decisions(docs(spark, long)).collect()}
     assert got == {1: 0, 2: 400}
+
+
+def test_short_lines_that_recur_go_by_default(spark):
+    rows = [(d, f"own line {d} of this text\n{'all rights reserved here'}\nyes\nother {d} text", "s") for d in range(50)]
+    rows += [(60, "yes\nno", "s"), (61, "one two\nthree", "s"), (62, "x\none two\nthree", "s")]
+    got = {r["doc_id"]: list(r["deleted"]) for r in line_dedup.line_decisions(docs(spark, rows)).collect() if r["n_deleted"]}
+    assert got == brute_lines([r[:2] for r in rows], line_dedup.MIN_WORDS)
+    assert all(1 in got[d] for d in range(1, 50)) and 0 not in got and 60 not in got and got[62] == [1, 2]

@@ -9,7 +9,7 @@ A run counts as repeated from ``min_words`` words on. Every such run is the unio
 shortest stretch of ``min_words`` words forward, and the same backward. A window of m lines is named by the ranks of its
 first and last 2**floor(log2 m) lines, so doubling ends at the least power of two that the longest window needs, however
 long the documents are. A line goes if a window over it has occurred before; stretches of such lines are the maximal
-repeated runs.
+repeated runs. The bound is a few words, so that a single line counts; shorter lines go only with their neighbours.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql.column import Column
 
 from threadloom.llm.common import WORD, materialise
 
-MIN_WORDS = 40
+MIN_WORDS = 3
 
 
 def _line_structs(text: Column) -> Column:
@@ -43,7 +43,8 @@ def line_sequence(docs: DataFrame, id_col: str, text_col: str, kept: list[str])
     Documents of one id follow each other by their lines' hash.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), _line_structs(F.col(text_col)).alias("lines"), *kept)
-    ordered = own.withColumn("tie", F.xxhash64("lines")).orderBy("doc_id", "tie").drop("tie")
+    hashed = materialise(own.withColumn("tie", F.xxhash64("lines")), "line-hashes")  # the sort reads its input twice
+    ordered = hashed.orderBy("doc_id", "tie").drop("tie")
     return (
         ordered.select("doc_id", *kept, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
         .select("doc_id", *kept, "n", "i", "line.*", F.monotonically_increasing_id().alias("gpos"))
