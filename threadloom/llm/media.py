@@ -1,8 +1,8 @@
 """Media columns: payloads stored once under their digest in tar shards, rows that carry digest, offset and length.
 
-A payload becomes an 8-bit grey PNG of 64 samples a row. Each task drops the repeats it sees itself, the rest is dealt by
-digest, and the task that owns a digest writes it once. Header-only range reads fill the metadata columns; full range
-reads give the payload back.
+A payload becomes an 8-bit grey PNG of 64 samples a row. Digests alone are shuffled, to choose one owner for each among the
+input partitions that hold it; the owner's task encodes and writes it. Header-only range reads fill the metadata columns;
+full range reads give the payload back.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from threadloom.llm.common import fresh_path, materialise, utf8
-from threadloom.llm.files import Ranges, Writer, make_dir
+from threadloom.llm.files import Ranges, Writer, make_dir, open_fs, remove_dir
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -30,7 +32,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 LEVEL = 4
 BLOCK = 512
-INDEX = "digest string, shard string, offset long, length long"
+INDEX = "digest binary, shard string, offset long, length long"
 
 
 def padded(data: bytes) -> bytes:
@@ -80,51 +82,98 @@ def payload_column(text: str) -> Column:
     return F.concat(data, F.unhex(F.repeat(F.lit("00"), pad.cast("int"))))
 
 
-def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stored form of each payload, once a task."""
-    seen: set[bytes] = set()
-    for pdf in batches:
-        for at in range(0, len(pdf), 512):
-            digests, stored = [], []
-            for text in pdf["text"].iloc[at : at + 512]:
-                payload = padded(text.encode("utf-8") if isinstance(text, str) else b"")
-                digest = hashlib.sha256(payload)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
-                    digests.append(digest.hexdigest())
-                    stored.append(encode_png(payload))
-            yield pd.DataFrame({"digest": digests, "stored": stored})
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, digest, part) of every row, by Spark's own functions; part: the input partition it came from."""
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.length(utf8(text_col)).cast("long").alias("n_bytes"),
+        F.unhex(F.sha2(payload_column(text_col), 256)).alias("digest"),
+        F.spark_partition_id().alias("part"),
+    )
+
+
+def _owned(root: str, part: int) -> set[bytes]:
+    """The digests that an input partition is to store."""
+    fs, path = open_fs(f"{root}/part={part}")
+    found: set[bytes] = set()
+    for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                found.update(pq.read_table(source, columns=["digest"])["digest"].to_pylist())
+    return found
+
+
+class _Shard:
+    """A tar file of stored payloads, made when the first is added."""
+
+    def __init__(self, root: str):
+        self._uri = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.tar"
+        self._out: Writer | None = None
+
+    def add(self, digest: bytes, payload: bytes) -> tuple[bytes, str, int, int]:
+        self._out = self._out or Writer(self._uri)
+        stored = encode_png(payload)
+        member = tarfile.TarInfo(f"{digest.hex()}.png")
+        member.size = len(stored)
+        self._out.write(member.tobuf(tarfile.USTAR_FORMAT))
+        place = (digest, self._uri, self._out.write(stored), len(stored))
+        self._out.write(bytes(-len(stored) % BLOCK))
+        return place
 
+    def close(self) -> None:
+        if self._out:
+            self._out.write(bytes(2 * BLOCK))
+            self._out.close()
 
-def store(docs: DataFrame, root: str | None = None, *, text_col: str = "text") -> DataFrame:
+
+def store(docs: DataFrame, rows: DataFrame, root: str | None = None, *, text_col: str = "text") -> DataFrame:
     """Write the tar shards of all distinct payloads below ``root``; their index (digest, shard, offset, length).
 
-    A task that runs again writes a shard of another name, so a lost executor never damages one that is referred to.
+    ``rows``: the written ``digests`` of docs. Of them only digests are shuffled: each gets one owner, the least input
+    partition that holds it, and that partition's task encodes and writes it straight into its shard. Should a partition
+    hold other rows when it is read again, some digest is left without a file; such texts are dealt by digest and stored
+    then. A task that runs again writes a shard of another name, so a lost executor damages nothing that is referred to.
     """
     root = root or fresh_path(docs.sparkSession, "media")
     make_dir(root)
+    owners = rows.groupBy("digest").agg(F.min("part").alias("part"))
+    owners.repartition("part").write.partitionBy("part").parquet(f"{root}/owners")
+    texts = docs.select(F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, out, seen = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.tar", None, set()
+        owned, shard = _owned(f"{root}/owners", TaskContext.get().partitionId()), _Shard(root)
+        for pdf in batches:
+            found = []
+            for text in pdf["text"]:
+                payload = padded(text.encode("utf-8") if isinstance(text, str) else b"")
+                digest = hashlib.sha256(payload).digest()
+                if digest in owned:
+                    owned.remove(digest)
+                    found.append(shard.add(digest, payload))
+            yield pd.DataFrame(found, columns=["digest", "shard", "offset", "length"])
+        shard.close()
+
+    def write_left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        shard = _Shard(root)
         for pdf in batches:
             found = []
-            for digest, stored in zip(pdf["digest"], pdf["stored"], strict=True):
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                out = out or Writer(shard)
-                member = tarfile.TarInfo(f"{digest}.png")
-                member.size = len(stored)
-                out.write(member.tobuf(tarfile.USTAR_FORMAT))
-                found.append((digest, shard, out.write(bytes(stored)), len(stored)))
-                out.write(bytes(-len(stored) % BLOCK))
+            for digest, payload in zip(pdf["digest"], pdf["payload"], strict=True):
+                if bytes(digest) not in seen:
+                    seen.add(bytes(digest))
+                    found.append(shard.add(bytes(digest), bytes(payload)))
             yield pd.DataFrame(found, columns=["digest", "shard", "offset", "length"])
-        if out:
-            out.write(bytes(2 * BLOCK))
-            out.close()
+        shard.close()
 
-    kept = docs.select(F.col(text_col).alias("text")).mapInPandas(_payloads, "digest string, stored binary")
-    return materialise(kept.repartition("digest").mapInPandas(write, INDEX), "media-index")
+    index = materialise(texts.mapInPandas(write, INDEX), "media-index")
+    left = materialise(owners.select("digest").join(index.select("digest"), "digest", "left_anti"), "media-left")
+    if left.limit(1).count():
+        payload = payload_column(text_col)
+        again = docs.select(F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload")).join(left, "digest", "left_semi")
+        more = again.dropDuplicates(["digest"]).repartition("digest").mapInPandas(write_left, INDEX)
+        index = materialise(index.union(more), "media-index")
+    remove_dir(f"{root}/owners")
+    return index
 
 
 def metadata(index: DataFrame) -> DataFrame:
@@ -148,7 +197,7 @@ def describe(payload: bytes) -> str:
 
 def read_back(described: DataFrame) -> DataFrame:
     """From the index with metadata, per stored file: what the shard's bytes hold. Damage raises."""
-    fields = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
+    fields = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranges = Ranges()
@@ -158,8 +207,8 @@ def read_back(described: DataFrame) -> DataFrame:
                 stored = ranges.read(r.shard, r.offset, r.length)
                 payload = decode_png(stored)
                 said = hashlib.sha256(payload).hexdigest()
-                if said != r.digest or len(payload) != r.width * r.height:
-                    raise ValueError(f"{r.shard} at {r.offset}: stored bytes do not give digest {r.digest}")
+                if said != bytes(r.digest).hex() or len(payload) != r.width * r.height:
+                    raise ValueError(f"{r.shard} at {r.offset}: stored bytes do not give digest {bytes(r.digest).hex()}")
                 found.append((r.digest, len(payload), said, zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload), r.width, r.height))
             yield pd.DataFrame(found, columns=[f.split()[0] for f in fields.split(", ")])
 
@@ -173,7 +222,7 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     are; rows are never grouped, so a hot text is only a hot join key, which Spark splits. An empty table gives an empty
     table; other columns are not read.
     """
-    index = store(docs, text_col=text_col)
+    rows = materialise(digests(docs, id_col=id_col, text_col=text_col), "media-rows")
+    index = store(docs, rows, text_col=text_col)
     features = read_back(metadata(index)).join(index.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest")).drop("__digest")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(utf8(text_col)).cast("long").alias("n_bytes"), F.sha2(payload_column(text_col), 256).alias("digest"))
-    return rows.join(materialise(features, "media-features"), "digest").drop("digest")
+    return rows.drop("part").join(materialise(features, "media-features"), "digest").drop("digest")
