@@ -7,10 +7,11 @@ import zlib
 import numpy as np
 import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from threadloom.llm import media as ME
 from threadloom.llm import token_store as TS
-from threadloom.llm.common import fresh_path
+from threadloom.llm.common import Scratch, fresh_path
 from threadloom.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, start long, digest string, uid int"
@@ -56,6 +57,13 @@ def test_media_columns(spark):
     assert ME.media_columns(docs(spark, [])).count() == 0
 
 
+def test_payloads_that_moved_between_reads_are_stored(spark):
+    rows = rows_of(np.random.default_rng(5))
+    first, again = docs(spark, rows).repartition(5, "doc_id"), docs(spark, rows[::-1]).repartition(3, "text")
+    index = ME.store(again, ME.materialise(ME.digests(first), "media-rows")).collect()
+    assert sorted(bytes(r["digest"]) for r in index) == sorted({hashlib.sha256(ME.padded((t or "").encode())).digest() for _, t in rows})
+
+
 def expected_ids(texts):
     from tokenizers import Tokenizer
 
@@ -66,8 +74,9 @@ def expected_ids(texts):
 def test_token_store(spark):
     rows = rows_of(np.random.default_rng(1))
     root = fresh_path(spark, "tokens")
-    recipes = TS.recipes_in_order(TS.write_store(docs(spark, rows).repartition(3), tokenizer_file(), root), root)
-    got = TS.read_store(recipes, tokenizer_file(), with_ids=True).collect()
+    TS.write_store(docs(spark, rows).repartition(3), tokenizer_file(), root)
+    recipes = spark.read.parquet(f"{root}/recipes")
+    got = TS.read_store(spark, root, with_ids=True).collect()
     want = {}
     for (d, _), ids in zip(rows, expected_ids([t for _, t in rows]), strict=True):
         want.setdefault(d, []).append(ids)
@@ -89,8 +98,8 @@ def test_token_store(spark):
 
 def test_damage_is_noticed(spark):
     root = fresh_path(spark, "tokens")
-    recipes = TS.recipes_in_order(TS.write_store(docs(spark, [(1, "some words to keep " * 50)]), tokenizer_file(), root), root)
-    uri = recipes.first()["refs"][0]["uri"]
+    TS.write_store(docs(spark, [(1, "some words to keep " * 50)]), tokenizer_file(), root)
+    uri = spark.read.parquet(f"{root}/recipes").first()["refs"][0]["uri"]
     fs, path = pafs.FileSystem.from_uri(uri)
     with open(path, "rb") as f:
         data = bytearray(f.read())
@@ -98,7 +107,32 @@ def test_damage_is_noticed(spark):
     with open(path, "wb") as f:
         f.write(data)
     with pytest.raises(Exception):  # noqa: B017
-        TS.read_store(recipes, tokenizer_file()).collect()
+        TS.read_store(spark, root).collect()
+
+
+@pytest.mark.parametrize("fan", [2, 256])
+def test_lost_and_moved_recipes_are_noticed(spark, monkeypatch, fan):
+    monkeypatch.setattr(TS, "FAN", fan)
+    whole = TS.write_store(docs(spark, [(d, "text number %d" % d) for d in range(9)]), tokenizer_file())
+    assert TS.read_store(spark, whole).count() == 9
+    manifest, recipes = spark.read.parquet(f"{whole}/manifest"), spark.read.parquet(f"{whole}/recipes")
+    assert manifest.where("node = 0").orderBy(F.desc("level")).first()["documents"] == 9
+    other = manifest.withColumn("root", F.when(F.col("level") == 0, F.sha2("root", 256)).otherwise(F.col("root")))
+    for name, r, m in (("lost", recipes.where("nth <> 4"), manifest), ("moved", recipes.withColumn("start", F.col("start") + 1), manifest), ("other", recipes, other)):
+        root = fresh_path(spark, f"tokens-{name}")
+        r.write.partitionBy("part").parquet(f"{root}/recipes")
+        m.write.parquet(f"{root}/manifest")
+        with pytest.raises(ValueError, match="manifest"):
+            TS.read_store(spark, root)
+
+
+def test_scratch_goes_and_results_stay(spark):
+    with Scratch(spark, "try") as s:
+        kept = s.keep(spark.range(3), "kept")
+        found = s.result(kept.selectExpr("id * 2 AS id"))
+    assert sorted(r["id"] for r in found.collect()) == [0, 2, 4]
+    fs, path = pafs.FileSystem.from_uri(s.root)
+    assert fs.get_file_info(path).type == pafs.FileType.NotFound
 
 
 def test_cuts_follow_content():

@@ -2,11 +2,14 @@
 
 Tasks encode documents, cut each id stream into chunks where a rolling hash says so, and append the chunks that are new to
 them to a pack file of compressed frames. Chunks that several packs hold get one owner; the packs are then rewritten with
-owned chunks only, so each chunk is stored once. A document's recipe lists its chunk hashes under a Merkle root. Reading
-follows the recipes in pack order, checks every chunk and root, and gives the ids back.
-
-Pack file: frames, then the footer (little-endian u64 offset and u32 length a frame), then u32 frames and the magic.
-A frame is one zstd block of whole chunks, ids as little-endian u16, or u32 for larger vocabularies.
+owned chunks only, so each chunk is stored once. A document's recipe lists its chunk hashes under a Merkle root, with the
+document's number and the place of its first id. Reading follows the recipes, checks every chunk and root, rebuilds the
+manifest's tree from what it has read, and gives the ids back.
+
+A store is a folder. ``packs``: frames, then the footer (little-endian u64 offset and u32 length a frame), then u32 bytes
+an id, u32 frames and the magic; a frame is one zstd block of whole chunks, ids as little-endian u16, or u32 for larger
+vocabularies. ``recipes``: Parquet in ascending doc_id order, ``part`` by ``part``; this order is the store's order of
+documents, as packs hold a chunk once wherever it occurs. ``manifest``: the nodes of a Merkle tree over the documents.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ import zlib
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fresh_path, give_back, materialise
+from threadloom.llm.common import Scratch, fresh_path, give_back
 from threadloom.llm.files import Ranges, Writer, make_dir, remove_dir
 
 END_ID = 2
@@ -36,6 +40,8 @@ FRAME_BYTES = 1 << 17
 #: Chunk sizes in ids: least, mean of the rolling hash's cuts, most.
 LEAST, MEAN_BITS, MOST = 256, 10, 4096
 SPAN = 4
+#: Children of a node of the manifest's tree.
+FAN = 256
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -111,27 +117,28 @@ class PackWriter:
     def close(self) -> None:
         if self._frame:
             self._flush()
-        self._out.write(b"".join(struct.pack("<QI", *x) for x in self._table) + struct.pack("<I", len(self._table)) + MAGIC)
+        self._out.write(b"".join(struct.pack("<QI", *x) for x in self._table) + struct.pack("<II", np.dtype(self._width).itemsize, len(self._table)) + MAGIC)
         self._out.close()
 
 
 class PackReader:
     """Chunks by place, with a bounded cache of opened frames and footers."""
 
-    def __init__(self, width: str, frames: int = 96, footers: int = 64):
-        self._ranges, self._unzip, self._width = Ranges(), zstandard.ZstdDecompressor(), width
-        self._frames: OrderedDict[tuple[str, int], bytes] = OrderedDict()
-        self._tables: OrderedDict[str, np.ndarray] = OrderedDict()
+    def __init__(self, frames: int = 96, footers: int = 64):
+        self._ranges, self._unzip = Ranges(), zstandard.ZstdDecompressor()
+        self._frames: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
+        self._tables: OrderedDict[str, tuple[int, np.ndarray]] = OrderedDict()
         self._most = (frames, footers)
 
-    def _table(self, uri: str) -> np.ndarray:
+    def _table(self, uri: str) -> tuple[int, np.ndarray]:
+        """Bytes an id, and the frames' places."""
         if uri not in self._tables:
             size = self._ranges.size(uri)
-            n, magic = struct.unpack("<I8s", self._ranges.read(uri, size - 12, 12))
+            width, n, magic = struct.unpack("<II8s", self._ranges.read(uri, size - 16, 16))
             if magic != MAGIC:
                 raise ValueError(f"{uri} is not a pack file")
-            table = np.frombuffer(self._ranges.read(uri, size - 12 - 12 * n, 12 * n), dtype=[("at", "<u8"), ("n", "<u4")])
-            self._tables[uri] = table
+            table = np.frombuffer(self._ranges.read(uri, size - 16 - 12 * n, 12 * n), dtype=[("at", "<u8"), ("n", "<u4")])
+            self._tables[uri] = width, table
             if len(self._tables) > self._most[1]:
                 self._tables.popitem(last=False)
         return self._tables[uri]
@@ -141,11 +148,13 @@ class PackReader:
         if key in self._frames:
             self._frames.move_to_end(key)
         else:
-            where = self._table(uri)[frame]
-            self._frames[key] = self._unzip.decompress(self._ranges.read(uri, int(where["at"]), int(where["n"])))
+            width, table = self._table(uri)
+            data = self._unzip.decompress(self._ranges.read(uri, int(table[frame]["at"]), int(table[frame]["n"])))
+            self._frames[key] = np.frombuffer(data, dtype=f"<u{width}")
             if len(self._frames) > self._most[0]:
                 self._frames.popitem(last=False)
-        return np.frombuffer(self._frames[key], dtype=self._width, count=n, offset=at)
+        first = at // self._frames[key].itemsize
+        return self._frames[key][first : first + n]
 
 
 def _byte_letters() -> str:
@@ -249,15 +258,24 @@ def encoder(path: str) -> Encoder:
 RECIPE = "uid long, pack int, n_tokens long, root binary, refs array<struct<hash:binary,uri:string,frame:int,at:int,n:int>>"
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all rows into packs below ``root``; recipes (doc_id, uid, n_tokens, root, refs to final places).
+def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode all rows into a store below ``root`` (packs, recipes, manifest); the folder's URI.
 
-    uid tells rows apart whatever their ids, and orders them as the packs do. A task that runs again writes a pack of
-    another name. The recipes are written below ``root`` in ascending doc_id order by ``recipes_in_order``.
+    Recipes: doc_id, uid (tells rows apart whatever their ids), n_tokens, root, refs, nth (number of the document), start
+    (ids of all documents before it). A task that runs again writes a pack of another name.
     """
     spark = docs.sparkSession
     root = root or fresh_path(spark, "tokens")
-    loose, packs = f"{root}/loose", f"{root}/packs"
+    with Scratch(spark, "tokens") as scratch:
+        recipes = _packed(docs, tokenizer_path, root, scratch, end_id, id_col, text_col)
+        _in_order(recipes, root, scratch)
+        merkle_tree(_leaves(spark.read.parquet(f"{root}/recipes")), scratch).write.parquet(f"{root}/manifest")
+    return root
+
+
+def _packed(docs: DataFrame, tokenizer_path: str, root: str, scratch: Scratch, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+    """Write the packs; recipes (doc_id, uid, n_tokens, root, refs to final places)."""
+    loose, packs = f"{scratch.root}/loose", f"{root}/packs"
     make_dir(loose)
     make_dir(packs)
     id_type = dict(docs.dtypes)[id_col]
@@ -290,65 +308,88 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *
             pack.close()
         give_back()
 
-    drafts = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, f"doc_id {id_type}, {RECIPE}"), "token-drafts")
+    drafts = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, f"doc_id {id_type}, {RECIPE}"), "drafts")
     uses = drafts.select("uid", "pack", F.posexplode("refs").alias("seq", "ref")).select("uid", "pack", "seq", "ref.*")
     owners = uses.groupBy("hash").agg(F.min("pack").alias("pack"))
     owned = uses.select("hash", "pack", "uri", "frame", "at", "n").dropDuplicates(["hash", "pack"]).join(owners, ["hash", "pack"], "left_semi")
 
     def rewrite(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["frame", "at"])
-        uri, reader = f"{packs}/{key[0]:06d}-{uuid.uuid4().hex[:8]}.pack", PackReader(width, frames=2)
+        uri, reader = f"{packs}/{key[0]:06d}-{uuid.uuid4().hex[:8]}.pack", PackReader(frames=2)
         out = PackWriter(uri, width)
         places = [out.add(reader.ids(r.uri, r.frame, r.at, r.n)) for r in own.itertuples(index=False)]
         out.close()
         return pd.DataFrame({"hash": own["hash"].to_numpy(), "uri": uri, "frame": [p[0] for p in places], "at": [p[1] for p in places]})
 
     # A group is one pack's chunk list, no larger than an input split made it.
-    index = materialise(owned.groupBy("pack").applyInPandas(rewrite, "hash binary, uri string, frame int, at int"), "token-index")
+    index = scratch.keep(owned.groupBy("pack").applyInPandas(rewrite, "hash binary, uri string, frame int, at int"), "index")
+    remove_dir(loose)
     found = uses.select("uid", "seq", "hash", "n").join(index, "hash")
     refs = (
         found.repartitionByRange("uid")
         .groupBy("uid")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "uri", "frame", "at", "n"))).alias("refs"))
     )
-    recipes = drafts.drop("refs", "pack").join(refs, "uid", "left")
-    recipes = materialise(recipes, "token-recipes")
-    remove_dir(loose)
-    return recipes
+    return scratch.keep(drafts.drop("refs", "pack").join(refs, "uid", "left"), "recipes")
 
 
-def recipes_in_order(recipes: DataFrame, root: str) -> DataFrame:
-    """The recipes with ``start``, the number of ids of all rows before, written below ``root`` in ascending doc_id order.
+def _in_order(recipes: DataFrame, root: str, scratch: Scratch) -> None:
+    """Write the recipes below ``root`` in ascending doc_id order, with nth and start.
 
-    Rows of one doc_id go by Merkle root, then uid. Range partitions carry their sums, one number each, to the driver.
+    Rows of one doc_id go by Merkle root, then uid. Range partitions carry their counts, two numbers each, to the driver.
     """
-    spark = recipes.sparkSession
     order = ["doc_id", "root", "uid"]
     dealt = recipes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
-    dealt.write.parquet(f"{root}/ranges")
-    ranges = spark.read.schema(dealt.schema).parquet(f"{root}/ranges")
-    starts, upto = [], 0
-    for r in ranges.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
-        starts.append((r["part"], upto))
-        upto += r["n"]
-    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spark.createDataFrame(starts, "part int, part_start long")
-    return ranges.join(F.broadcast(offsets), "part").withColumn("start", F.col("part_start") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("part_start")
+    ranges = scratch.keep(dealt, "ranges")
+    firsts, nth, upto = [], 0, 0
+    for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        firsts.append((r["part"], nth, upto))
+        nth, upto = nth + r["rows"], upto + r["n"]
+    part = Window.partitionBy("part").orderBy(*order)
+    before = F.coalesce(F.sum("n_tokens").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = recipes.sparkSession.createDataFrame(firsts, "part int, first_nth long, first_start long")
+    numbered = (
+        ranges.join(F.broadcast(offsets), "part")
+        .withColumn("nth", F.col("first_nth") + F.row_number().over(part) - 1)
+        .withColumn("start", F.col("first_start") + before)
+    )
+    writer = numbered.drop("first_nth", "first_start").write
+    (writer.partitionBy("part") if nth else writer).parquet(f"{root}/recipes")  # without rows, partitions would lose the schema
 
 
-def manifest(ordered: DataFrame) -> DataFrame:
-    """Per range of the ordered recipes the Merkle root over its documents' roots: one row a range."""
-    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", "uid", "root"))), lambda x: F.hex(x["root"])))
-    return ordered.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(joined, 256).alias("range_root"))
+def _leaves(documents: DataFrame) -> DataFrame:
+    return documents.select("nth", F.lit(1).cast("long").alias("documents"), "n_tokens", "start", F.hex("root").alias("root"))
 
 
-def read_store(recipes: DataFrame, tokenizer_path: str, *, with_ids: bool = False) -> DataFrame:
-    """Follow the recipes: doc_id, uid, start, n_tokens, ids_crc32 (and ids). A damaged chunk, root or length raises."""
-    width = "<u2" if encoder(tokenizer_path).vocabulary() <= 1 << 16 else "<u4"
+def merkle_tree(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """(level, node, documents, n_tokens, start, root) of a hash tree over leaves numbered by nth, up to a single root.
+
+    A node covers the ``FAN`` next numbers of the level below, so no group exceeds that many rows.
+    """
+    found, below = [], leaves
+    while True:
+        children = F.transform(F.array_sort(F.collect_list(F.struct("nth", "start", "n_tokens", "root"))), lambda x: F.concat_ws("-", x["start"], x["n_tokens"], x["root"]))
+        nodes = below.groupBy(F.floor(F.col("nth") / FAN).cast("long").alias("node")).agg(
+            F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.sha2(F.concat_ws(",", children), 256).alias("root")
+        )
+        nodes = scratch.keep(nodes.select(F.lit(len(found)).alias("level"), "*"), "tree")
+        found.append(nodes)
+        if nodes.count() <= 1:
+            return reduce(DataFrame.union, found)
+        below = nodes.select(F.col("node").alias("nth"), "documents", "n_tokens", "start", "root")
+
+
+def read_store(spark: SparkSession, root: str, *, with_ids: bool = False) -> DataFrame:
+    """All documents of a store: doc_id, uid, nth, start, n_tokens, ids_crc32 (and ids), from its files alone.
+
+    A damaged chunk, document root or length raises, and so does a tree over what was read that differs from the manifest:
+    a recipe that is lost, added or moved changes it.
+    """
+    recipes = spark.read.parquet(f"{root}/recipes")
     id_type = dict(recipes.dtypes)["doc_id"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = PackReader(width)
+        reader = PackReader()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
@@ -361,24 +402,32 @@ def read_store(recipes: DataFrame, tokenizer_path: str, *, with_ids: bool = Fals
                     hashes.append(h)
                     parts.append(ids)
                 ids = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
-                if merkle_root(hashes) != bytes(r.root) or len(ids) != r.n_tokens:
+                own = merkle_root(hashes)
+                if own != bytes(r.root) or len(ids) != r.n_tokens:
                     raise ValueError(f"recipe {r.uid} does not give its document back")
-                out.append((r.uid, r.start, len(ids), zlib.crc32(ids.tobytes()), *([ids.astype(np.int64)] if with_ids else [])))
-            frame = pd.DataFrame(out, columns=["uid", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+                out.append((r.uid, r.nth, r.start, len(ids), own, zlib.crc32(ids.tobytes()), *([ids.astype(np.int64)] if with_ids else [])))
+            frame = pd.DataFrame(out, columns=["uid", "nth", "start", "n_tokens", "root", "ids_crc32", *["ids"] * with_ids])
             frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield frame
 
-    near = recipes.select("doc_id", "uid", "start", "n_tokens", "root", "refs").repartitionByRange("uid").sortWithinPartitions("uid")
-    return near.mapInPandas(read, f"doc_id {id_type}, uid long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    # Packs follow the input's splits, and so does uid: in its order a task opens few packs, whatever the order of ids.
+    near = recipes.select("doc_id", "uid", "nth", "start", "n_tokens", "root", "refs").repartitionByRange("uid").sortWithinPartitions("uid")
+    fields = f"doc_id {id_type}, uid long, nth long, start long, n_tokens long, root binary, ids_crc32 long" + ", ids array<long>" * with_ids
+    with Scratch(spark, "token-rows") as scratch:
+        documents = scratch.result(near.mapInPandas(read, fields))
+        tree, manifest = merkle_tree(_leaves(documents), scratch), spark.read.parquet(f"{root}/manifest")
+        differing = tree.exceptAll(manifest).limit(1).count() + manifest.select(tree.columns).exceptAll(tree).limit(1).count()
+        if differing:
+            raise ValueError(f"the documents of {root} are not those of its manifest")
+    return documents.drop("root")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents, then per row doc_id, start, n_tokens, ids_crc32 as the files give them back.
 
-    Null texts count as empty and hold the end id alone. Rows with one doc_id follow each other by content; a null doc_id
-    comes first. Repeated rows share their chunks. An empty table gives an empty table; other columns are not read.
+    Null texts count as empty and hold the end id alone; very long ones are chunks like any other. Rows with one doc_id
+    follow each other by content; a null doc_id comes first. Repeated rows share their chunks. An empty table gives an
+    empty table; other columns are not read.
     """
-    root = fresh_path(docs.sparkSession, "tokens")
-    recipes = recipes_in_order(write_store(docs, tokenizer_path, root, end_id=end_id, id_col=id_col, text_col=text_col), root)
-    manifest(recipes).write.parquet(f"{root}/manifest")
-    return read_store(recipes, tokenizer_path).drop("uid")
+    root = write_store(docs, tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col)
+    return read_store(docs.sparkSession, root).select("doc_id", "start", "n_tokens", "ids_crc32")
