@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import columns as C
-from threadloom.functions.rules import Rule, all_matches, any_and_none, first_match, looks_garbled, looks_like_spam
+from threadloom.functions.rules import Rule, all_matches, any_and_none, comment_class, first_match, looks_garbled, looks_like_spam, short_circuit
 
 
 def one(spark, c, **values):
@@ -72,7 +72,7 @@ def test_rules(spark):
     assert many(spark, lambda v: first_match(v, rules, "none"), ["ab", "a", "c", None]) == ["b", "a", "none", "none"]
     assert many(spark, lambda v: all_matches(v, rules), ["ab", "c", None]) == [["a", "b"], [], []]
     assert many(spark, lambda v: any_and_none(v, ["a"], ["b"]), ["a", "ab", "c"]) == [True, False, False]
-    assert many(spark, looks_garbled, ["!!_", "你好", "a!", ""]) == [True, False, False, False]
+    assert many(spark, looks_garbled, ["!!_", "你好", "a!", "", " \n", None]) == [True, False, False, True, True, True]
     assert many(spark, looks_like_spam, ["加微信 123", "好"]) == [True, False]
 
 
@@ -84,3 +84,36 @@ def test_tiers_and_scores(spark):
 
 def test_fingerprint_keeps_empty_places(spark):
     assert one(spark, C.fingerprint(F.lit("a"), F.lit(None).cast("string"), F.lit("b"))) != one(spark, C.fingerprint(F.lit("a"), F.lit("b")))
+
+
+def test_url_parameters_last_wins_and_blanks_go(spark):
+    got = many(spark, C.url_parameters, ["http://h/p?a=1&a=2&b=&c=x%20y+z", "http://h/p", None, "http://h/?&=1&d"])
+    assert got == [{"a": "2", "c": "x y z"}, {}, {}, {"": "1"}]
+    assert many(spark, C.cookies, ["a=1; b=2;a=3; bad", "", None]) == [{"a": "3", "b": "2"}, {}, {}]
+
+
+def test_spam_garbled_and_short_circuit(spark):
+    texts = ["加微信 123", "看 https://x.y " + "长" * 80, "", "本内容由AI视频小助理生成", "___", "谢谢 https://a.b", "https://a.b", "普通的话"]
+    assert many(spark, looks_like_spam, texts) == [True, False, False, False, False, True, True, False]
+    said = [r and (r["status"], r["reason"]) for r in many(spark, short_circuit, texts)]
+    assert said == [("spam", "spam"), None, ("garbled", "empty"), ("machine_generated", "machine_generated"), ("garbled", "garbled"), None, ("spam", "spam"), None]
+
+
+def test_comment_classes(spark):
+    texts = ["太短", "这个是什么软件做的呀", "新手小白求带，怎么入门", "出售成品号低价", "人工智能以后会改变世界的", "今天天气很好我们走吧"]
+    got = [(r["state"], r["label"]) for r in many(spark, lambda v: comment_class(v, F.lit("bili")), texts)]
+    assert got == [("excluded", "太短"), ("target_a", "问工具/怎么做"), ("target_a", "问工具/怎么做"), ("excluded", "太短"), ("target_c", "AI相关观点/讨论"), ("excluded", "无提问")]
+    assert many(spark, lambda v: comment_class(v, F.lit("xhs"))["label"], ["要钱吗"]) == ["短疑问(购买/工具线索)"]
+
+
+def test_links_by_platform(spark):
+    row = spark.range(1).select(
+        C.derived_links(F.lit("xhs"), F.lit("u"), F.lit("n1"), F.lit("c1"), F.lit(""), F.lit(None).cast("string")).alias("x"),
+        C.derived_links(F.lit("bili"), F.lit("7"), F.lit("BV1"), F.lit("9"), F.lit("own"), F.lit("")).alias("b"),
+        C.derived_links(F.lit("dy"), F.lit("7"), F.lit("v"), F.lit("9"), F.lit(""), F.lit("")).alias("d"),
+        C.link_ids(F.lit("https://www.bilibili.com/video/BV1aa#reply12")).alias("ib"),
+        C.link_ids(F.lit("https://www.xiaohongshu.com/explore/ab12#comment-cd34")).alias("ix"),
+    ).first()
+    assert tuple(row["x"]) == ("https://www.xiaohongshu.com/user/profile/u", "https://www.xiaohongshu.com/explore/n1#comment-c1")
+    assert tuple(row["b"]) == ("own", "https://www.bilibili.com/video/BV1#reply9") and tuple(row["d"]) == ("", "")
+    assert tuple(row["ib"]) == ("BV1aa", "12") and tuple(row["ix"]) == ("ab12", "cd34")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.sources import readers, sinks
 from threadloom.streaming import incremental
@@ -17,15 +18,38 @@ def test_csv_to_records(spark, tmp_path):
     d = tmp_path / "cat" / "maker" / "title_BV1xx"
     d.mkdir(parents=True)
     (d / "comments_2026-01-01.csv").write_text('﻿comment_id,content,user_id,nickname\n1,"a, b\nc",u1,n1\n2,,u2,n2\n3,q,,用户1\n', encoding="utf-8")
-    got = readers.ingest(readers.read_csv(spark, str(d))).orderBy("ingest_seq").collect()
+    got = readers.ingest(readers.read_csv(spark, str(d))).orderBy("source_row_number").collect()
     assert [r["comment_text"] for r in got] == ["a, b\nc", "q"]
     assert [r["user_key"] for r in got] == ["id:bili:u1", None] and got[0]["platform"] == "bili"
-    again = readers.ingest(readers.read_csv(spark, str(d))).orderBy("ingest_seq").collect()
+    again = readers.ingest(readers.read_csv(spark, str(d))).orderBy("source_row_number").collect()
     assert [r["record_id"] for r in got] == [r["record_id"] for r in again]
+    assert [r["source_row_number"] for r in got] == [2, 4] and got[0]["user_homepage_url"] == "https://space.bilibili.com/u1"
     listed = readers.catalogue(readers.ingest(readers.read_csv(spark, str(d)))).first()
     assert (listed["creator"], listed["comments"]) == ("maker", 2)
 
 
+def test_csv_of_several_headers_and_encodings_binds_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("content,user_id\nhello,u1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("user_id,content,extra\nu2,world,x\n", encoding="utf-8-sig")
+    (tmp_path / "c.csv").write_bytes("user_id,content\nu3,你好世界\n".encode("gb18030"))
+    got = {r["user_id"]: (r["content"], r["extra"], r["_row"]) for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert got == {"u1": ("hello", "", 2), "u2": ("world", "x", 2), "u3": ("你好世界", "", 2)}
+    records = {r["user_id"]: r["comment_text"] for r in readers.ingest(readers.read_csv(spark, str(tmp_path))).collect()}
+    assert records == {"u1": "hello", "u2": "world", "u3": "你好世界"}
+
+
+def test_collected_pair_and_sources(spark):
+    contents = spark.createDataFrame([("v1", "old", 1), ("v1", "new", 2), ("", "other", 3)], "video_id string, title string, seq int")
+    comments = spark.createDataFrame([("c1", "v1", "hi", "0", "3")], "comment_id string, video_id string, content string, parent_comment_id string, like_count string")
+    rows, videos = readers.collected_pair(contents, comments, "bili", "seq")
+    assert [(r["video_id"], r["title"]) for r in videos.collect()] == [("v1", "new")]
+    assert [(r["comment_id"], r["parent_comment_id"], r["likes"]) for r in rows.collect()] == [("c1", None, 3)]
+    both = readers.last_of_sources(comments, comments.withColumn("content", F.lit("later")), key="comment_id")
+    assert [r["content"] for r in both.collect()] == ["later"]
+    bench = spark.createDataFrame([("My-Chan_nel", "1", 1), ("mychannel", "1", 2), ("x", "1", 3)], "channel string, id string, seq int")
+    assert readers.channels(bench.limit(0), bench, "seq").count() == 2
+
+
 def test_json_lines_skip_broken_lines_and_keep_odd_separators(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text(json.dumps({"a": "x y"}, ensure_ascii=False) + "\n{broken\n" + json.dumps({"a": "z"}) + "\n", encoding="utf-8")
     assert sorted(r["a"] for r in readers.read_json_lines(spark, str(tmp_path), "a string").collect()) == ["x y", "z"]
@@ -58,7 +82,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     schema = "id string, seq int, v string"
     spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], schema).write.mode("append").json(src)
     stream = lambda: incremental.file_stream(spark, src, spark.createDataFrame([], schema).schema)
-    incremental.merge_available(stream(), out, chk, "id", "seq")
+    incremental.merge_available(stream(), out, chk)
     spark.createDataFrame([("a", 3, "z")], schema).write.mode("append").json(src)
-    incremental.merge_available(stream(), out, chk, "id", "seq")
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(f"{out}/version=1").collect()) == [("a", "z"), ("b", "y")]
+    incremental.merge_available(stream(), out, chk)
+    rows = lambda path: sorted((r["id"], r["v"]) for r in incremental.merged(spark, path, "id", "seq").collect())
+    assert rows(out) == [("a", "z"), ("b", "y")] and len(list((tmp_path / "out").glob("batch=*"))) == 2
+    incremental.compact(spark, out, str(tmp_path / "new"), "id", "seq")
+    assert rows(str(tmp_path / "new")) == [("a", "z"), ("b", "y")]

@@ -89,6 +89,7 @@ def keyword_tokens(c: Column, stop: Sequence[str] = ()) -> Column:
 
 # --- counts -------------------------------------------------------------------------------------------------------
 
+# Fixed value: how a count of ten thousands is written.
 _TEN_THOUSANDS = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*[wW万]\s*\+?\s*$"
 
 
@@ -187,6 +188,21 @@ def mergeable_name(name: Column) -> Column:
     return (F.length(n) > 1) & ~F.regexp_like(n, F.lit(PLACEHOLDER_NAME)) & ~F.regexp_like(n, F.lit(r"^\d+$"))
 
 
+# Fixed value: the id of a video within a path or link.
+VIDEO_ID = r"(BV[0-9A-Za-z]{10})"
+
+
+def derived_links(platform: Column, user_id: Column, content_id: Column, comment_id: Column, homepage: Column, comment_url: Column) -> Column:
+    """struct(homepage, comment_url): what the row states, else what its ids stand for on its platform, else empty."""
+    p, user, content, comment, home, link = (strip(F.coalesce(c.cast("string"), F.lit(""))) for c in (platform, user_id, content_id, comment_id, homepage, comment_url))
+    xhs, bili = (p == "xhs") & (content != "") & ((user != "") | (comment != "")), p.isin("bili", "unknown")
+    own_home = F.when(user == "", "").when(xhs, F.concat(F.lit("https://www.xiaohongshu.com/user/profile/"), user)).when(bili, F.concat(F.lit("https://space.bilibili.com/"), user))
+    own_link = F.when((content == "") | (comment == ""), "").when(xhs, F.concat(F.lit("https://www.xiaohongshu.com/explore/"), content, F.lit("#comment-"), comment)).when(
+        bili, F.concat(F.lit("https://www.bilibili.com/video/"), content, F.lit("#reply"), comment)
+    )
+    return F.struct(first_filled(home, own_home).alias("homepage"), first_filled(link, own_link).alias("comment_url"))
+
+
 def user_key(user_id: Column, platform: Column, homepage: Column, name: Column) -> Column:
     """id, else homepage, else a name that may be merged; null where nothing tells a user. Ids count per platform."""
     uid, home, n = (strip(F.coalesce(c, F.lit(""))) for c in (user_id, homepage, name))
@@ -225,19 +241,33 @@ def is_root(parent: Column) -> Column:
     return F.coalesce(parent.cast("string"), F.lit("")).isin("", "0")
 
 
+def last_per_key(entries: Column) -> Column:
+    """Map of an array of struct(k, v): of equal keys the last wins; entries without a key are left out."""
+    known = F.filter(entries, lambda e: e["k"].isNotNull())
+    keys = F.transform(known, lambda e: e["k"])
+    return F.map_from_entries(F.filter(known, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == F.size(keys) - i))
+
+
 def url_parameters(url: Column) -> Column:
-    """Map of the query's parameters, decoded; empty without a query."""
+    """Map of the query's parameters, decoded; those without a value are left out, and of equal names the last wins."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
-    pairs = F.filter(F.split(query, "&"), lambda p: F.contains(p, F.lit("=")))
-    entry = lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.substr(p, F.instr(p, F.lit("=")) + 1)).alias("v"))
-    return F.map_from_entries(F.transform(F.array_distinct(pairs), entry))
+    pairs = F.filter(F.split(query, "&"), lambda p: F.instr(p, F.lit("=")).between(1, F.length(p) - 1))
+    decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%20")))
+    return last_per_key(F.transform(pairs, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.substr(p, F.instr(p, F.lit("=")) + 1)).alias("v"))))
+
+
+def cookies(c: Column) -> Column:
+    """Map of a cookie header: name=value between semicolons, the last of equal names wins; pieces without = are left out."""
+    pairs = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip), lambda p: F.instr(p, F.lit("=")) > 0)
+    return last_per_key(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.instr(p, F.lit("=")) + 1).alias("v"))))
 
 
 def link_ids(url: Column) -> Column:
-    """struct(content_id, comment_id) of the links that point at a comment below a content."""
+    """struct(content_id, comment_id) of a link that points at a comment below a video or a note; empty where it has none."""
+    u = F.coalesce(url, F.lit(""))
     return F.struct(
-        F.regexp_extract(url, r"(?:video|explore|note|item)/([A-Za-z0-9]+)", 1).alias("content_id"),
-        F.regexp_extract(url, r"(?:#reply|comment_id=|commentId=)(\w+)", 1).alias("comment_id"),
+        first_filled(F.regexp_extract(u, r"/video/([^/?#]+)", 1), F.regexp_extract(u, r"(?i)/explore/([a-f0-9]+)", 1), F.regexp_extract(u, VIDEO_ID, 1)).alias("content_id"),
+        first_filled(F.regexp_extract(u, r"#reply(\d+)", 1), F.regexp_extract(u, r"(?i)#comment-([a-f0-9]+)", 1)).alias("comment_id"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from threadloom.functions.columns import PLAY_TIERS, percent
+from threadloom.operators.ordered import middle, nearest, numbered, ranked_values
 
 
 def filled(c: Column) -> Column:
@@ -73,24 +74,22 @@ def user_leads(df: DataFrame, *, user: str, seq: str, score: str, quote: str, qu
 
 
 def signal_frequencies(signals: DataFrame, *, kind: str, text: Column, seq: str) -> DataFrame:
-    """Distinct signals (kind, normalised text) with frequency and first row's sequence, numbered by (-frequency, key).
-
-    Ids need the order of all keys: rank over the aggregated keys within frequency, after counts of higher ones.
-    """
+    """Distinct signals (kind, normalised text) with frequency and first row's sequence, numbered by (-frequency, key)."""
     keyed = signals.withColumn("signal_key", F.concat_ws("|", F.col(kind), text))
     counted = keyed.groupBy("signal_key").agg(F.count(F.lit(1)).alias("frequency"), F.min(seq).alias("first_seq"))
-    above = Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counted.groupBy("frequency").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(above), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("frequency").orderBy("signal_key"))
-    numbered = counted.withColumn("w", within).join(sizes.select("frequency", "before"), "frequency")
-    n = F.col("w") + F.col("before")
-    return numbered.select(F.concat(F.lit("s"), F.when(n >= 10_000, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0"))).alias("signal_id"), "signal_key", "frequency", "first_seq")
-
-
-def theme_statistics(themes: DataFrame, signals: DataFrame) -> DataFrame:
-    """themes (theme_id, signal_ids) with distinct records, users and videos of their signals."""
-    member = themes.select("theme_id", F.explode(F.array_distinct("signal_ids")).alias("signal_id"))
-    return member.join(signals, "signal_id").groupBy("theme_id").agg(
+    placed = numbered(counted, [], [F.desc("frequency"), F.asc("signal_key")])
+    number = F.when(F.col("n") >= 10_000, F.col("n").cast("string")).otherwise(F.lpad(F.col("n").cast("string"), 4, "0"))
+    return placed.select(F.concat(F.lit("s"), number).alias("signal_id"), "signal_key", "frequency", "first_seq")
+
+
+def theme_members(themes: DataFrame) -> DataFrame:
+    """(theme_id, signal_id) of themes that list their signals in an array."""
+    return themes.select("theme_id", F.explode(F.array_distinct("signal_ids")).alias("signal_id"))
+
+
+def theme_statistics(members: DataFrame, signals: DataFrame) -> DataFrame:
+    """members (theme_id, signal_id) with distinct records, users and videos of their signals."""
+    return members.join(signals, "signal_id").groupBy("theme_id").agg(
         F.count_distinct("record_id").alias("records"), F.count_distinct(filled(F.col("user_key"))).alias("users"), F.count_distinct(filled(F.col("video_id"))).alias("videos")
     )
 
@@ -142,24 +141,11 @@ def competition(videos: DataFrame, comments: DataFrame, *, min_play: int = 1000,
     return joined.withColumn("competition", kind).withColumn("route", route)
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Of a sorted array the element at round-half-even(q * (n - 1)): no interpolation."""
-    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
-
-
 def tier_baseline(df: DataFrame, tier: str, value: str) -> DataFrame:
-    """Per tier: n, nearest-rank quartiles, whole-number median and maximum.
-
-    Equal values are counted first; a quantile is then the first value whose running count passes its rank, so no tier's
-    values are ever gathered in one array.
-    """
-    counts = df.groupBy(tier, value).agg(F.count(F.lit(1)).alias("m"))
-    upto = Window.partitionBy(tier).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy(tier)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col(value)))
-    low = F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), F.col(value)))
-    high = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))
-    return ranked.groupBy(tier).agg(F.max("n").alias("n"), at(0.25).alias("p25"), F.floor((low + high) / 2.0).alias("median"), at(0.75).alias("p75"), F.max(value).alias("top"))
+    """Per tier: n, nearest-rank quartiles, whole-number median and maximum."""
+    return ranked_values(df, [tier], value).groupBy(tier).agg(
+        F.max("n").alias("n"), nearest(value, 0.25).alias("p25"), F.floor(middle(value)).alias("median"), nearest(value, 0.75).alias("p75"), F.max(value).alias("top")
+    )
 
 
 def shares_within(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
@@ -167,12 +153,16 @@ def shares_within(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFra
     return df.agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col(value) <= b).cast("double")).alias(f"within_{b:g}") for b in bounds])
 
 
+def medians(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """n, median and maximum of a value for each group."""
+    return ranked_values(df, group, value).groupBy(*group).agg(F.max("n").alias("n"), middle(value).alias("median"), F.max(value).alias("top"))
+
+
 def feature_lift(df: DataFrame, value: str, flags: Sequence[str]) -> DataFrame:
     """For each flag the median of the flagged rows over that of all."""
-    base = df.agg(F.median(value).alias("base"))
-    stacked = df.select(value, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("on")) for f in flags])).alias("x")).where("x.on")
-    medians = stacked.groupBy(F.col("x.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
-    return medians.crossJoin(base).withColumn("lift", F.col("median") / F.col("base")).drop("base")
+    base = medians(df, [], value).select(F.col("median").alias("base"))
+    stacked = df.select(value, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("on")) for f in flags])).alias("x")).where("x.on").select(value, "x.feature")
+    return medians(stacked, ["feature"], value).drop("top").crossJoin(base).withColumn("lift", F.col("median") / F.col("base")).drop("base")
 
 
 def confusion(df: DataFrame, said: str, true: str) -> DataFrame:
@@ -189,5 +179,40 @@ def funnel(df: DataFrame, checks: Sequence[tuple[str, Column]], passed: str = "p
 
 def latency_profile(df: DataFrame, group: Sequence[str], ms: str) -> DataFrame:
     """n, mean, median and nearest-rank 95th percentile."""
-    values = F.array_sort(F.collect_list(ms))
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean"), F.median(ms).alias("median"), values.alias("v")).withColumn("p95", nearest_rank(F.col("v"), 0.95)).drop("v")
+    total = F.sum(F.col(ms) * F.col("m"))
+    return ranked_values(df, group, ms).groupBy(*group).agg(F.max("n").alias("n"), (total / F.max("n")).alias("mean"), middle(ms).alias("median"), nearest(ms, 0.95).alias("p95"))
+
+
+def keyword_counts(df: DataFrame, text: Column, patterns: Sequence[str]) -> DataFrame:
+    """Rows that each of a stated list of patterns is found in, whatever its case: one scan."""
+    counts = df.agg(*[F.count_if(F.regexp_like(text, F.lit(f"(?i){p}"))).alias(f"k{i}") for i, p in enumerate(patterns)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("keyword"), F.col(f"k{i}").alias("n")) for i, p in enumerate(patterns)])).alias("x")).select("x.*")
+
+
+def blank_share(df: DataFrame) -> DataFrame:
+    """Share of videos (top1, tier_median) whose best comment lies below a quarter of its tier's median, and their number."""
+    return df.agg(F.avg((F.col("top1") < F.col("tier_median") / 4.0).cast("double")).alias("blank_share"), F.count(F.lit(1)).alias("n"))
+
+
+def group_hits(df: DataFrame, group: str, hit: Column, *, least: int, share: float = 0.1) -> DataFrame:
+    """Per group its hits, and whether they are enough: a least number, or a share of the group's rows."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.count_if(hit).alias("hits"))
+    return counts.select(group, "hits", ((F.col("hits") >= least) | (F.col("hits") >= F.col("__n") * share)).alias("passes"))
+
+
+def batches(df: DataFrame, group: str, size: int) -> DataFrame:
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / size).cast("long").alias("batches"))
+
+
+def gate(df: DataFrame, *, expected: Column, found: Column, agrees: Column) -> DataFrame:
+    """total, expected rows, the share of them that was found, and the share of rows that agree."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(expected).alias("expected"), F.avg(F.when(expected, found.cast("double"))).alias("recall"), share(agrees).alias("agreement"))
+
+
+def set_sizes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many different keys only the left side has, only the right, and both."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(key, F.lit(0), F.lit(1)))
+    each = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    part = F.when(F.col("l") > F.col("r"), "left").when(F.col("l") < F.col("r"), "right").otherwise("both")
+    return each.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))

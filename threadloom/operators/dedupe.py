@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 def _one(df: DataFrame, keys: Sequence[str], *order) -> DataFrame:
+    """The filter on the rank becomes a limit of each key before the shuffle, so a hot key is no more than any other."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__n", n).where("__n = 1").drop("__n")
 
@@ -23,8 +24,9 @@ def last_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 
 def last_wins_at_first_place(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key with ``position``, where the key first stood: a later version replaces in place."""
-    placed = df.withColumn("position", F.min(seq).over(Window.partitionBy(*keys)))
-    return last_wins(placed, keys, seq)
+    others = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*others), seq).alias("__last"), F.min(seq).alias("position"))
+    return last.select(*keys, "__last.*", "position").select(*df.columns, "position")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str | None = None, now=None) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tiers of a range join up to which every task holds them all.
+BROADCAST_TIERS = 1_000
+
+
 def full_merge(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Both sides' rows by key; of the named columns the right side's value wins where it has one."""
     joined = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "full_outer")
@@ -26,10 +30,11 @@ def restricted(rows: DataFrame, wanted: DataFrame, keys: str | Sequence[str]) ->
 def with_tier(rows: DataFrame, tiers: DataFrame, value: str) -> DataFrame:
     """Each row with the tier (low inclusive, high exclusive, null: open) that its value falls in.
 
-    A range join; the tiers are a handful of rows that the caller states, so they are held by every task.
+    A range join. A handful of tiers is held by every task; more than ``BROADCAST_TIERS`` are left to the optimizer.
     """
     v = F.col(value)
-    return rows.join(F.broadcast(tiers), (v >= F.col("low")) & (F.col("high").isNull() | (v < F.col("high"))), "left").drop("low", "high")
+    held = F.broadcast(tiers) if tiers.limit(BROADCAST_TIERS + 1).count() <= BROADCAST_TIERS else tiers
+    return rows.join(held, (v >= F.col("low")) & (F.col("high").isNull() | (v < F.col("high"))), "left").drop("low", "high")
 
 
 def thread_context(replies: DataFrame, *, id_col: str, parent_col: str, text_col: str, seq_col: str, levels: int = 3, most: int = 8, length: int = 120) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from threadloom.operators.ordered import forward_filled, numbered
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """Spark turns the filter on the rank into a per-task limit before the shuffle."""
@@ -72,24 +74,24 @@ def hot_then_recent(df: DataFrame, key: str, hot: Sequence[Column], recent: Sequ
     return first.withColumn("pick", F.lit("hot")).unionByName(then.withColumn("pick", F.lit("recent")))
 
 
-def capped_queue(df: DataFrame, group: str, order: Sequence[Column], cap: int, quota: int) -> DataFrame:
+def capped_queue(df: DataFrame, key: str, group: str, order: Sequence[Column], cap: int, quota: int) -> DataFrame:
     """``state`` of each row: picked, video_cap (its group has its share), or deferred (the quota is full).
 
-    A row of a picked group beyond the cap is video_cap; all others past the quota are deferred.
+    A row of a picked group beyond the cap is video_cap; all others past the quota are deferred. Only the first ``cap``
+    rows of a group are ranked; ``key`` is unique.
     """
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    ranked = df.withColumn("__nth", nth)
-    within = ranked.where(F.col("__nth") <= cap).orderBy(*order).limit(quota).select(group, F.col("__nth").alias("__pick"))
-    counts = within.groupBy(group).agg(F.max("__pick").alias("__upto"))
-    state = F.when(F.col("__nth") <= F.col("__upto"), "picked").when(F.col("__upto").isNotNull() & (F.col("__nth") > cap), "video_cap").otherwise("deferred")
-    return ranked.join(counts, group, "left").withColumn("state", state).drop("__nth", "__upto")
+    within = top_per_group(df, [group], order, cap, "__n")
+    picked = within.orderBy(*order).limit(quota).select(F.col(key).alias("__picked"), F.col(group).alias("__group"))
+    first = within.select(F.col(key).alias("__first"))
+    groups = picked.select("__group").distinct()
+    joined = df.join(first, F.col(key) == F.col("__first"), "left").join(picked.select("__picked"), F.col(key) == F.col("__picked"), "left").join(groups, F.col(group).eqNullSafe(F.col("__group")), "left")
+    state = F.when(F.col("__picked").isNotNull(), "picked").when(F.col("__first").isNull() & F.col("__group").isNotNull(), "video_cap").otherwise("deferred")
+    return joined.withColumn("state", state).select(*df.columns, "state")
 
 
 def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(upto))
+    return forward_filled(df, group, order, value)
 
 
 def chunked(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("chunk", F.floor((n - 1) / size).cast("long"))
+    return numbered(df, group, order, "__n").withColumn("chunk", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")

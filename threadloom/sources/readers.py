@@ -3,12 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from threadloom.functions.columns import PLATFORMS, contactability, first_filled, is_root, lenient_int, platform_of_path, strip, to_epoch, user_key
+from pyspark.sql.column import Column
+
+from threadloom.functions.columns import (
+    PLATFORMS,
+    VIDEO_ID,
+    contactability,
+    derived_links,
+    first_filled,
+    is_root,
+    last_per_key,
+    lenient_int,
+    platform_of_path,
+    play_count,
+    strip,
+    to_epoch,
+    user_key,
+)
+from threadloom.operators.dedupe import first_wins, last_wins
+from threadloom.operators.ordered import forward_filled
 
 # Names under which a column is looked for, in order of preference.
 FIELD_NAMES: dict[str, tuple[str, ...]] = {
@@ -40,10 +58,40 @@ def field_mapping(columns: Sequence[str]) -> dict[str, str | None]:
     return found
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """All columns as strings, empty strings kept, quoted line feeds read, malformed lines skipped; a leading BOM is dropped."""
-    df = spark.read.csv(paths, header=True, multiLine=True, mode="DROPMALFORMED", encoding=encoding, escape='"', inferSchema=False)
-    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns]).na.fill("")
+def csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
+    """(encoding, files) of files that can be read together: one header and one encoding, UTF-8 or else GB18030.
+
+    One scan of the lines, of which two values a file come back: its first line's bytes, and whether all are valid UTF-8.
+    """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
+    found = lines.groupBy("file").agg(
+        F.min_by(F.hex(F.col("value").cast("binary")), F.struct("start", "nth")).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for r in found.orderBy("file").collect():  # one row a file, as the driver lists them anyway
+        groups.setdefault((r["utf8"], r["header"]), []).append(r["file"])
+    return [("UTF-8" if utf8 else "GB18030", files) for (utf8, _), files in groups.items()]
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All columns as strings, bound by name across files, empty strings kept; a file without a column has it empty.
+
+    Quoted line feeds are read, malformed lines skipped, a leading BOM dropped. Files are read in the groups of
+    ``csv_groups``. ``_file`` and ``_row`` (the row's number in its file, from 2, as the header is row 1) come last.
+    """
+    read = []
+    for encoding, files in csv_groups(spark, paths):
+        if encoding != "UTF-8":  # Spark reads other charsets than the Unicode ones only under this setting
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        df = spark.read.csv(files, header=True, multiLine=True, mode="DROPMALFORMED", encoding=encoding, escape='"', inferSchema=False)
+        named = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns]
+        # A file with quoted line feeds is read by one task, so its rows are neighbours in this order.
+        numbered = df.select(*named, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        read.append(numbered.withColumn("_row", F.col("_row") - F.min("_row").over(Window.partitionBy("_file")) + 2))
+    if not read:
+        return spark.createDataFrame([], "_file string, _row long")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    return out.select(*[F.coalesce(c, F.lit("")).alias(c) for c in out.columns if c not in ("_file", "_row")], "_file", "_row")
 
 
 def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
@@ -55,31 +103,35 @@ def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: str
     return spark.read.json(paths, schema=schema, multiLine=True)
 
 
-def ingest(df: DataFrame, *, creator_type: str = "未知", platform: str | None = None, path_column: str | None = None) -> DataFrame:
-    """Rows of any such file as records: fields by name, empty comments dropped, ids from file and content.
+def ingest(df: DataFrame, *, creator_type: str = "未知", platform: str | None = None) -> DataFrame:
+    """Rows of any such file as records: fields by name, empty comments dropped, links derived, ids from file and content.
 
-    The sequence number orders rows within the input's partitions and files; the record id is a hash of the file and the
-    row's values, so a second read gives the same ids (equal rows of one file share theirs).
+    ``_file`` and ``_row``, as read_csv gives them, become source_file and source_row_number; without them these are empty
+    and null. The record id is a hash of file, row number and values, so a second read gives the same ids.
     """
-    mapping = field_mapping(df.columns)
+    own = [c for c in df.columns if c not in ("_file", "_row")]
+    mapping = field_mapping(own)
     pick = lambda field: strip(F.coalesce(F.col(f"`{mapping[field]}`").cast("string"), F.lit(""))) if mapping[field] else F.lit("")
-    path = F.col(path_column) if path_column else F.col("_metadata.file_path") if not df.isStreaming and _from_files(df) else F.lit("")
-    raw = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]))
-    rows = df.select(*[pick(f).alias(f) for f in FIELD_NAMES], path.alias("source_file"), raw.alias("raw_data"), F.monotonically_increasing_id().alias("ingest_seq")).where("comment_text <> ''")
+    raw = F.map_from_arrays(F.array(*[F.lit(c) for c in own]), F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in own]))
+    place = [F.col("_file") if "_file" in df.columns else F.lit("").alias("_file"), F.col("_row") if "_row" in df.columns else F.lit(None).cast("long").alias("_row")]
+    rows = df.select(*[pick(f).alias(f) for f in FIELD_NAMES], raw.alias("raw_data"), *place).where("comment_text <> ''").withColumnsRenamed({"_file": "source_file", "_row": "source_row_number"})
     given = F.lit(platform) if platform else platform_of_path(F.col("source_file"), F.try_element_at("raw_data", F.lit("platform")))
+    of_raw = lambda *names: first_filled(*[F.coalesce(F.try_element_at("raw_data", F.lit(n)), F.lit("")) for n in names])
+    content = first_filled(of_raw("video_id", "note_id", "aweme_id"), F.regexp_extract("source_file", VIDEO_ID, 1))
+    links = derived_links(F.col("platform"), F.col("user_id"), content, of_raw("comment_id", "id"), F.col("user_homepage_url"), F.col("comment_url"))
+    key = F.concat_ws("#", "source_file", F.coalesce(F.col("source_row_number").cast("string"), F.lit("")), F.array_join(F.map_values("raw_data"), "\u001f"))
     return (
         rows.withColumn("platform", given)
         .withColumn("creator_type", F.lit(creator_type))
-        .withColumn("record_id", F.sha2(F.concat_ws("#", "source_file", F.array_join(F.map_values("raw_data"), "\u001f")), 256))
+        .withColumn("__links", links)
+        .withColumns({"user_homepage_url": F.col("__links.homepage"), "comment_url": F.col("__links.comment_url")})
+        .drop("__links")
+        .withColumn("record_id", F.sha2(key, 256))
         .withColumn("user_key", user_key(F.col("user_id"), F.col("platform"), F.col("user_homepage_url"), F.col("username")))
         .withColumn("contactability", contactability(F.col("user_homepage_url"), F.col("comment_url"), F.col("username"), F.col("user_id")))
     )
 
 
-def _from_files(df: DataFrame) -> bool:
-    return bool(df.inputFiles())
-
-
 def catalogue(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
     """Per file: its rows with a comment, and category, creator and leaf from the path."""
     parts = F.split(F.col(file_column), "/")
@@ -123,7 +175,7 @@ POST_SCHEMA = "post_list array<struct<id:string,author_id:string,content:array<s
 
 def thread_posts(df: DataFrame, json_column: str) -> DataFrame:
     """Posts of a forum API answer: exploded, authors joined within the answer, the parts of a body put together."""
-    parsed = df.withColumn("__j", F.from_json(json_column, POST_SCHEMA)).withColumn("__names", F.map_from_entries(F.transform("__j.user_list", lambda u: F.struct(u["id"], u["name"]))))
+    parsed = df.withColumn("__j", F.from_json(json_column, POST_SCHEMA)).withColumn("__names", last_per_key(F.transform("__j.user_list", lambda u: F.struct(u["id"].alias("k"), u["name"].alias("v")))))
     body = F.array_join(F.transform("p.content", lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), x["c"], F.lit(""))), "")
     return parsed.select("*", F.explode("__j.post_list").alias("p")).select(F.col("p.id").alias("comment_id"), F.try_element_at("__names", F.col("p.author_id")).alias("author"), body.alias("content"))
 
@@ -135,8 +187,51 @@ def search_cards(df: DataFrame, cards: str) -> DataFrame:
 
 
 def forward_filled_sheet(df: DataFrame, category: str, order: str) -> DataFrame:
-    """A sheet whose merged first column is filled downward; rows without any other value are skipped. One sheet, one window."""
+    """A sheet whose merged first column is filled downward; rows without any other value are skipped."""
     others = [c for c in df.columns if c not in (category, order)]
     some = F.coalesce(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.lit(True)) for c in others], F.lit(False))
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(category, F.last(F.when(F.col(category) != "", F.col(category)), ignorenulls=True).over(upto)).where(some)
+    return forward_filled(df.withColumn(category, F.nullif(F.col(category), F.lit(""))), [], [F.asc(order)], category).where(some)
+
+
+# Id and link column of a platform's contents.
+PAIR_COLUMNS = {"xhs": ("note_id", "note_url"), "dy": ("aweme_id", "aweme_url"), "bili": ("video_id", "video_url")}
+
+
+def reshaped(df: DataFrame, platform: str, kind: str, *kept: str) -> DataFrame:
+    """Collected ``contents`` or ``comments`` of one platform under common names, with further columns to keep."""
+    own, url = PAIR_COLUMNS[platform]
+    has = set(df.columns)
+    text = lambda *names: first_filled(*[F.col(n).cast("string") for n in names if n in has]) if has & set(names) else F.lit("")
+    parent = text("parent_comment_id")
+    fields = {
+        "comments": {
+            "comment_id": text("comment_id"), "video_id": text(own, "video_id"), "parent_comment_id": F.when(~is_root(parent), parent), "content": text("content"),
+            "likes": lenient_int(text("like_count")), "created": to_epoch(text("create_time", "time")), "user_id": text("user_id"), "username": text("nickname"),
+        },
+        "contents": {
+            "video_id": text(own), "video_url": text(url, "video_url"), "title": first_filled(text("title"), F.substring(text("desc"), 1, 80)),
+            "play": play_count(text("video_play_count", "liked_count")), "created": to_epoch(text("create_time", "time")),
+        },
+    }[kind]
+    return only_platform(df, platform).select(F.lit(platform).alias("platform"), *[c.alias(n) for n, c in fields.items()], *kept)
+
+
+def collected_pair(contents: DataFrame, comments: DataFrame, platform: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(comments, videos) of one platform: of each video the last row by ``seq``, of comments all."""
+    return reshaped(comments, platform, "comments"), last_wins(reshaped(contents, platform, "contents", seq), ["video_id"], seq).drop(seq)
+
+
+def last_of_sources(*sources: DataFrame, key: str) -> DataFrame:
+    """Rows of several sources by key; a later source's row replaces an earlier one's."""
+    marked = [df.withColumn("__nth", F.lit(k)) for k, df in enumerate(sources)]
+    return last_wins(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked), [key], "__nth").drop("__nth")
+
+
+def channel_name(c: Column) -> Column:
+    """A channel's name as directories spell it: lower case, without hyphens and underscores."""
+    return F.lower(F.regexp_replace(c, "[-_]", ""))
+
+
+def channels(first: DataFrame, second: DataFrame, seq: str) -> DataFrame:
+    """Videos (channel, id, ...) of two schemas already brought together, each id once (the first by ``seq``), channels merged by name."""
+    return first_wins(first.unionByName(second, allowMissingColumns=True).withColumn("channel_key", channel_name(F.col("channel"))), ["channel_key", "id"], seq)

@@ -27,15 +27,24 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def merge_available(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> None:
-    """Last-wins merge of each batch into versions of a table below ``path``: version k + 1 is version k merged with batch k.
+def merge_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append each batch below ``path`` as ``batch=k``; a batch that runs again replaces itself, so the merge is idempotent.
 
-    A batch that runs again rewrites its own version, so the merge is idempotent.
+    Keys are merged when the table is read (``merged``), so a batch costs what it holds, not what the table holds.
     """
-    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, k: int) -> None:
-        rows = batch if k == 0 else spark.read.parquet(f"{path}/version={k - 1}").unionByName(batch)
-        last_wins(rows, [key], seq).write.mode("overwrite").parquet(f"{path}/version={k}")
+    def append(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append).trigger(availableNow=True).start().awaitTermination()
+
+
+def merged(spark: SparkSession, path: str, key: str, seq: str) -> DataFrame:
+    """The last row of each key over all batches, by ``seq``, then by batch."""
+    rows = spark.read.parquet(path).withColumn("__order", F.struct(seq, "batch"))
+    return last_wins(rows, [key], "__order").drop("__order", "batch")
+
+
+def compact(spark: SparkSession, path: str, into: str, key: str, seq: str) -> None:
+    """The merged rows as the only batch of a new table, from which later streams may go on."""
+    merged(spark, path, key, seq).write.parquet(f"{into}/batch=-1")
