@@ -1,9 +1,16 @@
+import json
+import statistics
+
 from pyspark.sql import functions as F
 
+from threadloom.functions import evidence as V
 from threadloom.operators import aggregates as A
 from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
+from threadloom.operators import ordered as O
+from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
+from threadloom.operators import results as T
 from threadloom.operators import text as X
 
 
@@ -34,7 +41,7 @@ def test_merge_twice_does_not_grow(spark):
 def test_round_robin_and_cap(spark):
     df = spark.createDataFrame([(i, "a" if i < 8 else "b") for i in range(10)], "i int, g string")
     assert [r["i"] for r in R.round_robin(df, ["g"], [F.asc("i")], "i", 4).collect()] == [0, 8, 1, 9]
-    states = {r["i"]: r["state"] for r in R.capped_queue(df, "g", [F.asc("i")], 1, 1).collect()}
+    states = {r["i"]: r["state"] for r in R.capped_queue(df, "i", "g", [F.asc("i")], 1, 1).collect()}
     assert states[0] == "picked" and states[1] == "video_cap" and states[8] == "deferred"
 
 
@@ -102,3 +109,44 @@ def test_similar_texts_finds_what_all_pairs_find(spark):
 def test_draft_similarity(spark):
     df = spark.createDataFrame([("abcd",), ("zz",)], "t string")
     assert rows(X.draft_similarity(df, ["abce", "q"], "t"), "t", "similarity", "verdict") == [("abcd", 0.5, "block"), ("zz", 0.0, "ok")]
+
+
+def test_numbers_without_whole_groups(spark):
+    rows = [(i, "hot" if i % 3 else None, (i * 7) % 40) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(5)
+    got = {r["i"]: r["n"] for r in O.numbered(df, ["g"], [F.desc("i")]).collect()}
+    for g in ("hot", None):
+        own = sorted((i for i, x, _ in rows if x == g), reverse=True)
+        assert [got[i] for i in own] == list(range(1, len(own) + 1))
+    sums = {r["i"]: r["s"] for r in O.numbered(df, [], [F.asc("i")], "s", "v").collect()}
+    assert sums[299] == sum(v for *_, v in rows) and sums[0] == 0
+    filled = {r["i"]: r["v"] for r in O.forward_filled(df.withColumn("v", F.when(F.col("i") % 50 == 10, F.col("i"))), [], [F.asc("i")], "v").collect()}
+    assert all(filled[i] == (None if i < 10 else (i - 10) // 50 * 50 + 10) for i in range(300))
+    for group in ([], ["g"]):
+        found = A.medians(df, group, "v").collect()
+        for r in found:
+            own = sorted(v for _, g, v in rows if not group or g == r["g"])
+            assert (r["n"], r["median"], r["top"]) == (len(own), statistics.median(own), own[-1])
+    assert A.medians(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_quotes_and_json(spark):
+    assert K._longest("abcdef", "xxbcdezz", 48, 4) == "bcde" and K._longest("abc", "zabc", 48, 4) == "abc" and K._longest("abcd", "zz", 48, 4) == "" and K._longest("a b c d e", "zabcdz", 48, 4) == "a b c d "
+    assert K._longest("x" * 60, "x" * 70, 48, 4) == "x" * 48 and K._longest(None, None, 48, 4) == ""
+    answers = ['{"a": 1}', 'x ```json\n{"a": [1, 2]}\n``` y', 'see {"a": "}"} and {', '{"a": [1, {"b": "c', '{"a": 1, "b": ', "none", None, "[1]"]
+    want = [{"a": 1}, {"a": [1, 2]}, {"a": "}"}, {"a": [1, {"b": "c"}]}, {"a": 1}, None, None, None]
+    assert [json.loads(x) if (x := K._object(a)) else None for a in answers] == want
+    df = spark.createDataFrame([("H1", "supports", "real words"), ("H1", "weakens", "made up"), ("H2", "irrelevant", "")], "hypothesis_id string, relation string, evidence_quote string")
+    got = [(r["relation"], r["evidence_quote"]) for r in K.grounded_relations(df, F.lit("these are real words")).collect()]
+    assert got == [("supports", "real words"), ("insufficient", ""), ("irrelevant", "")]
+    compact = spark.createDataFrame([('[["p","quote a","s"],["quote b","b"],["z","w"]]',), ("broken",)], "c string")
+    items = [r["i"] for r in compact.select(K.compact_cards(F.col("c"), {"p": "problem", "b": "behavior"}, {"s": "self"}).alias("i")).collect()]
+    assert [(x["type"], x["evidence_quote"], x["speaker_scope"]) for x in items[0]] == [("problem", "quote a", "self"), ("behavior", "quote b", "unclear")] and not items[1]
+
+
+def test_projection_retires_what_an_old_policy_said(spark):
+    results = spark.createDataFrame([("r1", "high", "old", 1, "x"), ("r2", "high", "old", 2, "x"), ("r3", "high", "old", 1, "x")], "record_id string, product_fit string, single_video_relation string, projection_policy_version int, primary_intent string")
+    items = f"array<{V.ITEM}>"
+    cards = spark.createDataFrame([("r1", "usable", "praise", [("problem", "t", "q", "self", "high", "", "")])], f"record_id string, record_status string, primary_expression string, evidence_items {items}")
+    got = {r["record_id"]: tuple(r)[1:] for r in T.with_projection(results, cards, ["primary_intent", "projection_policy_version"]).collect()}
+    assert got == {"r1": ("high", "old", 2, "gratitude_recognition"), "r2": ("high", "old", 2, "x"), "r3": ("unclear", "unclear", 1, "x")}

@@ -8,34 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import columns as C
-from threadloom.functions.rules import Rule, all_matches, first_match, looks_garbled, looks_like_spam
+from threadloom.functions.rules import Rule, all_matches, first_match, looks_garbled, looks_like_spam, looks_machine_made
 from threadloom.operators import aggregates as A
 from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
 from threadloom.operators import ranking as R
 from threadloom.operators import text as X
-from threadloom.session import tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query of (spark, table) under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, tables(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from threadloom.plans import evidence_queries, outreach_queries
+from threadloom.plans.registry import QUERIES, SQL, query
 
 SCENARIOS = {"widgets": ["widget", "gadget"], "small": ["small"], "metal": ["ring", "bolt", "gear"]}
 TEXT_RULES = [
     Rule("license", "(?i)license"),
-    Rule("contact", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+"),
+    Rule("contact", r"[A-Za-z0-9.]@[A-Za-z0-9.]"),
     Rule("markup", r"[&$%#*]{3}"),
     Rule("table", r" \| "),
     Rule("question", r"\?"),
@@ -54,7 +39,7 @@ def intent_percentages(spark, table):
     return A.label_percentages(table("events"), "event_type")
 
 
-@query("""WITH l AS (SELECT list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+') THEN 'contact' END,
+@query("""WITH l AS (SELECT list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9.]@[A-Za-z0-9.]') THEN 'contact' END,
 CASE WHEN regexp_matches(text, '[&$%#*]{3}') THEN 'markup' END, CASE WHEN regexp_matches(text, ' \\| ') THEN 'table' END, CASE WHEN regexp_matches(text, '\\?') THEN 'question' END], lambda x: x IS NOT NULL) AS labels FROM documents)
 SELECT label, count(*) AS n, floor(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM documents) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS pct FROM (SELECT unnest(labels) AS label FROM l) GROUP BY 1""".replace("\\\\", "\\"))
 def signal_coverage(spark, table):
@@ -159,7 +144,7 @@ def hot_and_recent(spark, table):
 @query("""WITH n AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders), p AS (SELECT * FROM n WHERE nth <= 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100), s AS (
 SELECT n.o_orderkey, n.o_custkey, CASE WHEN p.o_custkey IS NOT NULL AND n.nth <= 1 THEN 'picked' WHEN p.o_custkey IS NOT NULL THEN 'video_cap' ELSE 'deferred' END AS state FROM n LEFT JOIN p ON n.o_custkey = p.o_custkey) SELECT state, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM s GROUP BY 1""")
 def video_cap_quota(spark, table):
-    queue = R.capped_queue(table("orders"), "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 1, 100)
+    queue = R.capped_queue(table("orders"), "o_orderkey", "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 1, 100)
     return queue.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -205,14 +190,15 @@ def tier_range_join(spark, table):
     return J.with_tier(table("orders").select("o_orderkey", "o_totalprice"), spark.createDataFrame(TIERS, "low long, high long, tier string"), "o_totalprice")
 
 
-@query("""WITH t AS (SELECT a.conv_id, a.turn AS root, b.turn AS turn, b.turn - a.turn AS level FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 3) SELECT conv_id, root, string_agg(turn::VARCHAR, ',' ORDER BY level) AS context FROM t GROUP BY 1, 2""")
+@query("""WITH t AS (SELECT a.conv_id, a.turn AS root, substr(b.text, 1, 120) AS text, b.turn - a.turn AS level FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 3)
+SELECT conv_id, root, string_agg(text, '|' ORDER BY level) AS context FROM t GROUP BY 1, 2""")
 def thread_expand(spark, table):
     turns = table("conversations")
     node = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    edges = turns.select(node(F.col("turn")).alias("id"), node(F.col("turn") - 1).alias("parent"), F.col("turn").cast("string").alias("text"), "turn")
+    edges = turns.select(node(F.col("turn")).alias("id"), node(F.col("turn") - 1).alias("parent"), "text", "turn")
     found = J.thread_context(edges, id_col="id", parent_col="parent", text_col="text", seq_col="turn", levels=3)
     known = turns.select("conv_id", F.col("turn").alias("root"), node(F.col("turn")).alias("node"))
-    return known.join(found.withColumnRenamed("root", "node"), "node").select("conv_id", "root", F.array_join("context", ",").alias("context"))
+    return known.join(found.withColumnRenamed("root", "node"), "node").select("conv_id", "root", F.array_join("context", "|").alias("context"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, count(*) AS sampled, max(l_quantity)::BIGINT AS top1 FROM lineitem GROUP BY 1), j AS (SELECT o_orderkey AS video_id, o_totalprice::BIGINT AS play, (o_custkey % 20) AS reported, coalesce(sampled, 0) AS sampled, coalesce(top1, 0) AS top1 FROM orders LEFT JOIN s ON o_orderkey = l_orderkey),
@@ -254,26 +240,30 @@ def confusion_pairs(spark, table):
     return A.confusion(table("labels"), "quality", "toxic")
 
 
-@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' WHEN regexp_matches(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '[&$%#*]{3}') THEN 'markup' WHEN regexp_matches(text, ' \\| ') THEN 'table' WHEN regexp_matches(text, '\\?') THEN 'question' ELSE 'none' END AS label FROM documents) GROUP BY 1""".replace("\\\\", "\\"))
+@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' WHEN regexp_matches(text, '[A-Za-z0-9.]@[A-Za-z0-9.]') THEN 'contact' WHEN regexp_matches(text, '[&$%#*]{3}') THEN 'markup' WHEN regexp_matches(text, ' \\| ') THEN 'table' WHEN regexp_matches(text, '\\?') THEN 'question' ELSE 'none' END AS label FROM documents) GROUP BY 1""".replace("\\\\", "\\"))
 def keyword_rules(spark, table):
     return table("documents").select(first_match(F.col("text"), TEXT_RULES, "none").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+') THEN 'contact' END, CASE WHEN regexp_matches(text, '[&$%#*]{3}') THEN 'markup' END, CASE WHEN regexp_matches(text, ' \\| ') THEN 'table' END, CASE WHEN regexp_matches(text, '\\?') THEN 'question' END], lambda x: x IS NOT NULL)), ',') AS labels FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9.]@[A-Za-z0-9.]') THEN 'contact' END, CASE WHEN regexp_matches(text, '[&$%#*]{3}') THEN 'markup' END, CASE WHEN regexp_matches(text, ' \\| ') THEN 'table' END, CASE WHEN regexp_matches(text, '\\?') THEN 'question' END], lambda x: x IS NOT NULL)), ',') AS labels FROM documents""".replace("\\\\", "\\"))
 def multi_label_rules(spark, table):
     return table("documents").select("doc_id", F.array_join(all_matches(F.col("text"), TEXT_RULES), ",").alias("labels"))
 
 
-@query("""SELECT count(*) FILTER (regexp_matches(text, '(加微信|加VX|加vx|代刷|兼职日结|点击链接|https?://\\S+\\s*$)')) AS spam, count(*) FILTER (NOT regexp_matches(text, '[\\p{L}\\p{N}]')) AS garbled, count(*) AS total FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT count(*) FILTER ((contains(text, '加微信') OR contains(text, '代刷') OR contains(text, '免费领取') OR contains(text, '点击链接') OR contains(text, 'http://') OR contains(text, 'https://'))
+  AND length(trim(text, E' \n\t\r')) < 80) AS spam, count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}]')) AS garbled,
+count(*) FILTER (contains(text, 'AI视频小助理') OR contains(text, '由AI视频助理生成') OR contains(text, '--本内容由AI')) AS machine_made, count(*) AS total FROM documents""")
 def spam_filters(spark, table):
     text = F.col("text")
-    return table("documents").agg(F.count_if(looks_like_spam(text)).alias("spam"), F.count_if(looks_garbled(text)).alias("garbled"), F.count(F.lit(1)).alias("total"))
+    counts = {"spam": looks_like_spam(text), "garbled": looks_garbled(text), "machine_made": looks_machine_made(text)}
+    return table("documents").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.count(F.lit(1)).alias("total"))
 
 
-@query("""WITH w AS (SELECT unnest(['widget', 'gadget', 'small', 'ring', 'bolt', 'gear']) AS token), n AS (SELECT token, (SELECT count(*) FROM part WHERE contains(lower(regexp_replace(p_name, '\\s+', '', 'g')), token)) AS hits, (SELECT count(*) FROM part) AS total FROM w)
-SELECT token, hits, CASE WHEN total < 200 THEN 1.0 WHEN hits / total > 0.2 THEN 0.0 WHEN hits / total > 0.05 THEN 0.4 ELSE 1.0 END::DOUBLE AS weight FROM n""".replace("\\\\", "\\"))
+@query("""WITH w AS (SELECT unnest(['license', 'contact', 'apache', 'example.com', 'the', 'zzzz']) AS token), p AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM documents),
+n AS (SELECT token, (SELECT count(*) FROM p WHERE contains(t, token)) AS hits, (SELECT count(*) FROM p) AS total FROM w)
+SELECT token, hits, CASE WHEN total < 200 THEN 1.0 WHEN hits / total > 0.2 THEN 0.0 WHEN hits / total > 0.05 THEN 0.4 ELSE 1.0 END::DOUBLE AS weight FROM n""")
 def df_weights(spark, table):
-    return X.rarity_weights(table("part"), F.col("p_name"), sorted({t for ts in SCENARIOS.values() for t in ts}))
+    return X.rarity_weights(table("documents"), F.col("text"), ["license", "contact", "apache", "example.com", "the", "zzzz"])
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('licenses', 'license'), ('licenses', 'apache'), ('mail', 'example.com'), ('nothing', 'zzzz')) v(scenario, token)), p AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t, lang, source FROM documents), n AS (SELECT token, (SELECT count(*) FROM p WHERE contains(p.t, token)) AS hits, (SELECT count(*) FROM p) AS total FROM (SELECT DISTINCT token FROM t)),
@@ -289,25 +279,24 @@ def word_count(spark, table):
     return X.word_counts(table("documents"), F.col("text"))
 
 
-@query("""WITH g AS (SELECT n_nationkey AS id, n_regionkey, list_distinct(list_transform(range(1, length(n_name)), lambda i: lower(n_name)[i:i+1])) AS g FROM nation) SELECT a.n_regionkey, a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS similarity FROM g a JOIN g b ON a.n_regionkey = b.n_regionkey AND a.id < b.id WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.6""")
+@query("""WITH t AS (SELECT role, text, min(conv_id * 1000 + turn) AS id FROM conversations GROUP BY 1, 2), s AS (SELECT role, id, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM t),
+g AS (SELECT role, id, list_distinct(list_transform(range(1, length(t)), lambda i: t[i:i+1])) AS g FROM s WHERE length(t) > 1)
+SELECT a.role, a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS similarity FROM g a JOIN g b ON a.role = b.role AND a.id < b.id
+WHERE len(a.g) >= 0.75 * len(b.g) AND len(b.g) >= 0.75 * len(a.g) AND len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.75""")
 def jaccard_near_dup(spark, table):
-    return X.similar_texts(table("nation"), id_col="n_nationkey", text=F.col("n_name"), group=["n_regionkey"], least=0.6)
+    """Different texts of one role; equal ones count once, under their first place."""
+    once = table("conversations").groupBy("role", "text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return X.similar_texts(once, id_col="id", text=F.col("text"), group=["role"], least=0.75)
 
 
-@query("""WITH t AS (SELECT unnest(['licence', 'widgets', 'q']) AS target) SELECT target, count(*) FILTER (CASE WHEN length(target) = 1 THEN contains(p_name, target) ELSE len(list_filter(range(1, length(target)), lambda i: contains(p_name, target[i:i+1]))) > 0 END) AS hits FROM part, t GROUP BY 1""")
+@query("""WITH t AS (SELECT unnest(['licence', 'widgets', 'q', 'xq']) AS target) SELECT target, count(*) FILTER (CASE WHEN length(target) = 1 THEN contains(text, target)
+  ELSE len(list_filter(range(1, length(target)), lambda i: contains(text, target[i:i+1]))) > 0 END) AS hits FROM documents, t GROUP BY 1""")
 def fuzzy_target(spark, table):
-    targets = ["licence", "widgets", "q"]
-    hits = table("part").agg(*[F.count_if(C.fuzzy_hit(F.lit(t), F.col("p_name"))).alias(t) for t in targets])
+    targets = ["licence", "widgets", "q", "xq"]
+    hits = table("documents").agg(*[F.count_if(C.fuzzy_hit(F.lit(t), F.col("text"))).alias(t) for t in targets])
     return hits.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("hits")) for t in targets])).alias("x")).select("x.*")
 
 
-@query("""SELECT c.conv_id, c.turn, c.role, contains(c.text, f.role) AS verbatim, (contains(c.text, f.role) OR contains(replace(c.text, ' ', ''), replace(f.role, ' ', ''))) AS found FROM conversations c JOIN conversations f ON c.conv_id = f.conv_id AND f.turn = 0""")
-def quote_check(spark, table):
-    turns = table("conversations")
-    first = turns.where("turn = 0").select("conv_id", F.col("role").alias("quote"))
-    return turns.join(first, "conv_id").select("conv_id", "turn", "role", F.contains("text", F.col("quote")).alias("verbatim"), C.quote_exists(F.col("quote"), F.col("text")).alias("found"))
-
-
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?s)<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def html_to_text(spark, table):
     return table("pages").select("page_id", C.html_to_text(F.col("html")).alias("text"))
@@ -350,9 +339,10 @@ def majority_label(spark, table):
 @query("""SELECT c_mktsegment AS theme_id, count(*) AS records, count(DISTINCT c_nationkey) AS users, count(DISTINCT c_custkey % 7) AS videos FROM customer GROUP BY 1""")
 def theme_statistics(spark, table):
     customers = table("customer")
-    themes = customers.groupBy(F.col("c_mktsegment").alias("theme_id")).agg(F.collect_set("c_custkey").alias("signal_ids"))
+    themes = customers.select(F.col("c_mktsegment").alias("theme_id"), F.array("c_custkey").alias("signal_ids"))
+    members = A.theme_members(themes)
     signals = customers.select(F.col("c_custkey").alias("signal_id"), F.col("c_custkey").alias("record_id"), F.col("c_nationkey").alias("user_key"), (F.col("c_custkey") % 7).alias("video_id"))
-    return A.theme_statistics(themes, signals)
+    return A.theme_statistics(members, signals)
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_totalprice < 20000 THEN 'too_small' WHEN o_orderstatus = 'F' THEN 'processed' WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'passed' END AS reason FROM orders) GROUP BY 1""")
@@ -422,6 +412,10 @@ def reply_structure(spark, table):
     return table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("replies"), F.count_if(C.is_root(F.col("turn"))).alias("roots"))
 
 
+for _module in (evidence_queries, outreach_queries):
+    assert _module  # importing them registers their queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
