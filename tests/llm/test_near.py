@@ -5,6 +5,7 @@ import pytest
 
 from threadloom.llm import decontaminate as DC
 from threadloom.llm import ngram_jaccard as J
+from threadloom.llm.common import Scratch
 from threadloom.llm.components import connected_components
 
 FIELDS = "doc_id long, text string, lang string, sid int, a string"
@@ -55,6 +56,41 @@ def brute(rows):
     return {d: min(c) for c in classes.values() for d in c}
 
 
+def brute_links(rows):
+    """Other shingle sets that reach the threshold, for each row."""
+    sets = {d: frozenset(J.shingle_set(t).tolist()) for d, t in rows}
+    different = set(sets.values())
+    return {d: sum(x != s and len(x & s) >= J.THRESHOLD * len(x | s) > 0 for x in different) for d, s in sets.items()}
+
+
+def test_block_products_are_pairwise_jaccard():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(1, 40))), rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)])) for _ in range(60)]
+    for threshold in (0.3, 0.8):
+        want = np.array([[J.jaccard(a, b) >= threshold for b in sets[25:]] for a in sets[:25]])
+        assert np.array_equal(J.similar(sets[:25], sets[25:], threshold, chunk=16), want)
+    assert J.similar(sets[:1], [np.array([5], dtype=np.uint64)], 0.8).tolist() == [[False]]
+
+
+def test_counts_of_a_large_class_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "COUNT_BLOCK", 7)
+    rng = np.random.default_rng(11)
+    base = words(rng, 150)
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for k in rng.integers(0, len(t), int(rng.integers(1, 5))):
+            t[k] = "new%d" % rng.integers(0, 10**6)
+        rows.append((i, " ".join(t)))
+    rows += [(100, " ".join(words(rng, 20_000))), (None, rows[0][1]), (None, None)]
+    got = J.jaccard_classes(frame(spark, rows)).collect()
+    want = brute_links(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got if r["doc_id"] is not None} == {d: n for d, n in want.items() if d is not None}
+    assert J.one_of_each_class(frame(spark, [*rows, (None, rows[0][1]), (None, rows[0][1])])).count() == len({r["class_id"] for r in got if r["class_id"] is not None}) + 1
+
+
 @pytest.mark.parametrize("small", [2, 16])
 def test_classes(spark, monkeypatch, small):
     monkeypatch.setattr(J, "SMALL", small)
@@ -63,6 +99,7 @@ def test_classes(spark, monkeypatch, small):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows) and len(got) == len(rows)
     copies = {r["doc_id"]: (r["n_copies"], r["n_links"]) for r in got}
     assert copies[0][0] == 3 and copies[900] == (4, 0) and copies[1][1] == 1
+    assert {d: n for d, (_, n) in copies.items()} == brute_links(rows)
 
 
 def test_one_of_each_class(spark):
@@ -91,7 +128,8 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark, "components-test") as scratch:
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {x: find(x) for x in parent}
 
 

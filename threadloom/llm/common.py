@@ -19,6 +19,7 @@ from threadloom.llm.files import remove_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_results: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +43,13 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a cut in the lineage that outlives any executor."""
+    """Write a table to the shared folder and read it back: a cut in the lineage that outlives any executor.
+
+    The table stays as long as the driver's process, or until ``clean_up``.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    _results.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,8 +57,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 class Scratch:
     """Tables that an operator writes to the shared folder while it runs; ``with`` removes them, also when it fails.
 
-    What the operator gives back must depend on results alone. These outlive it, for as long as the driver's process or
-    until ``clean_up``.
+    What the operator gives back must depend on results alone, which outlive it.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -72,13 +76,7 @@ class Scratch:
         return self._spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        path = fresh_path(self._spark, self._tag)
-        df.write.parquet(path)
-        _results.append(path)
-        return self._spark.read.schema(df.schema).parquet(path)
-
-
-_results: list[str] = []
+        return materialise(df, self._tag)
 
 
 @atexit.register
