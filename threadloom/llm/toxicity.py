@@ -10,18 +10,21 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import crc_mod, give_back, materialise
+from threadloom.llm.common import Scratch, crc_mod, give_back
 
 #: Bounds of the labelled sample that the classifier is fitted on.
 SAMPLE_TOXIC = 3_000
 SAMPLE_CLEAN = 6_000
 LEXICON_SIZE = 400
+#: Parts of the sample that calibration predicts in turn, by a lexicon and trees of the others.
+FOLDS = 4
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 NEAR = 6  # words
@@ -201,25 +204,26 @@ class ToxicityModel:
         return np.clip(0.999 * np.interp(raw, *self.levels) + 0.001 * raw, 0.0, 1.0)
 
 
-def fit(texts_features: np.ndarray, labels: np.ndarray, weight: np.ndarray, lexicon: frozenset[str], folds: int = 4) -> ToxicityModel:
-    """Trees on all rows; calibration on the predictions of trees that did not see the row."""
+def fit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, lexicon: frozenset[str]) -> ToxicityModel:
+    """Trees on all rows; calibration on predictions by a lexicon and trees that did not see the row.
+
+    features: sets of features x rows x features; the first by the whole lexicon, the k-th by that of the rows outside fold k.
+    """
     y = labels.astype(float)
-    fold = np.zeros(len(y), dtype=int)
-    for label in (0, 1):  # dealt within each label, else the order of rows could leave a label out of the others
-        fold[labels == label] = np.arange(int((labels == label).sum())) % folds
     out = np.zeros(len(y))
-    for k in range(folds):
-        seen = fold != k
-        out[~seen] = Trees().fit(texts_features[seen], y[seen], weight[seen]).probability(texts_features[~seen]) if seen.any() else y.mean()
-    return ToxicityModel(lexicon, Trees().fit(texts_features, y, weight), isotonic(out, y, weight))
+    for k in range(1, len(features)):
+        own, seen = fold == k, fold != k
+        if own.any():
+            out[own] = Trees().fit(features[k][seen], y[seen], weight[seen]).probability(features[k][own]) if seen.any() else y.mean()
+    return ToxicityModel(lexicon, Trees().fit(features[0], y, weight), isotonic(out, y, weight))
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: word or stem, texts with it by label, and which of 64 classes of preceding words toxic texts show."""
-    counts = (Counter(), Counter())
-    before: dict[str, int] = defaultdict(int)
+    """Per task and fold: word or stem, texts with it by label, and which of 63 classes of preceding words toxic texts show."""
+    counts: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    before: dict[tuple[int, str], int] = defaultdict(int)
     for pdf in batches:
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+        for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
             words = [w for w in (_EDGE.sub("", t) for t in text.lower().split()) if w and w.isalpha()]
             terms = set()
             last = ""
@@ -229,39 +233,54 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if toxic:
                     bit = 1 << (sum(last.encode()) % 63)
                     for s in own:
-                        before[s] |= bit
+                        before[fold, s] |= bit
                 last = w
-            counts[int(toxic)].update(terms)
-    terms = list(counts[0].keys() | counts[1].keys())
-    yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms], "before": [before.get(t, 0) for t in terms]})
+            counts[fold, int(toxic)].update(terms)
+    for fold in {k for k, _ in counts}:
+        terms = list(counts[fold, 0].keys() | counts[fold, 1].keys())
+        yield pd.DataFrame({"term": terms, "fold": fold, "toxic": [counts[fold, 1][t] for t in terms], "clean": [counts[fold, 0][t] for t in terms], "before": [before.get((fold, t), 0) for t in terms]})
 
 
-def learn_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Terms of a (text, toxic) sample that mark the toxic label.
+def learn_lexicons(sample: DataFrame, scratch: Scratch) -> list[frozenset[str]]:
+    """Terms of a (text, toxic, fold) sample that mark the toxic label: of the whole sample, then of it without each fold.
 
     In toxic texts at least 20 times as common as in clean ones, in half a percent of them, and after many different words,
     which tells a term that recurs by itself from one that copies of a single text repeat.
     """
-    totals = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    terms = (
-        sample.select("text", "toxic")
-        .mapInPandas(_term_counts, "term string, toxic long, clean long, before long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("before").alias("before"))
-        .withColumn("odds", F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0)))
-        .where((F.col("toxic") >= max(4, 0.005 * n1)) & (F.col("odds") > float(np.log(20))) & (F.bit_count("before") >= F.least(F.lit(10), F.col("toxic") * 0.6)))
-        .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term")
-        .limit(LEXICON_SIZE)
-    )
-    return frozenset(GIVEN) | {r["term"] for r in terms.collect()}
+    totals = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    counted = sample.select("text", "toxic", "fold").mapInPandas(_term_counts, "term string, fold int, toxic long, clean long, before long")
+    by_fold = [
+        column
+        for k in range(1, FOLDS + 1)
+        for column in (
+            F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("toxic"))), F.lit(0)).alias(f"toxic{k}"),
+            F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("clean"))), F.lit(0)).alias(f"clean{k}"),
+            F.coalesce(F.bit_or(F.when(F.col("fold") == k, F.col("before"))), F.lit(0)).alias(f"before{k}"),
+        )
+    ]
+    terms = scratch.keep(counted.groupBy("term").agg(*by_fold).where(" + ".join(f"toxic{k}" for k in range(1, FOLDS + 1)) + " >= 4"), "terms")
+    found = []
+    for left_out in range(FOLDS + 1):
+        others = [k for k in range(1, FOLDS + 1) if k != left_out]
+        n1, n0 = (sum(totals.get((k, label), 0) for k in others) for label in (1, 0))
+        toxic, clean = (reduce(lambda a, b: a + b, [F.col(f"{name}{k}") for k in others]) for name in ("toxic", "clean"))
+        before = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"before{k}") for k in others])
+        own = (
+            terms.select("term", toxic.alias("toxic"), clean.alias("clean"), before.alias("before"))
+            .withColumn("odds", F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0)))
+            .where((F.col("toxic") >= max(4, 0.005 * n1)) & (F.col("odds") > float(np.log(20))) & (F.bit_count("before") >= F.least(F.lit(10), F.col("toxic") * 0.6)))
+            .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term")
+            .limit(LEXICON_SIZE)
+        )
+        found.append(frozenset(GIVEN) | {r["term"] for r in own.collect()})
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> ToxicityModel | None:
     """Fit on a bounded sample of ``labels`` (doc_id, toxic), by least hash in each class; None without both classes.
 
-    Rows of unknown label are left out, an id labelled twice counts as toxic if once so marked, and the sample's ids are
-    few enough by construction to be broadcast.
+    Rows of unknown label are left out, an id labelled twice counts as toxic if once so marked, one with several texts has
+    that of least hash, and the sample's ids are few enough by construction to be broadcast.
     """
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -269,23 +288,27 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXI
         return None
     share = {k: min(1.0, n / counts[k]) for k, n in ((0, sample_clean), (1, sample_toxic))}
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, share[1] * (1 << 30)).otherwise(share[0] * (1 << 30)))
-    sample = materialise(
-        docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "toxicity-sample"
-    )
-    lexicon = learn_lexicon(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(shared.value)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "x": list(feature_rows(list(pdf["text"]), tokens))})
-
-    found = sample.mapInPandas(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, x array<double>").orderBy("doc_id").toPandas()
+    dealt = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the bounded sample
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        one = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+        sample = scratch.keep(one.withColumn("fold", (F.pmod(dealt, F.lit(FOLDS)) + 1).cast("int")), "sample")  # dealt within each label
+        lexicons = learn_lexicons(sample, scratch)
+        shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tokens = [Tokens(lexicon) for lexicon in shared.value]
+            for pdf in batches:
+                texts, fold = list(pdf["text"]), pdf["fold"].to_numpy()
+                x = np.stack([feature_rows(texts, t) for t in tokens], axis=1) if texts else np.zeros((0, len(tokens), len(FEATURES)))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "fold": fold, "x": list(x.reshape(len(texts), -1))})
+
+        found = sample.mapInPandas(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, fold int, x array<double>").orderBy("doc_id").toPandas()
     y = found["toxic"].to_numpy()
     if len(set(y)) < 2:
         return None
     weight = np.where(y == 1, 1.0 / share[1], 1.0 / share[0])
-    return fit(np.array(found["x"].tolist()), y, weight / weight.mean(), lexicon)
+    x = np.array(found["x"].tolist()).reshape(len(y), len(lexicons), len(FEATURES)).swapaxes(0, 1)
+    return fit(x, y, weight / weight.mean(), found["fold"].to_numpy(), lexicons[0])
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +347,11 @@ def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose score stays below the threshold."""
+    """The rows of docs, all columns unchanged, whose score stays below the threshold.
+
+    A null text counts as empty; very long ones are scored whole; rows of equal text stay or go together; without a model
+    all stay; an empty table gives an empty table; no column name can clash, as a row's own columns travel as one.
+    """
     columns = docs.columns
     place = F.struct(*[docs[c] for c in columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)
