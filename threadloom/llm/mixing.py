@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.llm.common import WORD, materialise
+from threadloom.llm.common import WORD, Scratch
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -83,10 +83,10 @@ def _bucket() -> Column:
     return F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * n).cast("long")
 
 
-def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def mixing_plan(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row a source: target, epochs and where in key order the fractional epoch ends (__cut bucket, __last key in it)."""
     sizes = rows.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__rows"))
-    plan = materialise(source_targets(sizes, weights, cap), "mix-plan")
+    plan = scratch.keep(source_targets(sizes, weights, cap), "plan")
     placed = join_plan(rows, plan).withColumn("__bucket", _bucket())
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
@@ -101,20 +101,21 @@ def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
         .agg(F.min(F.struct("__bucket", "__before")).alias("c"))
         .select("__source", F.col("c.__bucket").alias("__cut"), F.col("c.__before").alias("__cut_before"))
     )
-    plan = materialise(plan.join(cut, plan["__source"].eqNullSafe(cut["__source"]), "left").drop(cut["__source"]), "mix-cut")
-    running = Window.partitionBy("__source").orderBy("__key", "__id", "__digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy("__source", "__key", "__id", "__digest")
+    plan = scratch.keep(plan.join(cut, plan["__source"].eqNullSafe(cut["__source"]), "left").drop(cut["__source"]), "cut")
+    running = Window.partitionBy("__source").orderBy("__key", "__id", "__digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         join_plan(rows, plan)
         .withColumn("__bucket", _bucket())
         .where(F.col("__bucket") == F.col("__cut"))
-        .withColumn("__end", F.col("__cut_before") + F.sum("__size").over(running))
-        .withColumn("__start", F.col("__end") - F.sum("__size").over(peers))
+        .groupBy("__source", "__key", "__id", "__digest", "__cut_before", "__rest")  # rows equal in id and text as one
+        .agg(F.sum("__size").alias("__own"))
+        .withColumn("__end", F.col("__cut_before") + F.sum("__own").over(running))
+        .withColumn("__start", F.col("__end") - F.col("__own"))
         .where((F.col("__end") <= F.col("__rest")) | ((F.col("__start") < F.col("__rest")) & (F.col("__end") - F.col("__rest") <= F.col("__rest") - F.col("__start"))))
         .groupBy("__source")
         .agg(F.max(F.struct("__key", "__id", "__digest")).alias("__last"))
     )
-    return materialise(plan.join(edge, plan["__source"].eqNullSafe(edge["__source"]), "left").drop(edge["__source"]), "mix-edge")
+    return scratch.keep(plan.join(edge, plan["__source"].eqNullSafe(edge["__source"]), "left").drop(edge["__source"]), "edge")
 
 
 def join_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -124,41 +125,48 @@ def join_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _times() -> Column:
-    """How often the mix takes a row: whole epochs, and once more if its key comes before the cut."""
+    """How often the mix takes a row: whole epochs, and once more if its key comes before the cut; one without words once."""
     key = F.struct("__key", "__id", "__digest")
     bucket = _bucket()
     once_more = F.when(F.col("__cut").isNull(), F.col("__rest") > 0).otherwise((bucket < F.col("__cut")) | ((bucket == F.col("__cut")) & F.coalesce(key <= F.col("__last"), F.lit(False))))
-    return (F.col("__epochs") + F.coalesce(once_more, F.lit(False)).cast("long")).cast("long")
+    return F.when(F.col("__size") == 0, 1).otherwise(F.col("__epochs") + F.coalesce(once_more, F.lit(False)).cast("long")).cast("long")
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document doc_id, source, size (words), source_size, target, times, taken (size * times).
 
-    Null texts have size 0 and take nothing; null is a source of its own; rows equal in id and text stand or fall
-    together; an empty table gives an empty table. Other columns are not read. A source's taken words differ from its
+    Texts without words (null, empty) have size 0, take no words and count once; null is a source of its own, and null an
+    id; very long texts count whole; rows equal in id and text stand or fall together; ties of keys go by id, then text;
+    an empty table gives an empty table. Other columns are not read. A source's taken words differ from its
     target by at most half of one document (or of one group of equal rows). The same rows give the same mix.
     """
-    rows = materialise(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)), "mix-rows")
-    return (
-        join_plan(rows, mixing_plan(rows, weights, cap))
-        .withColumn("times", _times())
-        .select(
-            F.col("__id").alias("doc_id"),
-            F.col("__source").alias("source"),
-            F.col("__size").alias("size"),
-            F.col("__source_size").alias("source_size"),
-            F.col("__target").alias("target"),
-            "times",
-            (F.col("__size") * F.col("times")).alias("taken"),
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        rows = scratch.keep(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)), "rows")
+        return scratch.result(
+            join_plan(rows, mixing_plan(rows, scratch, weights, cap))
+            .withColumn("times", _times())
+            .select(
+                F.col("__id").alias("doc_id"),
+                F.col("__source").alias("source"),
+                F.col("__size").alias("size"),
+                F.col("__source_size").alias("source_size"),
+                F.col("__target").alias("target"),
+                "times",
+                (F.col("__size") * F.col("times")).alias("taken"),
+            )
         )
-    )
 
 
 def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document's own columns, as many rows as the mix takes it times."""
+    """The mix itself: each document's own columns, as many rows as the mix takes it times.
+
+    Rows without words (null, empty) cost no words and come once each. Repeated rows are repeated alike; an empty table
+    gives an empty table; no column name can clash, as a row's own columns travel as one.
+    """
     columns = docs.columns
     own = docs.select(F.struct(*[docs[c] for c in columns]).alias("__doc"), *_keyed(docs, id_col, text_col, source_col, seed))
-    plan = mixing_plan(materialise(own.drop("__doc"), "mix-rows"), weights, cap)
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        plan = scratch.result(mixing_plan(scratch.keep(own.drop("__doc"), "rows"), scratch, weights, cap))
     return (
         join_plan(own, plan)
         .withColumn("__times", _times())
