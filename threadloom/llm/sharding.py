@@ -16,6 +16,8 @@ from threadloom.llm.common import doc_columns, utf8
 
 #: Rows of a slot bucket, about. Buckets spread a shard's numbering over tasks.
 BUCKET_ROWS = 5_000
+#: Equal rows that are numbered from one array.
+RUN = 4_096
 
 
 def greedy_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -50,7 +52,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", t
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null: this law promises nothing for growth).
 
     size: UTF-8 bytes of the text plus 1; a null text has none and shares the empty text's group. Slots run from 0 without
-    gaps within a shard, ordered by a hash bucket, doc_id and digest; equal rows may swap slots. Shards at the end stay
+    gaps within a shard, ordered by a hash bucket, doc_id (null first) and digest; rows equal in both have neighbouring
+    slots. Very long texts are one group like any other. Shards at the end stay
     empty when there are fewer groups than shards. An empty table gives an empty table. Other columns are not read.
     Driver: at most 2**unit_bits sizes, whatever the input. A shard exceeds the best cut over single groups by less than
     one unit, which is one group when the groups are few and 1/65536 of the bytes when they are many.
@@ -71,26 +74,31 @@ def assign_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", t
     lasts = [units[end - 1]["__unit"] for end in cuts[:-1] if end]
     shard = sum(((F.col("__unit") > u).cast("int") for u in lasts), F.lit(0))
     buckets = max(1, -(-sum(u.n for u in units) // (BUCKET_ROWS * shards)))
-    rows = rows.select(
-        "doc_id", "size", "text_crc32", "__digest", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "__digest"), F.lit(buckets)).alias("__bucket")
-    )
+    named = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest"))
+    bucket = F.pmod(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    keyed = rows.select("doc_id", "size", "text_crc32", "__digest", shard.alias("shard"), bucket.alias("__bucket"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("shard", "__bucket")
+        keyed.groupBy("shard", "__bucket")
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
-    place = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("doc_id", "__digest"))
+    # Rows equal in id and text are one row with their number here, and are numbered apart by arithmetic.
+    equal = keyed.groupBy("shard", "__bucket", "doc_id", "__digest", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "__digest").rowsBetween(Window.unboundedPreceding, -1)
+    runs = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long"))
     return (
-        rows.withColumn("__place", place)
+        equal.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
         .join(starts, ["shard", "__bucket"])
+        .select("*", F.explode(runs).alias("__run"))
+        .select("*", F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + RUN, F.col("__n")) - 1)).alias("__nth"))
         .select(
             "doc_id",
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),
             F.col("shard").cast("int").alias("shard"),
-            (F.col("__start") + F.col("__place") - 1).cast("long").alias("slot"),
+            (F.col("__start") + F.col("__ahead") + F.col("__nth")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )
