@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.llm.common import WORD, materialise
+from threadloom.llm.common import WORD, Scratch
 
 MIN_WORDS = 3
 
@@ -36,14 +36,14 @@ def _line_structs(text: Column) -> Column:
     return F.filter(numbered, lambda x: x["words"] > 0)
 
 
-def line_sequence(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
+def line_sequence(docs: DataFrame, id_col: str, text_col: str, kept: list[str], scratch: Scratch) -> DataFrame:
     """Lines in document order: doc_id, kept columns aside, gpos (place in the whole sequence), i (among the doc's lines).
 
     Sorting by doc_id deals narrow rows over ranges; ids rise with the range and within it, so gpos follows the order.
     Documents of one id follow each other by their lines' hash.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), _line_structs(F.col(text_col)).alias("lines"), *kept)
-    hashed = materialise(own.withColumn("tie", F.xxhash64("lines")), "line-hashes")  # the sort reads its input twice
+    hashed = scratch.keep(own.withColumn("tie", F.xxhash64("lines")), "hashes")  # the sort reads its input twice
     ordered = hashed.orderBy("doc_id", "tie").drop("tie")
     return (
         ordered.select("doc_id", *kept, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
@@ -52,22 +52,22 @@ def line_sequence(docs: DataFrame, id_col: str, text_col: str, kept: list[str])
     )
 
 
-def _ranked(groups: DataFrame, by: list[str], tag: str) -> DataFrame:
+def _ranked(groups: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
     """Distinct keys that occur twice or more, numbered in sorted order. Written once, so the numbers stay."""
-    return materialise(groups.where("n_same > 1").orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank")), tag)
+    return scratch.keep(groups.where("n_same > 1").orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank")), "ranks")
 
 
-def _first_ranks(lines: DataFrame) -> DataFrame:
-    return _ranked(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_same")), ["k1", "k2"], "line-ranks")
+def _first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    return _ranked(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_same")), ["k1", "k2"], scratch)
 
 
-def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
+def _doubled(suffixes: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """From ranks by ``step`` lines those by twice as many; suffixes that no other shares are dropped."""
     ahead = Window.partitionBy("doc").orderBy("i").rangeBetween(step, step)
     pairs = suffixes.withColumn("next", F.max("rank").over(ahead)).where("next IS NOT NULL").withColumnRenamed("rank", "first")
-    pairs = materialise(pairs, "line-pairs")
-    ranks = _ranked(pairs.groupBy("first", "next").agg(F.count(F.lit(1)).alias("n_same")), ["first", "next"], "line-ranks")
-    return materialise(pairs.join(ranks, ["first", "next"]).select("doc", "i", "gpos", "rank"), "line-suffixes")
+    pairs = scratch.keep(pairs, "pairs")
+    ranks = _ranked(pairs.groupBy("first", "next").agg(F.count(F.lit(1)).alias("n_same")), ["first", "next"], scratch)
+    return scratch.keep(pairs.join(ranks, ["first", "next"]).select("doc", "i", "gpos", "rank"), "suffixes")
 
 
 def _windows(marked: DataFrame, min_words: int) -> DataFrame:
@@ -103,11 +103,11 @@ def _windows(marked: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """gpos of every line that lies in a run of at least ``min_words`` words that has occurred before in ``lines``."""
-    marked = lines.select("doc", "n", "i", "gpos", "words", "k1", "k2").join(_first_ranks(lines), ["k1", "k2"], "left").select("doc", "n", "i", "gpos", "words", "rank")
-    marked = materialise(marked, "line-marked")
-    windows = materialise(_windows(marked, min_words), "line-windows")
+    marked = lines.select("doc", "n", "i", "gpos", "words", "k1", "k2").join(_first_ranks(lines, scratch), ["k1", "k2"], "left").select("doc", "n", "i", "gpos", "words", "rank")
+    marked = scratch.keep(marked, "marked")
+    windows = scratch.keep(_windows(marked, min_words), "windows")
     longest = windows.agg(F.max("m")).first()[0] or 0
     suffixes = marked.where("rank IS NOT NULL").select("doc", "i", "gpos", "rank")
     named, k = [], 0
@@ -117,13 +117,13 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         tail = suffixes.select(F.col("gpos").alias("tail"), F.col("rank").alias("r2"))
         named.append(own.join(head, "start").join(tail, "tail").select("m", "r1", "r2", "start"))
         if (2 << k) <= longest:
-            suffixes = _doubled(suffixes, 1 << k)
+            suffixes = _doubled(suffixes, 1 << k, scratch)
         k += 1
     if not named:
         return marked.where(F.lit(False)).select("gpos")
-    named = materialise(reduce(DataFrame.unionByName, named), "line-named")
+    named = scratch.keep(reduce(DataFrame.unionByName, named), "named")
     firsts = named.groupBy("m", "r1", "r2").agg(F.min("start").alias("earliest"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").drop("n_same")
-    firsts = materialise(firsts, "line-firsts")  # read back, it has no partitioning that would keep Spark from splitting a hot window
+    firsts = scratch.keep(firsts, "firsts")  # read back, it has no partitioning that would keep Spark from splitting a hot window
     later = named.join(firsts, ["m", "r1", "r2"]).where("start > earliest")
     return later.select(F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("gpos")).distinct()
 
@@ -133,23 +133,25 @@ def line_decisions(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
 
     Lines are split at line feeds; lines without a word are neither compared nor deleted; n_lines counts the others. The
     first copy by doc_id (then by the lines' hash, null first) stays, also within one document. Null and empty texts have
-    no lines and no row; repeated rows are copies like any other; an empty table gives an empty table; other columns are
+    no lines and no row; very long texts are split like any other; a null doc_id comes first; repeated rows are copies; an empty table gives an empty table; other columns are
     not read. Two lines are equal if 128 bits of hashes are.
     """
-    lines = materialise(line_sequence(docs, id_col, text_col, []), "line-sequence")
-    gone = repeated_lines(lines, min_words).withColumn("gone", F.lit(True))
-    return (
-        lines.join(gone, "gpos", "left")
-        .groupBy("doc", "doc_id")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("deleted"))
-        .select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "deleted")
-    )
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        lines = scratch.keep(line_sequence(docs, id_col, text_col, [], scratch), "sequence")
+        gone = repeated_lines(lines, scratch, min_words).withColumn("gone", F.lit(True))
+        return scratch.result(
+            lines.join(gone, "gpos", "left")
+            .groupBy("doc", "doc_id")
+            .agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("deleted"))
+            .select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "deleted")
+        )
 
 
 def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row with its repeated lines removed; texts that lose every line become empty, null stays."""
-    own = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id()), "line-texts")
-    lines = materialise(line_sequence(own, "doc_id", "text", ["uid"]), "line-sequence")
-    gone = lines.join(repeated_lines(lines, min_words), "gpos").groupBy("uid").agg(F.collect_set("line_no").alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
-    return own.join(gone, "uid", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        own = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id()), "texts")
+        lines = scratch.keep(line_sequence(own, "doc_id", "text", ["uid"], scratch), "sequence")
+        gone = lines.join(repeated_lines(lines, scratch, min_words), "gpos").groupBy("uid").agg(F.collect_set("line_no").alias("gone"))
+        kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
+        return scratch.result(own.join(gone, "uid", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")))
