@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import crc_mod
@@ -22,10 +22,10 @@ from threadloom.llm.common import crc_mod
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 MAX_N = 4
-#: Bounds of the training sample: texts a language, landmarks in all, and languages (the most frequent).
+#: Bounds of the training sample: different texts a language, and in all (with many languages each has fewer); landmarks.
 SAMPLE_PER_LANGUAGE = 200
+SAMPLE = 40_000
 LANDMARKS = 320
-MAX_LANGUAGES = 200
 RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
@@ -107,7 +107,6 @@ def fit_kernel_ridge(bits: list[bytes], labels: list[str], ridge: float = RIDGE,
 
 def _training_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf = pdf[[has_letters(t) for t in pdf["text"]]]
         bits = []
         for t in pdf["text"]:
             row = np.zeros(DIM, dtype=bool)
@@ -116,22 +115,24 @@ def _training_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": pdf["h"], "lang": pdf["lang"], "bits": bits})
 
 
-def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded sample of (doc_id, text, lang): per language those of least hash, whole texts as presence bits."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> LanguageModel:
+    """Fit on a bounded sample of (text, lang): of each language the different texts of least hash, whole, as presence bits.
+
+    Every language that labels a text with letters can be predicted, however rare. A text repeated in a language counts
+    once; one that several languages claim counts in each.
+    """
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h")).where(F.regexp_like("text", F.lit(r"\p{L}")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not counts:
         return fit_kernel_ridge([], [])
+    most = max(1, min(sample_per_language, sample // len(counts)))
     span = float(2**63)
-    edge = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * sample_per_language / r["count"]) * 2 * span - span)])
-    near = rows.where(F.col("h").cast("double") <= edge[F.col("lang")])
-    bits = near.mapInPandas(_training_bits, "h long, lang string, bits binary").orderBy("h", "lang").limit(2 * sample_per_language * len(counts))
-    taken: dict[str, list[bytes]] = {}
-    for r in bits.collect():
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < sample_per_language:
-            own.append(bytes(r["bits"]))
-    return fit_kernel_ridge([b for v in taken.values() for b in v], [k for k, v in taken.items() for _ in v])
+    edges = [(r["lang"], float(min(1.0, (1.5 * most + 30) / r["n"]) * 2 * span - span)) for r in counts]
+    near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(edges, "lang string, edge double")), "lang").where(F.col("h").cast("double") <= F.col("edge"))
+    once = near.dropDuplicates(["lang", "h"]).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= most)
+    bits = once.select("h", "lang", "text").mapInPandas(_training_bits, "h long, lang string, bits binary").collect()
+    taken = sorted(bits, key=lambda r: (r["lang"], r["h"]))
+    return fit_kernel_ridge([bytes(r["bits"]) for r in taken], [r["lang"] for r in taken])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +156,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from the labelled rows outside one fold of crc32(doc_id), then identify all rows."""
-    model = train(docs.where(crc_mod("doc_id", folds) != held).select("doc_id", "text", "lang"))
+    model = train(docs.where(crc_mod("doc_id", folds) != held).select("text", "lang"))
     said = identify(docs, model)
     return said.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
