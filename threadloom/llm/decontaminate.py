@@ -27,7 +27,7 @@ from threadloom.llm.common import give_back
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Least share of an item's full alignment score that counts as a copy of it.
 THRESHOLD = 0.5
-#: Characters of the items of one block, at most (but for a block of a single item).
+#: Characters of the items of one block, at most (but for a single item that is longer).
 BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -133,12 +133,20 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list]:
-    """The items, block by block; a block's size is summed before any of it is fetched."""
+    """The items, block by block; blocks' sizes are summed before any of one is fetched."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").dropDuplicates()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        largest = items.groupBy(block.alias("b")).agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.max("chars")).first()[0] or 0
+        if largest <= block_chars:
+            break
+        n *= 2
     for k in range(n):
-        yield sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=str)
+        rows = sorted(((r["item_id"], r["text"]) for r in items.where(block == k).collect()), key=str)
+        if rows:
+            yield rows
 
 
 def prepared_blocks(benchmark: DataFrame, threshold: float, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
@@ -153,8 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     """(doc_id, item_id, score, first_word, end_word): each row's best copy of each item that scores at least the threshold.
 
     score is the alignment's share of the item's full score: 1 for a copy of all its words, whatever case and
-    punctuation. Null, empty and wordless texts and items match nothing; repeated rows each have their own results, as
-    have repeated items of different text. Empty tables give an empty result; other columns are not read.
+    punctuation. Of several copies in a text the best counts, of equally good ones the first. Very long texts are searched
+    whole, an item longer than a block alone in its block. Null, empty and wordless texts and items match nothing; null ids
+    are kept; repeated rows each have their own results, as have repeated items of different text. Empty tables give an
+    empty result; other columns are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fields = f"doc_id {dict(own.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, score double, first_word long, end_word long"
@@ -182,7 +192,11 @@ def _without_matches(shared):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns unchanged, that hold no copy of an item."""
+    """The rows of docs, all columns unchanged, that hold no copy of an item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; without items all stay; an empty table gives
+    an empty table; no column name can clash, as a row's own columns travel as one.
+    """
     columns = docs.columns
     kept = docs
     for block in prepared_blocks(benchmark, threshold, block_chars):
