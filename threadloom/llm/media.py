@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.llm.common import fresh_path, materialise, utf8
-from threadloom.llm.files import Ranges, Writer, make_dir, open_fs, remove_dir
+from threadloom.llm.common import Scratch, fresh_path, utf8
+from threadloom.llm.files import Ranges, Writer, make_dir, open_fs
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -126,8 +126,8 @@ class _Shard:
             self._out.close()
 
 
-def store(docs: DataFrame, rows: DataFrame, root: str | None = None, *, text_col: str = "text") -> DataFrame:
-    """Write the tar shards of all distinct payloads below ``root``; their index (digest, shard, offset, length).
+def store(docs: DataFrame, rows: DataFrame, scratch: Scratch, root: str | None = None, *, text_col: str = "text") -> DataFrame:
+    """Write the tar shards of all distinct payloads below ``root``; their index (digest, shard, offset, length) in scratch.
 
     ``rows``: the written ``digests`` of docs. Of them only digests are shuffled: each gets one owner, the least input
     partition that holds it, and that partition's task encodes and writes it straight into its shard. Should a partition
@@ -137,11 +137,12 @@ def store(docs: DataFrame, rows: DataFrame, root: str | None = None, *, text_col
     root = root or fresh_path(docs.sparkSession, "media")
     make_dir(root)
     owners = rows.groupBy("digest").agg(F.min("part").alias("part"))
-    owners.repartition("part").write.partitionBy("part").parquet(f"{root}/owners")
+    owner_files = f"{scratch.root}/owners"
+    owners.repartition("part").write.partitionBy("part").parquet(owner_files)
     texts = docs.select(F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owned, shard = _owned(f"{root}/owners", TaskContext.get().partitionId()), _Shard(root)
+        owned, shard = _owned(owner_files, TaskContext.get().partitionId()), _Shard(root)
         for pdf in batches:
             found = []
             for text in pdf["text"]:
@@ -165,14 +166,13 @@ def store(docs: DataFrame, rows: DataFrame, root: str | None = None, *, text_col
             yield pd.DataFrame(found, columns=["digest", "shard", "offset", "length"])
         shard.close()
 
-    index = materialise(texts.mapInPandas(write, INDEX), "media-index")
-    left = materialise(owners.select("digest").join(index.select("digest"), "digest", "left_anti"), "media-left")
+    index = scratch.keep(texts.mapInPandas(write, INDEX), "index")
+    left = scratch.keep(owners.select("digest").join(index.select("digest"), "digest", "left_anti"), "left")
     if left.limit(1).count():
         payload = payload_column(text_col)
         again = docs.select(F.unhex(F.sha2(payload, 256)).alias("digest"), payload.alias("payload")).join(left, "digest", "left_semi")
         more = again.dropDuplicates(["digest"]).repartition("digest").mapInPandas(write_left, INDEX)
-        index = materialise(index.union(more), "media-index")
-    remove_dir(f"{root}/owners")
+        index = scratch.keep(index.union(more), "index")
     return index
 
 
@@ -222,7 +222,8 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     are; rows are never grouped, so a hot text is only a hot join key, which Spark splits. An empty table gives an empty
     table; other columns are not read.
     """
-    rows = materialise(digests(docs, id_col=id_col, text_col=text_col), "media-rows")
-    index = store(docs, rows, text_col=text_col)
-    features = read_back(metadata(index)).join(index.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest")).drop("__digest")
-    return rows.drop("part").join(materialise(features, "media-features"), "digest").drop("digest")
+    with Scratch(docs.sparkSession, "media") as scratch:
+        rows = scratch.result(digests(docs, id_col=id_col, text_col=text_col))
+        index = store(docs, rows, scratch, text_col=text_col)
+        features = read_back(metadata(index)).join(index.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest")).drop("__digest")
+        return rows.drop("part").join(scratch.result(features), "digest").drop("digest")
