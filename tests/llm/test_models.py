@@ -7,9 +7,12 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import language_id as L
 from threadloom.llm import lm_scoring as M
 from threadloom.llm import toxicity as T
+from threadloom.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, score double, toxic int"
 SYLLABLES = {"aa": ["ta", "ro", "mi", "ken"], "bb": ["sch", "ung", "ver", "heit"], "cc": ["eau", "oux", "elle", "que"]}
@@ -38,6 +41,19 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in L.identify_held_out(docs(spark, [(1, "ta", None)])).collect()} == {"und"}
 
 
+def test_rare_languages_and_ties(spark):
+    rng = np.random.default_rng(7)
+    hot = text_of(rng, "aa", 20)
+    rows = [(i, hot, "aa") for i in range(600)] + [(1000 + i, text_of(rng, "aa", 20), "aa") for i in range(40)]
+    rows += [(2000 + k, text_of(rng, "bb", 25), "bb") for k in range(3)] + [(3000, "zzz qqq", "yy"), (3001, "zzz qqq", "xx")]
+    model = L.train(docs(spark, rows), sample_per_language=20)
+    assert model.languages == ["aa", "bb", "xx", "yy"]
+    said = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs(spark, rows + [(1, text_of(rng, "bb", 40), None)]), model).collect()}
+    assert said[1] == "bb" and said[0] == "aa" and said[3000] == said[3001] == "xx"  # a tie goes to the first
+    again = L.train(docs(spark, rows).repartition(5), sample_per_language=20)
+    assert np.array_equal(model.weights, again.weights)
+
+
 def test_folded_weights_are_the_kernel_expansion():
     rng = np.random.default_rng(1)
     texts = [text_of(rng, lang, 30) for lang in ["aa", "bb"] * 20]
@@ -83,6 +99,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert T.score(docs(spark, []), model).count() == 0
 
 
+def test_repeated_ids_and_rows_do_not_change_the_model(spark):
+    rng = np.random.default_rng(12)
+    made = [(i, text_of(rng, "aa", 30) + (" zork%d zork" % (i % 7) if i % 3 == 0 else ""), None) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(240)], "doc_id long, toxic int, quality int")
+    rows = made + [(i, text_of(rng, "bb", 30), None) for i in range(30)] + made[:5] * 3
+    said = [sorted((r["doc_id"], round(r["score"], 9)) for r in T.score(df, T.train(df, labels)).collect()) for df in (docs(spark, rows), docs(spark, rows[::-1]).repartition(5))]
+    assert said[0] == said[1] and len(said[0]) == len(rows)
+
+
+def test_trees_split_where_brute_force_does():
+    rng = np.random.default_rng(13)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = (x[:, 1] + 0.5 * x[:, 2] > 0.3).astype(float)
+    weight = rng.uniform(0.5, 2, 80)
+    trees = T.Trees(rounds=1, depth=2).fit(x, y, weight)
+    p = np.full(80, np.average(y, weights=weight))
+    g, h = weight * (y - p), weight * p * (1 - p)
+
+    def grown(rows, depth):
+        """Values of the rows by the best split over all features and cuts, searched one by one."""
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + trees.penalty)
+        if depth == 0:
+            return {i: trees.rate * g[rows].sum() / (h[rows].sum() + trees.penalty) for i in rows}
+        best, halves = 1e-6, None
+        for j, edges in enumerate(trees.edges):
+            for e in edges:
+                low = [i for i in rows if x[i, j] <= e]
+                high = [i for i in rows if x[i, j] > e]
+                gain = score(low) + score(high) - score(rows)
+                if gain > best + 1e-12:
+                    best, halves = gain, (low, high)
+        return grown(rows, 0) if halves is None else grown(halves[0], depth - 1) | grown(halves[1], depth - 1)
+
+    want = grown(list(range(80)), 2)
+    base = np.log(p / (1 - p))
+    assert np.allclose(trees.probability(x), 1 / (1 + np.exp(-(base + np.array([want[i] for i in range(80)])))))
+
+
+def test_calibration_does_not_see_its_rows(spark):
+    rng = np.random.default_rng(14)
+    rows = spark.createDataFrame([(text_of(rng, "aa", 10) + (" only%d" % k if k % 2 else ""), k % 2, k % 4 + 1) for k in range(40)] + [("zork " + text_of(rng, "aa", 5) + " a zork b zork", 1, 1)] * 8, "text string, toxic int, fold int")
+    with Scratch(spark, "lexicon-test") as scratch:
+        whole, *parts = T.learn_lexicons(rows.withColumn("text", F.regexp_replace("text", "only[0-9]+", "")), scratch)
+    assert len(parts) == T.FOLDS and parts[0] <= parts[1] | frozenset(T.GIVEN)
+    assert "zork" not in parts[0]  # marks of fold 1 alone
+
+
 def test_obfuscated_words_and_second_person():
     tokens = T.Tokens(frozenset({"idiot", "zork*"}))
     assert tokens["Idiot,"] & T.HIT and tokens["zorked"] & T.HIT
@@ -127,31 +190,88 @@ def test_language_model(spark, monkeypatch):
     assert M.score_held_out(docs(spark, [])).count() == 0
 
 
-def test_model_probabilities_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(M, "WORDS", 5)
-    monkeypatch.setattr(M, "ENDINGS", 3)
+def small_model(spark, monkeypatch, scratch):
+    """A trained model with a small head, 5 of whose words are symbols, and 3 endings; its counts."""
     rng = np.random.default_rng(4)
-    texts = docs(spark, [(i, text_of(rng, "bb", 40), None) for i in range(30)]).select("text")
-    counts = M.word_counts(texts).cache()
-    vocabulary, _ = M.build_vocabulary(counts, words=5, endings=3)
-    model = M.train_model(texts, vocabulary)
-    scorer = M.Scorer.of(model, vocabulary)
-    words = [r["word"] for r in counts.collect() if r["word"] != M.END]
-    given = "verung"
-    before = scorer.parts(given)[3] - scorer.symbol_log10(vocabulary.stream(given)[0])[-1]
-
-    def chance(word):
-        ids = vocabulary.stream(f"{given} {word}")[0]
-        return 10 ** (scorer.parts(f"{given} {word}")[3] - scorer.symbol_log10(ids)[-1] - before)
-
-    ids = vocabulary.stream(given)[0]
-    known = sum(chance(w) for w in words) + 10 ** scorer.symbol_log10(ids)[-1]
-    # One unseen word for each ending and for the rest.
-    unseen = sum(chance("0" + e) for e in vocabulary.endings) + chance("00@@")
-    assert abs(known + unseen - 1) < 1e-3
+    texts = [text_of(rng, "bb", 40) for i in range(30)]
+    counts = scratch.keep(M.word_counts(docs(spark, [(i, t, None) for i, t in enumerate(texts)]).select("text")), "counts")
+    vocabulary, _ = M.build_vocabulary(counts, scratch, words=5, endings=3, head=30)
+    assert vocabulary.own == 5 < len(vocabulary.counts) <= 30 and vocabulary.tail_words.sum() > 0
+    rows = spark.createDataFrame([(i, vocabulary.numbers(t)[0].astype("<i4").tobytes()) for i, t in enumerate(texts)], "h long, ids binary")
+    model = M.train_model(rows, vocabulary, scratch, group_tokens=300)
+    return model, vocabulary, {r["word"]: r["c"] for r in counts.collect() if r["word"] != M.END}
+
+
+def brute_log10(model, v, counts, text):
+    """Score of a text word by word, each from whole softmaxes."""
+    symbols, log = [], 0.0
+    for word in [*text.split(), M.END]:
+        key = word.encode()
+        k = M.END_ID if word == M.END else int(v.symbols[v.head[key]]) if key in v.head else v.symbol_of(key)
+        h1, h2 = ([0, 0, *symbols])[-2:]
+        s = (model.R[h1] @ model.C[0] + model.R[h2] @ model.C[1]) @ model.Q.T + model.b
+        log += math.log10(np.exp(s[k]) / np.exp(s[1:]).sum())
+        if k >= v.first_class:
+            units = v.unit_classes()
+            t = np.exp(model.S[h2] @ model.U.T + model.c) * (units == k)
+            own = v.head[key] - v.own if key in v.head else len(v.counts) - v.own + k - v.first_class
+            log += math.log10(t[own] / t.sum())
+            if key not in v.head:
+                log += math.log10((counts.get(word, 0) + 1) / (v.tail_count[k] + v.tail_words[k] + 1))
+        symbols.append(k)
+    return log
+
+
+def test_scores_are_those_of_whole_softmaxes_and_sum_to_one(spark, monkeypatch):
+    with Scratch(spark, "lm-test") as scratch:
+        model, v, counts = small_model(spark, monkeypatch, scratch)
+    scorer = M.Scorer.of(model, v)
+
+    def score(text):
+        at, beyond = v.numbers(text)
+        return scorer.parts(at)[3] + sum(math.log10(counts.get(w.decode(), 0) + 1) for w in beyond)
+
+    rng = np.random.default_rng(5)
+    for text in ("", "verung", "neu verung", *(text_of(rng, lang, 25) for lang in ("aa", "bb"))):
+        assert math.isclose(score(text), brute_log10(model, v, counts, text), abs_tol=1e-3)
+    # The chance of each next word is that of the text with it, without its end.
+    given, end = "verung", lambda t: scorer.token_log10(*v.streams(v.numbers(t)[0]))[-1]
+    chance = lambda w: 10 ** (score(f"{given} {w}") - end(f"{given} {w}") - score(given) + end(given))
+    unseen = ["0" + e for e in v.endings] + ["00@@"]  # one for each class
+    assert abs(sum(map(chance, [*counts, *unseen])) + 10 ** end(given) - 1) < 1e-3
+
+
+def test_training_tells_words_of_a_class_apart(spark):
+    rng = np.random.default_rng(6)
+    pairs = [("aa", "xaing"), ("bb", "xbing")] * 2000
+    text = " ".join(w for k in rng.permutation(len(pairs)) for w in pairs[k])
+    with Scratch(spark, "lm-test") as scratch:
+        counts = scratch.keep(M.word_counts(docs(spark, [(0, text, None)]).select("text")), "counts")
+        v, _ = M.build_vocabulary(counts, scratch, words=2, endings=2)
+        assert list(v.head) == [b"aa", b"bb", b"xaing", b"xbing"] and v.own == 2 and v.symbols[2] == v.symbols[3]
+        ids = v.numbers(text)[0].astype("<i4").tobytes()
+        model = M.train_model(spark.createDataFrame([(k, ids) for k in range(4)], "h long, ids binary"), v, scratch)
+    scorer = M.Scorer.of(model, v)
+    said = lambda t: scorer.parts(v.numbers(t)[0])[3]
+    assert said("aa xaing") > said("aa xbing") + 0.3 and said("bb xbing") > said("bb xaing") + 0.3
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "WORDS", 20)
+    monkeypatch.setattr(M, "HEAD", 60)
+    rng = np.random.default_rng(9)
+    rows = [(i, text_of(rng, lang, int(rng.integers(0, 80))), None) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [rows[3], rows[3], (None, "no id", None), (None, None, None)]
+    frame = docs(spark, rows)
+    clash = frame.selectExpr("doc_id", "text", "'x' AS h", "1 AS uid", "'y' AS ids", "2 AS learn", "3 AS base")
+    results = []
+    for df in (frame, frame.repartition(7), clash.orderBy(F.desc("text"))):
+        results.append(sorted((r["doc_id"] or -1, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 5)) for r in M.score_held_out(df).collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
 
 
 def test_model_survives_packing():
-    a = M.LogBilinear(9)
-    b = M.LogBilinear.unpacked(a.packed(), 9)
-    assert np.allclose(a.R, b.R) and np.allclose(a.C, b.C) and np.allclose(a.b, b.b)
+    make = lambda seed: M.LogBilinear(np.ones(9), np.array([5, 5, 6, 7, 8]), np.ones(5), seed)
+    a = make(1)
+    b = make(2).load(a.packed())
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in M.LogBilinear.PARTS)

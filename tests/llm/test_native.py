@@ -68,6 +68,19 @@ def test_mixed_documents_repeat_rows(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: v for k, v in want.items() if v})
 
 
+def test_rows_without_words_come_once(spark):
+    rows = [(i, None if i % 2 else "", "tiny") for i in range(20)] + [(50 + i, "w w w", "tiny") for i in range(5)] + [(100 + i, "w " * 50, "big") for i in range(50)]
+    times = Counter(r["doc_id"] for r in mixing.mixed_documents(docs(spark, rows)).collect())
+    assert all(times[i] == 1 for i in range(20)) and times[50] >= 3
+    assert all(r["taken"] == 0 and r["times"] == 1 for r in mixing.mix_sources(docs(spark, rows)).collect() if r["doc_id"] < 20)
+
+
+def test_equal_rows_stand_or_fall_together(spark):
+    rows = [(None, "w w w", "a")] * 300 + [(i, "w " * 7, "a") for i in range(300)] + [(1000 + i, "v " * 9, "b") for i in range(30)]
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    assert len({r["times"] for r in got if r["doc_id"] is None}) == 1 and len(got) == len(rows)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     one = mixing.mix_sources(docs(spark, [(1, None, None)])).first()
@@ -181,3 +194,15 @@ def test_short_lines_that_recur_go_by_default(spark):
     got = {r["doc_id"]: list(r["deleted"]) for r in line_dedup.line_decisions(docs(spark, rows)).collect() if r["n_deleted"]}
     assert got == brute_lines([r[:2] for r in rows], line_dedup.MIN_WORDS)
     assert all(1 in got[d] for d in range(1, 50)) and 0 not in got and 60 not in got and got[62] == [1, 2]
+
+
+def test_equal_rows_have_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(None, None, "s")] * 500 + [(None, "", "s")] * 20 + [(3, "same", "s")] * 40 + [(i, "text %d" % i, "s") for i in range(100)]
+    got = sharding.assign_shards(docs(spark, rows), 4).collect()
+    assert len(got) == len(rows) and len({r["shard"] for r in got if r["size"] == 1}) == 1
+    for s in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    again = sharding.assign_shards(docs(spark, rows).repartition(5), 4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))

@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline as P
 from threadloom.llm import decontaminate, mixing, ngram_jaccard, toxicity
+from threadloom.llm.common import Scratch
 from threadloom.llm.queries import tokenizer_file
 
 
@@ -30,9 +31,10 @@ def test_run(spark, tmp_path):
     docs = P.table(spark, str(tmp_path), "documents")
     held = {"": {r[0]: r[1] for r in rows}}
     frames = {"": docs}
+    scratch = Scratch(spark, "test")
     before = ""
     for name, stage in P.STAGES[:4]:
-        frames[name] = P.materialise(stage(spark, frames[before], str(tmp_path)), name)
+        frames[name] = scratch.keep(stage(spark, frames[before], str(tmp_path)), name)
         assert frames[name].columns == docs.columns
         held[name] = {r["doc_id"]: r["text"] for r in frames[name].collect()}
         before = name
@@ -57,3 +59,38 @@ def test_run(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
     ordered = sorted(out, key=lambda r: r["start"])
     assert [r["start"] for r in ordered] == [0, *np.cumsum([r["n_tokens"] for r in ordered])[:-1].tolist()]
+
+
+def write_tables(spark, folder, rows, fields, labels=(), items=()):
+    spark.createDataFrame(rows, fields).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [], FIELDS)
+    docs = P.table(spark, str(tmp_path), "documents")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_long_texts_repeats_and_clashing_columns(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    draw = lambda n: " ".join("w%d" % k for k in rng.integers(0, 3000, n))
+    rows = [(i, draw(60), "en", "s", 1, "k", 0.5, 7) for i in range(20)]
+    rows += [(100, draw(30_000), "en", "long", 1, "k", 0.5, 7), rows[0], rows[0], (None, draw(40), None, None, None, None, None, None), (101, None, None, None, None, None, None, None), (102, "", "en", "s", 0, "k", 0.5, 7)]
+    write_tables(spark, tmp_path, rows, FIELDS + ", digest string, score double, nid int")
+    docs = P.table(spark, str(tmp_path), "documents")
+    kept = {name: [r.asDict() for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in P.STAGES[:-1]}
+    assert all(set(r) == set(docs.columns) for found in kept.values() for r in found)
+    ids = {name: Counter(r["doc_id"] for r in found) for name, found in kept.items()}
+    assert ids["toxicity"] == ids["decontamination"] == Counter(r[0] for r in rows)  # neither labels nor items: all stay
+    assert ids["near_duplicates"] == Counter({*range(20), 100, 101, None})  # one of the equal rows, one of the empty texts
+    assert ids["mixing"][101] == ids["mixing"][102] == 1 and ids["mixing"][0] % 3 == 0 and ids["mixing"][100] >= 1
+    out = P.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= {*range(20), 100, 101, None} and sum(r["doc_id"] == 101 for r in out) == 1

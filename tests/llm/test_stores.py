@@ -60,7 +60,8 @@ def test_media_columns(spark):
 def test_payloads_that_moved_between_reads_are_stored(spark):
     rows = rows_of(np.random.default_rng(5))
     first, again = docs(spark, rows).repartition(5, "doc_id"), docs(spark, rows[::-1]).repartition(3, "text")
-    index = ME.store(again, ME.materialise(ME.digests(first), "media-rows")).collect()
+    with Scratch(spark, "media") as scratch:
+        index = ME.store(again, scratch.keep(ME.digests(first), "rows"), scratch).collect()
     assert sorted(bytes(r["digest"]) for r in index) == sorted({hashlib.sha256(ME.padded((t or "").encode())).digest() for _, t in rows})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, language_id, line_dedup, lm_scoring, media, mixing, ngram_jaccard, sharding, token_store, toxicity
 from threadloom.llm.common import table
@@ -19,7 +20,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    return found.withColumn("deleted", F.array_join(F.transform("deleted", lambda i: i.cast("string")), ","))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +97,66 @@ FROM c
 """
 
 
+#: A run of at least three words is made of windows of one to three lines, as each line has a word.
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), s AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM w
+), n AS (
+  SELECT *, lead(line) OVER d AS line1, lead(words) OVER d AS words1, lead(line, 2) OVER d AS line2, lead(words, 2) OVER d AS words2 FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), windows AS (
+  SELECT doc_id, pos, 1 AS m, line AS txt FROM n WHERE words >= 3
+  UNION ALL SELECT doc_id, pos, 2, line || chr(10) || line1 FROM n WHERE words + words1 >= 3 AND (words < 3 OR words1 < 3)
+  UNION ALL SELECT doc_id, pos, 3, line || chr(10) || line1 || chr(10) || line2 FROM n WHERE words + words1 + words2 >= 3 AND (words + words1 < 3 OR words1 + words2 < 3)
+), later AS (
+  SELECT pos, m FROM (SELECT *, min(pos) OVER (PARTITION BY m, txt) AS first_pos FROM windows) WHERE pos > first_pos
+), gone AS (
+  SELECT DISTINCT pos + k AS pos FROM later, range(3) r(k) WHERE k < m
+)
+SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(CASE WHEN g.pos IS NOT NULL THEN line_no::VARCHAR END, ',' ORDER BY line_no), '') AS deleted
+FROM s LEFT JOIN gone g ON s.pos = g.pos GROUP BY doc_id
+"""
+
+#: The least capacity by bisection, a greedy cut of eight runs for each trial; crc32 byte by byte.
+OP10_SQL = r"""
+WITH RECURSIVE table_of AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_prepend(k::UBIGINT, range(8)::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384::UBIGINT, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(k))
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) AS digest FROM documents
+), c AS (
+  SELECT DISTINCT text, hex(encode(text)) AS h FROM d
+), crc AS (
+  SELECT text, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i+1])::UBIGINT)),
+    lambda a, b: xor(t[(xor(a, b) & 255)::INT + 1], a >> 8))) AS text_crc32 FROM c, table_of
+), u AS (
+  SELECT *, (('0x' || substr(digest, 1, 8))::BIGINT >> 16) AS unit FROM d
+), e AS (
+  SELECT unit, sum(s) OVER (ORDER BY unit)::BIGINT AS upto, s FROM (SELECT unit, sum(size)::BIGINT AS s FROM u GROUP BY unit)
+), ends AS (
+  SELECT list(upto ORDER BY unit) AS l, max(s) AS largest, max(upto) AS total FROM e
+), b AS (
+  SELECT greatest(largest, (total + 7) // 8)::BIGINT AS lo, total::BIGINT AS hi FROM ends
+  UNION ALL
+  SELECT CASE WHEN fits THEN lo ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE hi END FROM (
+    SELECT lo, hi, mid, list_reduce(list_prepend(0::BIGINT, range(8)), lambda a, k: list_max(list_filter(l, lambda x: x <= a + mid))) = total AS fits
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM b WHERE lo < hi), ends)
+), cap AS (
+  SELECT min(hi) AS capacity FROM b WHERE lo = hi
+), cuts AS (
+  SELECT k, list_reduce(list_prepend(0::BIGINT, range(k)), lambda a, j: list_max(list_filter(l, lambda x: x <= a + capacity))) AS cut FROM range(1, 8) r(k), ends, cap
+), placed AS (
+  SELECT u.*, (SELECT count(DISTINCT cut) FROM cuts WHERE e.upto > cut) AS shard, (('0x' || substr(md5(concat_ws('|', coalesce(u.doc_id::VARCHAR, ''), digest)), 1, 8))::BIGINT
+    % greatest(1, (SELECT (count(*) + 39999) // 40000 FROM d))) AS bucket FROM u JOIN e USING (unit)
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, digest) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed JOIN crc USING (text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op10_sharding": OP10_SQL}
