@@ -89,3 +89,20 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert rows(out) == [("a", "z"), ("b", "y")] and len(list((tmp_path / "out").glob("batch=*"))) == 2
     incremental.compact(spark, out, str(tmp_path / "new"), "id", "seq")
     assert rows(str(tmp_path / "new")) == [("a", "z"), ("b", "y")]
+
+
+def test_qa_site_rows(spark):
+    hit = lambda kind, **o: {"type": kind, "object": o}
+    search = {"data": [
+        hit("search_result", id="1", type="answer", content="<p>hi <b>x</b></p>", question={"id": "9"}, author={"id": "u", "name": "Ann"}, created_time=5, excerpt="e"),
+        hit("search_result", id="2", type="article", content="a", created=7, author={"member": {"id": "m", "name": "Bo", "url_token": "t"}}),
+        hit("zvideo", id="3", type="zvideo"), hit("search_result", id="4", type="topic"), hit("ad", id="5", type="answer"),
+    ]}
+    rows = readers.qa_contents(spark.createDataFrame([(json.dumps(search),), ("broken",)], "j string"), "j").orderBy("content_id").collect()
+    assert [(r["content_id"], r["content_text"], r["created_time"], r["user_id"], r["username"]) for r in rows] == [("1", "hi x", 5, "u", "Ann"), ("2", "a", 7, "m", "Bo"), ("3", "", 0, None, None)]
+    assert rows[0]["content_url"].endswith("/question/9/answer/1") and rows[1]["content_url"].endswith("/p/2")
+    comments = {"data": [{"id": "c", "type": "comment", "content": "<i>yes</i>", "author": {"member": {"id": "m"}}, "comment_tag": [{"type": "x", "text": "no"}, {"type": "ip_info", "text": "here"}]}, {"id": "d", "type": "ad"}]}
+    got = readers.qa_comments(spark.createDataFrame([(json.dumps(comments),)], "j string"), "j").collect()
+    assert [(r["comment_id"], r["content"], r["place"], r["user_id"]) for r in got] == [("c", "yes", "here", "m")]
+    page = spark.range(1).select(readers.next_offset(F.lit("https://x/y?limit=5&offset=20")).alias("o")).first()
+    assert page["o"] == "20"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import evidence as V
+from threadloom.functions.card_rules import rule_card
 from threadloom.operators import research as S
 from threadloom.operators import results as T
 from threadloom.plans.cards import CARDS_SQL, cards, records
@@ -365,3 +366,27 @@ def known_references(spark, table):
     claims = table("lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("at"), stated.alias("stated"))
     known = numbered(table("supplier"), [], [F.asc("s_suppkey")], "n").select(F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("record_id"), (F.col("n") - 1).alias("position"))
     return S.known_ids(claims, known)
+
+
+#: Comments with the card that the rules give them: status, expression, and types of items in order.
+RULE_CARDS = (
+    ("谢谢老师", "usable", "praise", "opinion"),
+    ("Day 3 打卡", "usable", "check_in", "engagement,behavior"),
+    ("收藏了但是从不开始", "usable", "other", "engagement,action_gap"),
+    ("这样正常吗", "usable", "question", "problem"),
+    ("试了一下太难", "usable", "result_feedback", "behavior,barrier"),
+    ("太难", "usable", "complaint", "barrier"),
+    ("买了会员没变化怎么办", "usable", "help_request", "problem,problem,behavior,action_gap"),
+    ("坚持两个月了", "usable", "other", "behavior,quantitative"),
+    ("!!!", "garbled", "other", ""),
+    ("加微信领资料", "spam", "other", ""),
+)
+
+
+@query("WITH k(k, record_status, primary_expression, types) AS (VALUES " + ", ".join(f"({i}, '{s}', '{e}', '{t}')" for i, (_, s, e, t) in enumerate(RULE_CARDS)) + """)
+SELECT record_status, primary_expression, types, count(*) AS n FROM events JOIN k ON event_id % 10 = k GROUP BY 1, 2, 3""")
+def rule_cards(spark, table):
+    text = F.element_at(F.array(*[F.lit(t) for t, *_ in RULE_CARDS]), (F.col("event_id") % 10 + 1).cast("int"))
+    made = table("events").select(rule_card(text, F.col("event_id").cast("string")).alias("c")).select("c.*")
+    types = F.array_join(F.transform("evidence_items", lambda x: x["type"]), ",")
+    return made.groupBy("record_status", "primary_expression", types.alias("types")).agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,7 @@ from threadloom.functions.columns import (
     contactability,
     derived_links,
     first_filled,
+    html_to_text,
     is_root,
     last_per_key,
     lenient_int,
@@ -23,6 +24,7 @@ from threadloom.functions.columns import (
     play_count,
     strip,
     to_epoch,
+    url_parameters,
     user_key,
 )
 from threadloom.operators.dedupe import first_wins, last_wins
@@ -235,3 +237,47 @@ def channel_name(c: Column) -> Column:
 def channels(first: DataFrame, second: DataFrame, seq: str) -> DataFrame:
     """Videos (channel, id, ...) of two schemas already brought together, each id once (the first by ``seq``), channels merged by name."""
     return first_wins(first.unionByName(second, allowMissingColumns=True).withColumn("channel_key", channel_name(F.col("channel"))), ["channel_key", "id"], seq)
+
+
+ANSWER = "id:string,type:string,content:string,title:string,description:string,excerpt:string,created_time:long,created:long,updated_time:long,updated:long,voteup_count:long,comment_count:long"
+PERSON = "id:string,url_token:string,name:string,avatar_url:string"
+AUTHOR = f"author:struct<{PERSON},member:struct<{PERSON}>>"
+SEARCH_SCHEMA = f"data array<struct<type:string,object:struct<{ANSWER},question:struct<id:string>,{AUTHOR}>>>, paging struct<next:string>"
+COMMENTS_SCHEMA = f"data array<struct<id:string,type:string,content:string,created_time:long,like_count:long,child_comment_count:long,{AUTHOR},comment_tag:array<struct<type:string,text:string>>>>"
+# Fixed value: the site that questions and articles are linked at.
+QA_SITE = "https://www.zhihu.com"
+
+
+def _person(author: Column) -> list[Column]:
+    """An author's id, name and token; where these lie under member, from there."""
+    field = lambda n: F.coalesce(author[n], author["member"][n])
+    return [field("id").alias("user_id"), field("name").alias("username"), field("url_token").alias("url_token")]
+
+
+def qa_contents(df: DataFrame, json_column: str) -> DataFrame:
+    """Search hits of a Q&A site as flat rows: answers, articles and videos, their texts without HTML, links by kind."""
+    hits = df.withColumn("__j", F.from_json(json_column, SEARCH_SCHEMA)).select(F.explode("__j.data").alias("h")).where(F.col("h.type").isin("search_result", "zvideo") & F.col("h.object").isNotNull()).select("h.object.*")
+    text = lambda *cs: html_to_text(first_filled(*[F.coalesce(F.col(c), F.lit("")) for c in cs]))
+    link = (
+        F.when(F.col("type") == "answer", F.concat(F.lit(f"{QA_SITE}/question/"), F.col("question.id"), F.lit("/answer/"), F.col("id")))
+        .when(F.col("type") == "article", F.concat(F.lit("https://zhuanlan.zhihu.com/p/"), F.col("id")))
+        .otherwise(F.concat(F.lit(f"{QA_SITE}/zvideo/"), F.col("id")))
+    )
+    nonzero = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in cs], F.lit(0))
+    return hits.where(F.col("type").isin("answer", "article", "zvideo")).select(
+        F.col("id").alias("content_id"), F.col("type").alias("content_type"), text("content").alias("content_text"), link.alias("content_url"), text("title").alias("title"), text("description", "excerpt").alias("desc"),
+        nonzero("created_time", "created").alias("created_time"), nonzero("updated_time", "updated").alias("updated_time"), F.coalesce("voteup_count", F.lit(0)).alias("voteup_count"),
+        F.coalesce("comment_count", F.lit(0)).alias("comment_count"), *_person(F.col("author")),
+    )
+
+
+def qa_comments(df: DataFrame, json_column: str) -> DataFrame:
+    """Comments of a Q&A site as flat rows; the first ip_info tag is the place."""
+    rows = df.withColumn("__j", F.from_json(json_column, COMMENTS_SCHEMA)).select(F.explode("__j.data").alias("c")).where("c.type = 'comment'").select("c.*")
+    place = F.try_element_at(F.transform(F.filter("comment_tag", lambda t: t["type"] == "ip_info"), lambda t: t["text"]), F.lit(1))
+    return rows.select(F.col("id").alias("comment_id"), html_to_text(F.coalesce("content", F.lit(""))).alias("content"), "created_time", F.coalesce("like_count", F.lit(0)).alias("likes"), F.coalesce("child_comment_count", F.lit(0)).alias("replies"), F.coalesce(place, F.lit("")).alias("place"), *_person(F.col("author")))
+
+
+def next_offset(url: Column) -> Column:
+    """The offset parameter of the next page's link; empty without one."""
+    return F.coalesce(F.try_element_at(url_parameters(url), F.lit("offset")), F.lit(""))
