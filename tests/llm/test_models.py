@@ -150,9 +150,12 @@ def test_obfuscated_words_and_second_person():
     tokens = T.Tokens(frozenset({"idiot", "zork*"}))
     assert tokens["Idiot,"] & T.HIT and tokens["zorked"] & T.HIT
     assert tokens["id1ot"] & T.HIDDEN_HIT and tokens["i.d.i.o.t"] & T.HIDDEN_HIT and not tokens["table"]
-    x = dict(zip(T.FEATURES, T.features("YOU idiot! nice", tokens), strict=True))
+    x = dict(zip(T.FEATURES, T.features("YOU idiot! nice", tokens)[0], strict=True))
     assert x["near_you"] > 0 and x["caps_words"] > 0 and x["shouting"] > 0
-    assert T.features("", tokens) == [0.0] * len(T.FEATURES)
+    assert T.features("", tokens) == [[0.0] * len(T.FEATURES)]
+    both = T.Tokens(frozenset({"idiot"}), frozenset({"zork*"}))
+    own = [T.features("an id1ot zorked you, idiot", T.Tokens(x))[0] for x in both.lexicons]
+    assert T.features("an id1ot zorked you, idiot", both) == own
 
 
 def test_isotonic_is_the_least_squares_rising_fit():

@@ -23,6 +23,8 @@ from threadloom.llm.common import Scratch, crc_mod, give_back
 SAMPLE_TOXIC = 3_000
 SAMPLE_CLEAN = 6_000
 LEXICON_SIZE = 400
+#: Partitions of the sample.
+SAMPLE_PARTS = 32
 #: Parts of the sample that calibration predicts in turn, by a lexicon and trees of the others.
 FOLDS = 4
 STEMS = (4, 5, 6)
@@ -45,20 +47,18 @@ def _stems(word: str) -> list[str]:
 
 
 class Tokens(dict):
-    """Flags of a token as it stands between white space, worked out once."""
+    """Flags of a token as it stands between white space, worked out once: eight bits for each of some lexicons."""
 
-    def __init__(self, lexicon: frozenset[str]):
-        self.lexicon, self.second = lexicon, frozenset(SECOND_PERSON)
-
-    def known(self, word: str) -> bool:
-        return any(s in self.lexicon for s in _stems(word))
+    def __init__(self, *lexicons: frozenset[str]):
+        self.lexicons, self.second = lexicons, frozenset(SECOND_PERSON)
 
     def __missing__(self, token: str) -> int:
         core = _EDGE.sub("", token)
         word, flags = core.lower(), 0
+        plain: list[str] = []
+        hidden: list[str] = []
         if word:
-            if self.known(word):
-                flags |= HIT
+            plain = _stems(word)
             if word in self.second:
                 flags |= YOU
             if len(core) > 2 and core.isupper():
@@ -67,13 +67,19 @@ class Tokens(dict):
                 flags |= STRETCHED
             if _MIXED.search(token):
                 flags |= OBFUSCATED
-                folded = _NON_LETTER.sub("", token.lower().translate(LEET))
-                if not flags & HIT and (self.known(folded) or self.known(_NON_LETTER.sub("", word))):
-                    flags |= HIDDEN_HIT
+                hidden = _stems(_NON_LETTER.sub("", token.lower().translate(LEET))) + _stems(_NON_LETTER.sub("", word))
+        packed = 0
+        for k, lexicon in enumerate(self.lexicons):
+            own = flags
+            if not lexicon.isdisjoint(plain):
+                own |= HIT
+            elif hidden and not lexicon.isdisjoint(hidden):
+                own |= HIDDEN_HIT
+            packed |= own << (8 * k)
         if len(self) > 100_000:
             self.clear()
-        self[token] = flags
-        return flags
+        self[token] = packed
+        return packed
 
 
 FEATURES = ("hit_density", "hits", "hidden_density", "hidden", "near_you", "near_you_rate", "you_density", "capitals", "caps_words", "shouting", "punctuation", "obfuscation", "stretched", "log_words")
@@ -81,32 +87,38 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
-def features(text: str, tokens: Tokens) -> list[float]:
-    """Dense features of the whole text; zeros for the empty one."""
+def features(text: str, tokens: Tokens) -> list[list[float]]:
+    """Dense features of the whole text, for each lexicon; zeros for the empty one."""
     words = text.split()
     if not words:
-        return [0.0] * len(FEATURES)
-    flags = np.fromiter(map(tokens.__getitem__, words), dtype=np.uint8, count=len(words))
+        return [[0.0] * len(FEATURES) for _ in tokens.lexicons]
+    packed = np.fromiter(map(tokens.__getitem__, words), dtype=np.int64, count=len(words))
     n = len(words)
-    hit = np.flatnonzero(flags & (HIT | HIDDEN_HIT))
-    you = np.flatnonzero(flags & YOU)
-    near = 0
-    if len(hit) and len(you):
-        right = np.searchsorted(you, hit)
-        gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - hit), np.abs(you[np.maximum(right - 1, 0)] - hit))
-        near = int((gap <= NEAR).sum())
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     upper = int(((raw >= 65) & (raw <= 90)).sum())
     letters = max(1, upper + int(((raw >= 97) & (raw <= 122)).sum()))
-    hits, hidden = int((flags & HIT > 0).sum()), int((flags & HIDDEN_HIT > 0).sum())
-    return [
-        hits / n, np.log1p(hits), hidden / n, np.log1p(hidden), np.log1p(near), near / max(1, len(hit)), len(you) / n, upper / letters,
-        float((flags & CAPS > 0).mean()), text.count("!") / n, float(_PUNCTUATION[raw].mean()), float((flags & OBFUSCATED > 0).mean()), float((flags & STRETCHED > 0).mean()), np.log1p(n),
-    ]
+    you = np.flatnonzero(packed & YOU)
+    share = lambda flag: np.count_nonzero(packed & flag) / n
+    common = [len(you) / n, upper / letters, share(CAPS), text.count("!") / n, float(_PUNCTUATION[raw].mean()), share(OBFUSCATED), share(STRETCHED), np.log1p(n)]
+    found = []
+    for k in range(len(tokens.lexicons)):
+        flags = packed >> (8 * k)
+        hit = np.flatnonzero(flags & (HIT | HIDDEN_HIT))
+        near = 0
+        if len(hit) and len(you):
+            right = np.searchsorted(you, hit)
+            gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - hit), np.abs(you[np.maximum(right - 1, 0)] - hit))
+            near = int((gap <= NEAR).sum())
+        hidden = int(np.count_nonzero(flags[hit] & HIDDEN_HIT))
+        hits = len(hit) - hidden
+        found.append([hits / n, np.log1p(hits), hidden / n, np.log1p(hidden), np.log1p(near), near / max(1, len(hit)), *common])
+    return found
 
 
 def feature_rows(texts: list[str | None], tokens: Tokens) -> np.ndarray:
-    return np.array([features(t if isinstance(t, str) else "", tokens) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+    """texts x lexicons x features."""
+    rows = [features(t if isinstance(t, str) else "", tokens) for t in texts]
+    return np.array(rows, dtype=np.float64).reshape(-1, len(tokens.lexicons), len(FEATURES))
 
 
 @dataclass
@@ -199,7 +211,7 @@ class ToxicityModel:
     levels: tuple[np.ndarray, np.ndarray]
 
     def score(self, texts: list[str | None], tokens: Tokens | None = None) -> np.ndarray:
-        raw = self.trees.probability(feature_rows(texts, tokens if tokens is not None else Tokens(self.lexicon)))
+        raw = self.trees.probability(feature_rows(texts, tokens if tokens is not None else Tokens(self.lexicon))[:, 0])
         # The calibrated level, with a thousandth of the raw probability to order rows of one level.
         return np.clip(0.999 * np.interp(raw, *self.levels) + 0.001 * raw, 0.0, 1.0)
 
@@ -291,18 +303,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_toxic: int = SAMPLE_TOXI
     dealt = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the bounded sample
     with Scratch(docs.sparkSession, "toxicity") as scratch:
         one = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-        sample = scratch.keep(one.withColumn("fold", (F.pmod(dealt, F.lit(FOLDS)) + 1).cast("int")), "sample")  # dealt within each label
+        # Dealt within each label; in small parts, as long texts would else make one task long.
+        sample = scratch.keep(one.withColumn("fold", (F.pmod(dealt, F.lit(FOLDS)) + 1).cast("int")).repartition(SAMPLE_PARTS), "sample")
         lexicons = learn_lexicons(sample, scratch)
         shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokens = [Tokens(lexicon) for lexicon in shared.value]
+            tokens = Tokens(*shared.value)
             for pdf in batches:
-                texts, fold = list(pdf["text"]), pdf["fold"].to_numpy()
-                x = np.stack([feature_rows(texts, t) for t in tokens], axis=1) if texts else np.zeros((0, len(tokens), len(FEATURES)))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "fold": fold, "x": list(x.reshape(len(texts), -1))})
+                x = feature_rows(list(pdf["text"]), tokens).reshape(len(pdf), -1)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "fold": pdf["fold"].to_numpy(), "x": list(x)})
 
-        found = sample.mapInPandas(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, fold int, x array<double>").orderBy("doc_id").toPandas()
+        found = sample.mapInPandas(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, fold int, x array<double>").toPandas().sort_values("doc_id")
     y = found["toxic"].to_numpy()
     if len(set(y)) < 2:
         return None
