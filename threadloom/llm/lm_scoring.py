@@ -1,13 +1,18 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, in numpy.
 
-The model predicts symbols: the commonest words, one symbol for each common ending of all other words, one for the rest
-and the end. A word that is no symbol has its ending's probability times a smoothed share within the ending's words, so
-probabilities over all words, unseen ones as one, sum to 1. Counts come from the whole training corpus by shuffles.
-Each task trains on all its training texts from one starting point; parameters are averaged, weighted by tokens.
-
-Contexts are two symbols, so the normaliser of every context is computed once, by batched matrix products, and a token
-costs two look-ups and an inner product. Of the word counts only a head of bounded size goes to every task; the words
-beyond it are joined by a shuffle.
+A word's probability has two log-bilinear factors, each normalised exactly. The first predicts its symbol from the two
+symbols before it; symbols are the commonest words, one class of words for each common ending, one for all other words,
+and the end. The second predicts which word of the class it is from the symbol before: every word of the vocabulary's head
+(it grows with the corpus up to ``HEAD`` words) has a vector of its own, as has each class's tail, within which the words
+beyond the head share by their counts. So probabilities over all words, unseen ones as one a class, sum to 1.
+
+Contexts are symbols, so both normalisers are computed once, by batched matrix products, and a token costs a few look-ups
+and two inner products. Counts come from the whole training corpus by shuffles. Texts become symbol and word numbers once;
+training and scoring read these.
+
+Training rows are dealt by a hash of id and text into groups of about ``GROUP_TOKENS`` tokens and sorted by it, so the
+model does not depend on how the input is partitioned. Each group trains on all its rows from one starting point, and
+parameters are averaged, weighted by tokens.
 """
 
 from __future__ import annotations
@@ -22,22 +27,27 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from threadloom.llm.common import crc_mod, materialise
+from threadloom.llm.common import Scratch, crc_mod, give_back
 
 #: Words that are symbols of their own, endings that are, and characters of an ending.
 WORDS = 400
 ENDINGS = 120
 ENDING = 2
-#: Words whose counts every task holds, at most.
+#: Words with a vector of their own and counts that every task holds, at most.
 HEAD = 150_000
 DIM = 20
-NOISE = 96
-BATCH = 4096
+NOISE = 48
+WORD_NOISE = 1
+BATCH = 8192
 RATE = 0.15
-#: Texts of the warm start, about, and rows that parameters are averaged in at once.
+#: Tokens of a training group, about, up to a number of groups beyond which they grow; texts of the warm start; parameter
+#: sets averaged at once.
+GROUP_TOKENS = 4_000_000
+MOST_GROUPS = 20_000
 WARM_TEXTS = 1_500
-FAN_IN = 32
+FAN_IN = 8
 END = "\n"  # white space, so no word equals it
 BEGIN_ID, END_ID = 0, 1
 FLUSH = 500_000
@@ -54,102 +64,187 @@ def _ending(word: bytes) -> str:
 
 @dataclass
 class Vocabulary:
+    """Units are what the second factor predicts: head words that are no symbols, then one tail for each class.
+
+    A word's number is its place in the head; a word beyond it has the number -1 - class.
+    """
+
     total: int  # N
     distinct: int  # V
-    head: dict[bytes, int]  # word: place in the arrays below
+    head: dict[bytes, int]  # word: number
     counts: np.ndarray  # of head words
     symbols: np.ndarray  # of head words
-    shares: np.ndarray  # of head words: log10 of the share within the symbol
     endings: dict[str, int]  # ending: symbol
     rest: int  # symbol of words without a common ending
-    outside: np.ndarray  # a symbol: -log10(its words' counts + their number + 1), 0 for words that are symbols
+    first_class: int  # symbols from here on are classes
     frequency: np.ndarray  # a symbol's count
+    tail_count: np.ndarray  # a symbol: counts of its words beyond the head
+    tail_words: np.ndarray  # a symbol: number of these words
 
     def __len__(self) -> int:
         return len(self.frequency)
 
+    @property
+    def own(self) -> int:
+        return self.first_class - 2
+
     def symbol_of(self, word: bytes) -> int:
         return self.endings.get(_ending(word), self.rest)
 
-    def stream(self, text: str | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Symbols of a text with its end; its words beyond the head; places in the head of the others."""
+    def unit_classes(self) -> np.ndarray:
+        return np.concatenate([self.symbols[self.own :], np.arange(self.first_class, len(self))])
+
+    def unit_mass(self) -> np.ndarray:
+        return np.concatenate([self.counts[self.own :], self.tail_count[self.first_class :] + 1.0])
+
+    def numbers(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """The words' numbers, and the words beyond the head."""
         found = tokens(text)
         get = self.head.get
-        at = np.fromiter((get(w, -1) for w in found), dtype=np.int64, count=len(found))
-        ids = np.empty(len(found) + 1, dtype=np.int64)
-        ids[-1] = END_ID
+        at = np.fromiter((get(w, -1) for w in found), dtype=np.int32, count=len(found))
+        beyond = [found[i] for i in np.flatnonzero(at < 0)]
+        at[at < 0] = [-1 - self.symbol_of(w) for w in beyond]
+        return at, beyond
+
+    def streams(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and units (-1: the symbol says all) of a text with its end."""
+        ids, units = np.full(len(at) + 1, END_ID, dtype=np.int32), np.full(len(at) + 1, -1, dtype=np.int32)
         known = at >= 0
-        ids[:-1][known] = self.symbols[at[known]]
-        beyond = [found[i] for i in np.flatnonzero(~known)]
-        ids[:-1][~known] = [self.symbol_of(w) for w in beyond]
-        return ids, beyond, at[known]
+        ids[:-1] = np.where(known, self.symbols[np.maximum(at, 0)] if len(self.symbols) else 0, -1 - at)
+        tails = len(self.counts) - self.own - self.first_class
+        units[:-1] = np.where(known, np.where(at >= self.own, at - self.own, -1), tails - 1 - at)
+        return ids, units
 
 
 class LogBilinear:
-    """score(w | h1 h2) = (R[h1] C1 + R[h2] C2) . Q[w] + b[w]; h2 is the nearer symbol."""
+    """score(symbol | h1 h2) = (R[h1] C1 + R[h2] C2) . Q[w] + b[w]; score(unit | h2) = S[h2] . U[u] + c[u]; h2 is nearer."""
+
+    PARTS = ("R", "Q", "C", "b", "S", "U", "c")
 
-    def __init__(self, symbols: int, frequency: np.ndarray | None = None, seed: int = 7):
+    def __init__(self, frequency: np.ndarray, unit_classes: np.ndarray, unit_mass: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.R = rng.normal(0, 0.1, (symbols, DIM)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (symbols, DIM)).astype(np.float32)
+        symbols, draw = len(frequency), lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.R, self.Q, self.S, self.U = draw(symbols, DIM), draw(symbols, DIM), draw(symbols, DIM), draw(len(unit_classes), DIM)
         self.C = np.stack([np.eye(DIM), np.eye(DIM)]).astype(np.float32) * 0.5
-        f = np.ones(symbols) if frequency is None else frequency + 0.5
+        f = frequency + 0.5
         self.b = np.log(f / f.sum()).astype(np.float32)
+        self.classes, mass = unit_classes, unit_mass + 0.5
+        whole = np.bincount(unit_classes, weights=mass, minlength=symbols)
+        self.c = np.log(mass / whole[unit_classes]).astype(np.float32) if len(mass) else np.zeros(0, np.float32)
+        self.noise, self.share = f / f.sum(), self.c.copy()
+        # Units in order of their class with running masses, so that noise of a class is one search.
+        self.by_class = np.argsort(unit_classes, kind="stable")
+        self.upto = np.cumsum(mass[self.by_class])
+        self.class_upto = np.cumsum(whole)
+        self.class_mass = whole
 
     def packed(self) -> bytes:
-        return np.concatenate([self.R.ravel(), self.Q.ravel(), self.C.ravel(), self.b]).astype("<f4").tobytes()
-
-    @staticmethod
-    def unpacked(data: bytes, symbols: int) -> LogBilinear:
-        model, x, n = LogBilinear(symbols), np.frombuffer(data, dtype="<f4").copy(), symbols * DIM
-        model.R, model.Q = x[:n].reshape(symbols, DIM), x[n : 2 * n].reshape(symbols, DIM)
-        model.C, model.b = x[2 * n : 2 * n + 2 * DIM * DIM].reshape(2, DIM, DIM), x[2 * n + 2 * DIM * DIM :]
-        return model
-
-    def train(self, ids: np.ndarray, starts: np.ndarray, noise: np.ndarray, rng: np.random.Generator, state: dict[str, np.ndarray]) -> None:
-        """One pass over a stream in shuffled batches. ``noise``: probabilities of the symbols as noise."""
+        return b"".join(getattr(self, k).astype("<f4").tobytes() for k in self.PARTS)
+
+    def load(self, data: bytes) -> LogBilinear:
+        x, at = np.frombuffer(data, dtype="<f4"), 0
+        for k in self.PARTS:
+            own = getattr(self, k)
+            setattr(self, k, x[at : at + own.size].reshape(own.shape).copy())
+            at += own.size
+        return self
+
+    def train(self, ids: np.ndarray, units: np.ndarray, starts: np.ndarray, rng: np.random.Generator, state: dict[str, np.ndarray]) -> None:
+        """One pass over a stream in shuffled batches."""
         h1, h2 = contexts(ids, starts)
-        log_kn = np.log(NOISE * noise).astype(np.float32)
-        cumulative = np.cumsum(noise)
         order = rng.permutation(len(ids))
         for at in range(0, len(ids), BATCH):
             own = order[at : at + BATCH]
-            w, a, b = ids[own], h1[own], h2[own]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
-            ra, rb = self.R[a], self.R[b]
-            r = ra @ self.C[0] + rb @ self.C[1]
-            qw, qn = self.Q[w], self.Q[drawn]
-            good = 1 / (1 + np.exp(np.clip(log_kn[w] - (np.einsum("ij,ij->i", r, qw) + self.b[w]), -30, 30)))
-            bad = 1 / (1 + np.exp(np.clip(log_kn[drawn] - (r @ qn.T + self.b[drawn]), -30, 30)))
-            gw, gn = (1 - good).astype(np.float32), (-bad).astype(np.float32)  # ascent directions
-            gr = gw[:, None] * qw + gn @ qn
-            self._step("C0", self.C[0], ra.T @ gr / len(own), state)
-            self._step("C1", self.C[1], rb.T @ gr / len(own), state)
-            n = len(self.b)
-            gR = _summed(a, gr @ self.C[0].T, n) + _summed(b, gr @ self.C[1].T, n)
-            gQ = _summed(w, gw[:, None] * r, n) + _summed(drawn, gn.T @ r, n)
-            gb = np.bincount(w, weights=gw, minlength=n) + np.bincount(drawn, weights=gn.sum(axis=0), minlength=n)
-            self._step("R", self.R, gR / 64, state)
-            self._step("Q", self.Q, gQ / 64, state)
-            self._step("b", self.b, gb.astype(np.float32) / 64, state)
+            self._symbols(ids[own], h1[own], h2[own], rng, state)
+            own = own[units[own] >= 0]
+            if len(own):
+                self._units(units[own], h2[own], rng, state)
+
+    def _symbols(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Generator, state: dict[str, np.ndarray]) -> None:
+        log_kn = np.log(NOISE * self.noise).astype(np.float32)
+        drawn = np.minimum(np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)), len(self.noise) - 1)
+        ra, rb = self.R[a], self.R[b]
+        r = ra @ self.C[0] + rb @ self.C[1]
+        qw, qn = self.Q[w], self.Q[drawn]
+        good = _sigmoid(np.einsum("ij,ij->i", r, qw) + self.b[w] - log_kn[w])
+        bad = _sigmoid(r @ qn.T + self.b[drawn] - log_kn[drawn])
+        gw, gn = (1 - good).astype(np.float32), (-bad).astype(np.float32)  # ascent directions
+        gr = gw[:, None] * qw + gn @ qn
+        self._step("C0", self.C[0], ra.T @ gr / len(w), state)
+        self._step("C1", self.C[1], rb.T @ gr / len(w), state)
+        n = len(self.b)
+        gR = _summed(a, gr @ self.C[0].T, n) + _summed(b, gr @ self.C[1].T, n)
+        gQ = _summed(w, gw[:, None] * r, n) + _summed(drawn, gn.T @ r, n)
+        gb = np.bincount(w, weights=gw, minlength=n) + np.bincount(drawn, weights=gn.sum(axis=0), minlength=n)
+        self._step("R", self.R, gR / 64, state)
+        self._step("Q", self.Q, gQ / 64, state)
+        self._step("b", self.b, gb.astype(np.float32) / 64, state)
+
+    def _units(self, u: np.ndarray, h: np.ndarray, rng: np.random.Generator, state: dict[str, np.ndarray]) -> None:
+        """Each unit against noise of its own class; only the vectors that take part change."""
+        k = self.classes[u]
+        x = (self.class_upto[k] - self.class_mass[k])[:, None] + rng.random((len(u), WORD_NOISE)) * self.class_mass[k][:, None]
+        drawn = self.by_class[np.minimum(np.searchsorted(self.upto, x), len(self.upto) - 1)]
+        met = np.concatenate([u[:, None], drawn], axis=1)
+        r, q = self.S[h], self.U[met]
+        s = np.einsum("nd,nkd->nk", r, q) + self.c[met] - (self.share[met] + np.float32(math.log(WORD_NOISE)))
+        g = -_sigmoid(s).astype(np.float32)
+        g[:, 0] += 1
+        self._step("S", self.S, _summed(h, np.einsum("nk,nkd->nd", g, q), len(self.S)) / 64, state)
+        flat = met.ravel()
+        sort = np.argsort(flat, kind="stable")
+        where, first = np.unique(flat[sort], return_index=True)
+        rows = (g[:, :, None] * r[:, None, :]).reshape(-1, DIM)[sort]
+        self._step_at("U", self.U, where, np.add.reduceat(rows, first, axis=0) / 4, state)
+        self._step_at("c", self.c, where, np.add.reduceat(g.ravel()[sort], first) / 4, state)
 
     def _step(self, name: str, x: np.ndarray, g: np.ndarray, state: dict[str, np.ndarray]) -> None:
         """Adagrad."""
-        seen = state.setdefault(name, np.full(x.shape, 0.1, dtype=np.float32))
+        if name not in state:
+            state[name] = np.full(x.shape, 0.1, dtype=np.float32)
+        seen = state[name]
         seen += g * g
         x += RATE * g / np.sqrt(seen)
 
+    def _step_at(self, name: str, x: np.ndarray, at: np.ndarray, g: np.ndarray, state: dict[str, np.ndarray]) -> None:
+        if name not in state:
+            state[name] = np.full(x.shape, 0.1, dtype=np.float32)
+        seen = state[name]
+        new = seen[at] + g * g
+        seen[at] = new
+        x[at] += RATE * g / np.sqrt(new)
+
     def normalisers(self) -> np.ndarray:
         """Natural log of the sum over all symbols but the beginning, for every context (h1, h2)."""
         far, near = self.R @ self.C[0], self.R @ self.C[1]
         q, b = self.Q[1:], self.b[1:]
         out = np.empty((len(far), len(near)), dtype=np.float32)
         for i in range(len(far)):
-            s = (far[i] + near) @ q.T + b
-            top = s.max(axis=1)
-            out[i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+            out[i] = _log_sums((far[i] + near) @ q.T + b)
         return out
 
+    def unit_normalisers(self) -> np.ndarray:
+        """The same over the units of each class, for every symbol before: symbols x symbols, 0 where there are no units."""
+        out = np.zeros((len(self.S), len(self.S)), dtype=np.float32)
+        for k in np.unique(self.classes):
+            own = np.flatnonzero(self.classes == k)
+            for at in range(0, len(self.S), 64):
+                out[at : at + 64, k] = _log_sums(self.S[at : at + 64] @ self.U[own].T + self.c[own])
+        return out
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    out = np.maximum(x, -30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by place: sorted and summed run by run."""
@@ -174,35 +269,40 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 @dataclass
 class Scorer:
     vocabulary: Vocabulary
+    model: LogBilinear
+    logZ: np.ndarray
+    unit_logZ: np.ndarray
     far: np.ndarray
     near: np.ndarray
-    Q: np.ndarray
-    b: np.ndarray
-    logZ: np.ndarray
+    beyond: np.ndarray  # a symbol: -log10(counts of its tail + number of these words + 1)
 
     @staticmethod
     def of(model: LogBilinear, vocabulary: Vocabulary) -> Scorer:
-        return Scorer(vocabulary, model.R @ model.C[0], model.R @ model.C[1], model.Q, model.b, model.normalisers())
+        beyond = -np.log10(vocabulary.tail_count + vocabulary.tail_words + 1.0)
+        return Scorer(vocabulary, model, model.normalisers(), model.unit_normalisers(), model.R @ model.C[0], model.R @ model.C[1], beyond)
 
-    def symbol_log10(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol of one text given the two before it."""
-        out = np.empty(len(ids))
+    def token_log10(self, ids: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol and unit of one text given the symbols before."""
+        m, out = self.model, np.empty(len(ids))
         h1, h2 = contexts(ids, np.zeros(1, dtype=np.int64))
-        for at in range(0, len(ids), 1 << 16):
-            s = slice(at, at + (1 << 16))
+        for at in range(0, len(ids), 1 << 14):
+            s = slice(at, at + (1 << 14))
             r = self.far[h1[s]] + self.near[h2[s]]
-            out[s] = (np.einsum("ij,ij->i", r, self.Q[ids[s]]) + self.b[ids[s]] - self.logZ[h1[s], h2[s]]) / math.log(10)
+            part = np.einsum("ij,ij->i", r, m.Q[ids[s]]) + m.b[ids[s]] - self.logZ[h1[s], h2[s]]
+            own = np.flatnonzero(units[s] >= 0)
+            h, u = h2[s][own], units[s][own]
+            part[own] += np.einsum("ij,ij->i", m.S[h], m.U[u]) + m.c[u] - self.unit_logZ[h, ids[s][own]]
+            out[s] = part / math.log(10)
         return out
 
-    def parts(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
-        """Tokens, known ones, base and model sums as far as the head goes, and the words beyond it."""
+    def parts(self, at: np.ndarray) -> tuple[int, int, float, float]:
+        """Of a text's numbers: tokens, known ones, base and model sums but for the counts of words beyond the head."""
         v = self.vocabulary
-        ids, beyond, at = v.stream(text)
-        ends = v.frequency[END_ID]
-        base = float(np.log10(v.counts[at] + 1.0).sum()) + math.log10(ends + 1.0) - len(ids) * math.log10(v.total + v.distinct + 1.0)
-        outside = np.array([v.symbol_of(w) for w in beyond], dtype=np.int64)
-        model = float(self.symbol_log10(ids).sum() + v.shares[at].sum() + v.outside[outside].sum())
-        return len(ids), len(at) + int(ends > 0), base, model, beyond
+        ids, units = v.streams(at)
+        head, ends = at[at >= 0], v.frequency[END_ID]
+        base = float(np.log10(v.counts[head] + 1.0).sum()) + math.log10(ends + 1.0) - len(ids) * math.log10(v.total + v.distinct + 1.0)
+        model = float(self.token_log10(ids, units).sum() + self.beyond[-1 - at[at < 0]].sum())
+        return len(ids), len(head) + int(ends > 0), base, model
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -243,138 +343,191 @@ def head_floor(counts: DataFrame, most: int) -> int:
     return floor
 
 
-def build_vocabulary(counts: DataFrame, *, words: int = WORDS, endings: int = ENDINGS, head: int = HEAD) -> tuple[Vocabulary, int]:
+def build_vocabulary(counts: DataFrame, scratch: Scratch, *, words: int = WORDS, endings: int = ENDINGS, head: int = HEAD) -> tuple[Vocabulary, int]:
     """Vocabulary from the full counts, and the count from which a word is in the head."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     floor = head_floor(counts, head)
     top = sorted(((r["c"], r["word"]) for r in counts.where((F.col("c") >= floor) & (F.col("word") != END)).collect()), key=lambda x: (-x[0], x[1]))
     own = [w for _, w in top[:words]]
     others = counts.where((F.col("word") != END) & ~F.col("word").isin(own)) if own else counts.where(F.col("word") != END)
-    by_ending = others.groupBy(F.substring("word", -ENDING, ENDING).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
-    by_ending = materialise(by_ending, "lm-endings")
+    low = F.col("c") < floor
+    by_ending = others.groupBy(F.substring("word", -ENDING, ENDING).alias("e")).agg(
+        F.sum("c").alias("c"), F.coalesce(F.sum(F.when(low, F.col("c"))), F.lit(0)).alias("tail_c"), F.count(F.when(low, 1)).alias("tail_v")
+    )
+    by_ending = scratch.keep(by_ending, "endings")
     common = by_ending.orderBy(F.desc("c"), "e").limit(endings).collect()
-    sums = by_ending.agg(F.sum("c").alias("c"), F.sum("v").alias("v")).first()
-    named = {r["e"]: 2 + len(own) + k for k, r in enumerate(common)}
-    rest = 2 + len(own) + len(common)
+    sums = by_ending.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("c", "tail_c", "tail_v")]).first()
+    first_class = 2 + len(own)
+    named = {r["e"]: first_class + k for k, r in enumerate(common)}
+    rest = first_class + len(common)
     ends = counts.where(F.col("word") == END).select("c").first()
-    frequency = np.zeros(rest + 1)
+    frequency, tail_count, tail_words = (np.zeros(rest + 1) for _ in range(3))
     frequency[END_ID] = ends["c"] if ends else 0
-    frequency[2 : 2 + len(own)] = [c for c, _ in top[:words]]
-    outside = np.zeros(rest + 1)
-    for r in common:
-        frequency[named[r["e"]]] = r["c"]
-        outside[named[r["e"]]] = -math.log10(r["c"] + r["v"] + 1)
-    rest_c, rest_v = (sums["c"] or 0) - sum(r["c"] for r in common), (sums["v"] or 0) - sum(r["v"] for r in common)
-    frequency[rest], outside[rest] = rest_c, -math.log10(rest_c + rest_v + 1)
+    frequency[2:first_class] = [c for c, _ in top[:words]]
+    for array, k in ((frequency, "c"), (tail_count, "tail_c"), (tail_words, "tail_v")):
+        array[first_class:rest] = [r[k] for r in common]
+        array[rest] = sums[k] - sum(r[k] for r in common)
     place = {w.encode(): k for k, (_, w) in enumerate(top)}
-    symbols = np.array([2 + k if k < len(own) else named.get(w[-ENDING:], rest) for k, (_, w) in enumerate(top)], dtype=np.int64)
+    symbols = np.array([2 + k if k < len(own) else named.get(w[-ENDING:], rest) for k, (_, w) in enumerate(top)], dtype=np.int32)
     c = np.array([c for c, _ in top], dtype=np.float64)
-    shares = np.where(np.arange(len(top)) < len(own), 0.0, np.log10(c + 1.0) + (outside[symbols] if len(top) else 0.0))
-    return Vocabulary(total["n"] or 0, total["v"] or 0, place, c, symbols, shares, named, rest, outside, frequency), floor
+    return Vocabulary(total["n"] or 0, total["v"] or 0, place, c, symbols, named, rest, first_class, frequency, tail_count, tail_words), floor
+
 
+def encoded(rows: DataFrame, shared) -> DataFrame:
+    """(doc_id, uid, learn, h, ids, beyond) of each row (doc_id, learn, h, text): its words' numbers, and those beyond the head."""
 
-def train_model(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """Warm start on a bounded hash sample, then one pass over all texts with averaged parameters."""
-    spark, symbols = texts.sparkSession, len(vocabulary)
-    noise = (vocabulary.frequency + 0.5) / (vocabulary.frequency + 0.5).sum()
-    shared = spark.sparkContext.broadcast(vocabulary)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, row, v = TaskContext.get().partitionId(), 0, shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                own = pdf.iloc[at : at + 512]
+                found = [v.numbers(t) for t in own["text"]]
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"].to_numpy(),
+                    "uid": (part << 36) + row + np.arange(len(own), dtype=np.int64),
+                    "learn": own["learn"].to_numpy(),
+                    "h": own["h"].to_numpy(),
+                    "ids": [x.astype("<i4").tobytes() for x, _ in found],
+                    "beyond": [[w.decode("utf-8", "replace") for w in words] for _, words in found],
+                })
+                row += len(own)
+        give_back()
+
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, learn boolean, h long, ids binary, beyond array<string>")
+
+
+def train_model(texts: DataFrame, vocabulary: Vocabulary, scratch: Scratch, *, group_tokens: int = GROUP_TOKENS) -> LogBilinear:
+    """From encoded training rows (h, ids): a warm start on those of least hash, then one pass over all groups, averaged.
+
+    Rows of equal hash are equal in id and text, so their order does not matter.
+    """
+    spark = texts.sparkSession
+    fresh = lambda v: LogBilinear(v.frequency, v.unit_classes(), v.unit_mass())
+    shared = spark.sparkContext.broadcast(_without_words(vocabulary))
+    groups = max(1, min(MOST_GROUPS, -(-vocabulary.total // group_tokens)))
 
     def runner(start: bytes):
         begun = spark.sparkContext.broadcast(start)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, model, state = shared.value, LogBilinear.unpacked(begun.value, symbols), {}
-            rng, seen, held, size = np.random.default_rng(11), 0, [], 0
+            v, group, held = shared.value, None, None
             for pdf in batches:
-                for text in pdf["text"]:
-                    ids = v.stream(text)[0]
-                    held.append(ids)
-                    size += len(ids)
-                    if size >= 64 * BATCH:
-                        seen, held, size = seen + _train_on(model, held, noise, rng, state), [], 0
-            seen += _train_on(model, held, noise, rng, state)
-            if seen:
-                yield pd.DataFrame({"weight": [float(seen)], "model": [model.packed()], "part": [TaskContext.get().partitionId()]})
+                for own, ids in zip(pdf["group"], pdf["ids"], strict=True):
+                    if own != group:
+                        if held:
+                            yield held.row(group)
+                        group, held = own, _Pass(fresh(v).load(begun.value), v)
+                    held.add(np.frombuffer(ids, dtype="<i4"))
+            if held:
+                yield held.row(group)
+            del held
+            give_back()
 
         return run
 
-    def fetched(models: DataFrame) -> bytes | None:
-        """Average in groups until one row is left."""
-        models = materialise(models, "lm-models")
-        parts = models.count()
-        while parts > 1:
-            groups = -(-parts // FAN_IN)
-            models = models.groupBy((F.col("part") % groups).cast("int").alias("part")).applyInPandas(_mean, "weight double, model binary, part int")
-            models = materialise(models, "lm-models")
-            parts = groups
-        found = models.first()
-        return bytes(found["model"]) if found else None
-
     fields = "weight double, model binary, part int"
-    start = LogBilinear(symbols, vocabulary.frequency).packed()
-    n = texts.count()
-    if not n:
-        return LogBilinear.unpacked(start, symbols)
-    warm = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, WARM_TEXTS / n) * (1 << 30)).limit(4 * WARM_TEXTS).repartition(1)
-    start = fetched(warm.mapInPandas(runner(start), fields)) or start
-    return LogBilinear.unpacked(fetched(texts.mapInPandas(runner(start), fields)) or start, symbols)
-
-
-def _train_on(model: LogBilinear, held: list[np.ndarray], noise: np.ndarray, rng: np.random.Generator, state: dict[str, np.ndarray]) -> int:
-    if not held:
-        return 0
-    sizes = np.array([len(x) for x in held])
-    model.train(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)[:-1]]), noise, rng, state)
-    return int(sizes.sum())
+    start = fresh(vocabulary).packed()
+    warm = texts.orderBy("h").limit(WARM_TEXTS).select(F.lit(0).alias("group"), "h", "ids").repartition(1).sortWithinPartitions("h")
+    found = scratch.keep(warm.mapInPandas(runner(start), fields), "warm").first()
+    if not found:
+        return fresh(vocabulary)
+    start = bytes(found["model"])
+    dealt = texts.select(F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int").alias("group"), "h", "ids").repartitionById(groups, F.col("group")).sortWithinPartitions("group", "h")
+    models, parts = scratch.keep(dealt.mapInPandas(runner(start), fields), "models"), groups
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        # Rows of a group are at most FAN_IN parameter sets of bounded size.
+        models = models.groupBy((F.col("part") % parts).cast("int").alias("part")).applyInPandas(_mean, fields)
+        models = scratch.keep(models, "models")
+    return fresh(vocabulary).load(bytes(models.first()["model"]))
+
+
+def _without_words(v: Vocabulary) -> Vocabulary:
+    return Vocabulary(**{**v.__dict__, "head": {}})
+
+
+class _Pass:
+    """A training pass over the rows of one group, in the order they come."""
+
+    def __init__(self, model: LogBilinear, vocabulary: Vocabulary):
+        self.model, self._v, self._state, self._rng = model, vocabulary, {}, np.random.default_rng(11)
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size, self.seen = 0, 0
+
+    def add(self, at: np.ndarray) -> None:
+        self._held.append(self._v.streams(at))
+        self._size += len(at) + 1
+        if self._size >= 32 * BATCH:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self._held:
+            sizes = np.array([len(x) for x, _ in self._held])
+            ids, units = (np.concatenate([x[k] for x in self._held]) for k in (0, 1))
+            self.model.train(ids, units, np.concatenate([[0], np.cumsum(sizes)[:-1]]), self._rng, self._state)
+            self.seen += len(ids)
+        self._held, self._size = [], 0
+
+    def row(self, part: int) -> pd.DataFrame:
+        self._flush()
+        return pd.DataFrame({"weight": [float(self.seen)], "model": [self.model.packed()], "part": [part]})
 
 
 def _mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    weight = pdf["weight"].to_numpy()
-    models = np.stack([np.frombuffer(m, dtype="<f4") for m in pdf["model"]])
-    mean = (models * (weight / weight.sum())[:, None]).sum(axis=0).astype("<f4")
-    return pd.DataFrame({"weight": [weight.sum()], "model": [mean.tobytes()], "part": [key[0]]})
-
+    """Mean of parameter sets by weight, added up in an order that does not depend on that of the rows."""
+    pdf = pdf.sort_values("part")
+    total, whole = None, float(pdf["weight"].sum())
+    for weight, model in zip(pdf["weight"], pdf["model"], strict=True):
+        x = np.frombuffer(model, dtype="<f4") * np.float64(weight / whole)
+        total = x if total is None else total + x
+    return pd.DataFrame({"weight": [whole], "model": [total.astype("<f4").tobytes()], "part": [key[0]]})
+
+
+def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs, learning from those where ``learn``.
+
+    Null texts count as empty: their one token is the end. Texts of any length are scored whole. Repeated rows score
+    alike; a null id is an id like any other; an empty training set gives scores of an untrained model and base scores of
+    0; an empty table gives an empty table; other columns are not read, whatever their names. The same rows give the same
+    scores, however they are partitioned (but for the last digits, which the order of sums may change).
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    with Scratch(spark, "lm") as scratch:
+        counts = scratch.keep(word_counts(rows.where("learn").select("text")), "counts")
+        vocabulary, floor = build_vocabulary(counts, scratch)
+        shared = spark.sparkContext.broadcast(vocabulary)
+        texts = scratch.keep(encoded(rows.withColumn("h", F.xxhash64("doc_id", "text")), shared), "encoded")
+        model = train_model(texts.where("learn"), vocabulary, scratch)
+        return scratch.result(_scores(texts, Scorer.of(model, _without_words(vocabulary)), counts, floor))
 
-def score_texts(docs: DataFrame, learn: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs, learning from ``learn`` (text).
 
-    Null texts count as empty: their one token is the end. Repeated rows score alike; an empty training set gives scores
-    of an untrained model and base scores of 0; an empty table gives an empty table; other columns are not read.
-    """
-    learn = learn.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = materialise(word_counts(learn), "lm-counts")
-    vocabulary, floor = build_vocabulary(counts)
-    scorer = docs.sparkSession.sparkContext.broadcast(Scorer.of(train_model(learn, vocabulary), vocabulary))
-    id_type = dict(docs.dtypes)[id_col]
+def _scores(texts: DataFrame, scorer: Scorer, counts: DataFrame, floor: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, row = TaskContext.get().partitionId(), 0
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                own = pdf.iloc[at : at + 512]
-                found = [scorer.value.parts(t) for t in own["text"]]
-                frame = pd.DataFrame([f[:4] for f in found], columns=["n_tokens", "n_known", "base", "model"])
-                frame["beyond"] = [[w.decode("utf-8", "replace") for w in f[4]] for f in found]
-                frame.insert(0, "uid", (part << 36) + row + np.arange(len(own), dtype=np.int64))
-                frame.insert(0, "doc_id", own["doc_id"].to_numpy())
-                row += len(own)
-                yield frame
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(rows.mapInPandas(run, f"doc_id {id_type}, uid long, n_tokens long, n_known long, base double, model double, beyond array<string>"), "lm-rows")
+            found = [shared.value.parts(np.frombuffer(x, dtype="<i4")) for x in pdf["ids"]]
+            frame = pd.DataFrame(found, columns=["n_tokens", "n_known", "base", "model"])
+            frame.insert(0, "uid", pdf["uid"].to_numpy())
+            frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield frame
+        give_back()
+
+    scored = texts.select("doc_id", "uid", "ids").mapInPandas(run, f"doc_id {dict(texts.dtypes)['doc_id']}, uid long, n_tokens long, n_known long, base double, model double")
     tail = counts.where((F.col("c") < floor) & (F.col("word") != END))
     sums = (
-        rows.select("uid", F.explode("beyond").alias("word"))
+        texts.select("uid", F.explode("beyond").alias("word"))
         .join(tail, "word")
         .groupBy("uid")
         .agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count(F.lit(1)).alias("known"))
     )
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("beyond").join(sums, "uid", "left").select(
+    return scored.join(sums, "uid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        F.lit(scorer.vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
         (F.col("model") + more).alias("score"),
     )
@@ -382,5 +535,5 @@ def score_texts(docs: DataFrame, learn: DataFrame, *, id_col: str = "doc_id", te
 
 def score_held_out(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """Learn from the rows outside one fold of crc32(doc_id), then score all rows."""
-    scored = score_texts(docs, docs.where(crc_mod("doc_id", folds) != held))
+    scored = score_texts(docs, crc_mod("doc_id", folds) != held)
     return scored.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
