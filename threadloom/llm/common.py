@@ -2,88 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.llm.files import remove_dir
+from threadloom.scratch import Scratch, fresh_path
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: list[str] = []
-_results: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Clusters name it in ``spark.checkpoint.dir``. Where that is unset a temporary folder serves on a local master, where
-    driver and executor are one process; on any other master that would be each machine's own, so it is an error.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="threadloom-"))
-    return _own_dir[0]
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a cut in the lineage that outlives any executor.
-
-    The table stays as long as the driver's process, or until ``clean_up``.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    _results.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "Scratch", "crc_mod", "doc_columns", "fresh_path", "give_back", "table", "utf8"]
 
-
-class Scratch:
-    """Tables that an operator writes to the shared folder while it runs; ``with`` removes them, also when it fails.
-
-    What the operator gives back must depend on results alone, which outlive it.
-    """
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.root, self._tag, self._spark, self._n = fresh_path(spark, f"{tag}-scratch"), tag, spark, 0
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        remove_dir(self.root)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
-
-    def result(self, df: DataFrame) -> DataFrame:
-        return materialise(df, self._tag)
-
-
-@atexit.register
-def clean_up() -> None:
-    """Remove the results that operators of this process have written to the shared folder."""
-    while _results:
-        remove_dir(_results.pop())
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyarrow import fs as pafs
 
+from threadloom.scratch import remove_dir
+
+__all__ = ["Ranges", "Writer", "make_dir", "open_fs", "remove_dir"]
+
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
@@ -14,12 +18,6 @@ def make_dir(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
-def remove_dir(uri: str) -> None:
-    fs, path = open_fs(uri)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
-
-
 class Writer:
     """A file written from front to back; ``at`` is the next byte's offset."""
 
