@@ -141,7 +141,8 @@ def test_calibration_does_not_see_its_rows(spark):
     rng = np.random.default_rng(14)
     rows = spark.createDataFrame([(text_of(rng, "aa", 10) + (" only%d" % k if k % 2 else ""), k % 2, k % 4 + 1) for k in range(40)] + [("zork " + text_of(rng, "aa", 5) + " a zork b zork", 1, 1)] * 8, "text string, toxic int, fold int")
     with Scratch(spark, "lexicon-test") as scratch:
-        whole, *parts = T.learn_lexicons(rows.withColumn("text", F.regexp_replace("text", "only[0-9]+", "")), scratch)
+        wordless = spark.createDataFrame([("", 0, 2), ("!!!", 1, 3)], rows.schema).repartition(2)  # a part of its own without any word
+        whole, *parts = T.learn_lexicons(rows.withColumn("text", F.regexp_replace("text", "only[0-9]+", "")).union(wordless), scratch)
     assert len(parts) == T.FOLDS and parts[0] <= parts[1] | frozenset(T.GIVEN)
     assert "zork" not in parts[0]  # marks of fold 1 alone
 

@@ -248,8 +248,10 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         before[fold, s] |= bit
                 last = w
             counts[fold, int(toxic)].update(terms)
-    for fold in {k for k, _ in counts}:
+    for fold in {k for k, _ in list(counts)}:
         terms = list(counts[fold, 0].keys() | counts[fold, 1].keys())
+        if not terms:  # texts without words
+            continue
         yield pd.DataFrame({"term": terms, "fold": fold, "toxic": [counts[fold, 1][t] for t in terms], "clean": [counts[fold, 0][t] for t in terms], "before": [before.get((fold, t), 0) for t in terms]})
 
 
