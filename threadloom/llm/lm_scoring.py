@@ -47,7 +47,7 @@ RATE = 0.15
 GROUP_TOKENS = 4_000_000
 MOST_GROUPS = 20_000
 WARM_TEXTS = 1_500
-FAN_IN = 8
+FAN_IN = 4
 END = "\n"  # white space, so no word equals it
 BEGIN_ID, END_ID = 0, 1
 FLUSH = 500_000
@@ -479,8 +479,14 @@ def _mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     total, whole = None, float(pdf["weight"].sum())
     for weight, model in zip(pdf["weight"], pdf["model"], strict=True):
         x = np.frombuffer(model, dtype="<f4") * np.float64(weight / whole)
-        total = x if total is None else total + x
-    return pd.DataFrame({"weight": [whole], "model": [total.astype("<f4").tobytes()], "part": [key[0]]})
+        if total is None:
+            total = x
+        else:
+            total += x
+    found = pd.DataFrame({"weight": [whole], "model": [total.astype("<f4").tobytes()], "part": [key[0]]})
+    del pdf, total
+    give_back()
+    return found
 
 
 def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
