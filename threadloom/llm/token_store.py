@@ -177,7 +177,7 @@ class Encoder:
     _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, most_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
