@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, language_id, line_dedup, lm_scoring, media, mixing, ngram_jaccard, sharding, token_store, toxicity
+from threadloom.llm import centroids, decontaminate, language_id, line_dedup, lm_scoring, media, mixing, ngram_jaccard, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op7_lm_scoring, op8_token_store, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op7_lm_scoring, op8_token_store, op9_toxicity, op10_sharding, op13_centroids)}
 
 
 OP4_SQL = r"""
@@ -159,4 +163,4 @@ FROM placed JOIN crc USING (text)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op10_sharding": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op10_sharding": OP10_SQL, "op13_centroids": centroids.oracle()}
