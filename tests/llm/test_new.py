@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 
-from threadloom.llm import centroids
+from threadloom.llm import centroids, periodic_runs
 
 
 def lloyd(rows, k=8, rounds=10, dims=64):
@@ -61,3 +63,79 @@ def test_partial_distances_equal_whole_ones():
     whole = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
     of, best = centroids.nearest(x, c)
     assert (of == whole.argmin(axis=1)).all() and (best == whole.min(axis=1)).all()
+
+
+def all_runs(w):
+    """(start, length, period) by trying every period at every place."""
+    found, n = {}, len(w)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i > s and i - s + q >= max(24, 3 * q):
+                found.setdefault((s, i - s + q), q)
+            i += i == s
+    return sorted((s, m, q) for (s, m), q in found.items())
+
+
+def some_words(rng, most):
+    w = []
+    while len(w) < most:
+        kind, size = rng.random(), rng.randint(1, 40)
+        if kind < 0.3:
+            w += [f"w{rng.randint(0, 60)}" for _ in range(size)]
+        elif kind < 0.5:
+            w += [rng.choice("ab") for _ in range(size)]
+        else:
+            period = [f"p{rng.randint(0, rng.choice([0, 1, 3, 90]))}" for _ in range(rng.randint(1, 25))]
+            w += (period * 9)[: rng.randint(1, 6 * len(period))]
+    return w
+
+
+def test_runs_equal_all_periods():
+    rng = random.Random(11)
+    for most in [1, 23, 24, 25, 60] * 40 + [300] * 60:
+        w = some_words(rng, most)
+        assert periodic_runs.document_runs(w) == all_runs(w)
+    assert periodic_runs.minimum_overlap() == 16
+    twelve = [str(i) for i in range(12)]
+    assert periodic_runs.document_runs((twelve * 3)[:36]) == [(0, 36, 12)] and periodic_runs.document_runs((twelve * 3)[:35]) == []  # just a run, and not
+    assert periodic_runs.document_runs(["x"] * 24) == [(0, 24, 1)] and periodic_runs.document_runs(["x"] * 23) == []
+
+
+def contract_row(doc_id, text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10 == 0 and n:
+        a = h // 10 % n
+        p = 1 + (n - a) // (3 + h // 10 % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = all_runs(w)
+    kept = [x for i, x in enumerate(w) if not any(s + q <= i < s + m for s, m, q in runs)]
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None,) * 3)
+    listed = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+    digest = [hashlib.sha256(x.encode()).hexdigest() for x in (listed, " ".join(kept))]
+    return (doc_id, len(runs), *best, best[0] if best[0] is None else 1000 * best[1] // best[2], *digest)
+
+
+def test_periodic_runs_whole_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([" ", "\n", "\t \x0b"]).join(some_words(rng, rng.choice([1, 20, 80, 200])))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, " \n"), (3, rows[3][1]), (3, rows[3][1]), (203, "é\u00a0" * 20 + "b " * 30)]  # no-break spaces part no words
+    rows += [(10**15 + 7, " ".join(some_words(rng, 300)))]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_runs string")
+    got = sorted(map(str, map(tuple, periodic_runs.periodic_runs(docs, planted=True).collect())))
+    assert got == sorted(str(contract_row(*r)) for r in rows)
+    assert sum(1 for r in rows if zlib.crc32(str(r[0]).encode()) % 10 == 0) > 5
+    assert periodic_runs.periodic_runs(docs.limit(0)).collect() == []
+
+
+def test_periodic_runs_of_a_long_text_and_a_null_id(spark):
+    passage = [f"w{i}" for i in range(40_000)]
+    long = " ".join([*passage, *["a", "b", "c"] * 20_000, *passage])  # the passage repeats without being a run
+    docs = spark.createDataFrame([(None, long), (None, None)], "doc_id long, text string")
+    found = {r.n_runs: r for r in periodic_runs.periodic_runs(docs, planted=True, with_text=True).collect()}
+    assert [tuple(x) for x in found[1].runs] == [(40_000, 60_000, 3)] and found[1].exponent_milli == 20_000_000
+    assert found[1].collapsed == " ".join([*passage, "a", "b", "c", *passage]) and found[0].collapsed == ""
