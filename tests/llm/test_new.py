@@ -5,11 +5,12 @@ import math
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from threadloom.llm import centroids, periodic_runs
+from threadloom.llm import centroids, near_dedup, periodic_runs
 
 
 def lloyd(rows, k=8, rounds=10, dims=64):
@@ -139,3 +140,102 @@ def test_periodic_runs_of_a_long_text_and_a_null_id(spark):
     found = {r.n_runs: r for r in periodic_runs.periodic_runs(docs, planted=True, with_text=True).collect()}
     assert [tuple(x) for x in found[1].runs] == [(40_000, 60_000, 3)] and found[1].exponent_milli == 20_000_000
     assert found[1].collapsed == " ".join([*passage, "a", "b", "c", *passage]) and found[0].collapsed == ""
+
+
+def shingles(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+
+
+def near_classes(rows):
+    """(doc_id, set size, least id of its class, kept) of each row: every pair of different sets is compared."""
+    sets = [shingles(t) for _, t in rows]
+    first, up = {}, list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in enumerate(sets):
+        if s:
+            up[root(i)] = root(first.setdefault(s, i))
+    own = list(first.values())
+    holders = defaultdict(list)
+    for i in own:
+        met = defaultdict(int)
+        for g in sets[i]:
+            for j in holders[g]:
+                met[j] += 1
+            holders[g].append(i)
+        for j, both in met.items():
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        r = root(i)
+        known = least.get(r)
+        least[r] = doc_id if known is None else known if doc_id is None else min(known, doc_id)
+    return sorted(str((d, len(s), least[root(i)], d == least[root(i)])) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+def near_rows(rng, n):
+    """Texts with copies, near copies at all likenesses, chains of small steps, and a passage that many share."""
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passage, rows = " ".join(rng.choices(vocabulary, k=60)), []
+    while len(rows) < n:
+        w = rng.choices(vocabulary, k=rng.choice([1, 3, 4, 5, 8, 30, 60, 200]))
+        kind = rng.random()
+        if kind < 0.3:
+            rows.append(f"{' '.join(w)} {passage}")
+        else:
+            for _ in range(rng.randint(1, 12)):
+                rows.append(" ".join(w))
+                for _ in range(rng.randint(0, 1 + len(w) // 40)):
+                    w = list(w)
+                    w[rng.randrange(len(w))] = rng.choice(vocabulary)
+    ids = rng.sample(range(10**12), len(rows))
+    return list(zip(ids, rows))
+
+
+DOCS = "doc_id long, text string, component_id string, nid int"
+
+
+def test_near_duplicates_brute_force(spark):
+    rng = random.Random(21)
+    rows = near_rows(rng, 1200)
+    head = rng.choices([f"u{i}" for i in range(500)], k=120)
+    rows += [(i, " ".join(head[:k] + [f"edit{i}"] + head[k + 1 :])) for i, k in enumerate(rng.choices(range(120), k=300))]  # a large group of near copies
+    mixes = [" ".join(rng.choices([f"m{i}" for i in range(2000)], k=25)) for _ in range(4)]
+    rows += [(2000 + i, " ".join([*rng.sample(mixes, 3), f"own{i} " * 9])) for i in range(200)]  # crowded buckets, many likenesses near the threshold
+    rows += [(5000, None), (5001, ""), (5002, " \t"), (5003, None), (5004, "One TWO"), (5005, "one two"), (5006, "ÉCOLE a b c"), (5007, "école a b c")]
+    rows += [rows[0], rows[0], (rows[0][0], "other words of the same id")]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(*r, "clash", 1) for r in rows], DOCS)).collect()
+    assert sorted(str(tuple(r)) for r in got) == near_classes(rows)
+
+
+def test_near_duplicates_null_ids_empty_and_long(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (9, long), (8, long + " tail"), (7, None), (None, None)]
+    got = sorted(map(str, map(tuple, near_dedup.near_duplicates(spark.createDataFrame([(*r, "", 0) for r in rows], DOCS)).collect())))
+    assert got == sorted(map(str, [(None, 2, None, True), (None, 2, None, True), (9, 59_997, 8, False), (8, 59_998, 8, True), (7, 0, 7, True), (None, 0, None, True)]))
+    assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], DOCS)
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs).collect() if r.doc_id is not None) == [7, 8]
+
+
+def test_superminhash_estimates_and_stops_early():
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 90, 1500):
+        pairs = []
+        for _ in range(60):
+            x = rng.integers(0, 1 << 62, size=n + n // 4, dtype=np.uint64)
+            pairs += [x[:n], x[n // 4 :]]
+        found = near_dedup.signatures(pairs)
+        assert (found == near_dedup.signatures(pairs[::-1])[::-1]).all()  # no other set counts
+        true = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(pairs[::2], pairs[1::2])]
+        assert abs((found[::2] == found[1::2]).mean() - np.mean(true)) < 0.02
+        assert (found >> np.uint64(32)).max() < 180 and (n < 1500 or (found >> np.uint64(32)).max() <= 3)
+    one = near_dedup.signatures([np.array([5], dtype=np.uint64)])[0] >> np.uint64(32)
+    assert sorted(one.tolist()) == list(range(180))  # one element ranks every place once

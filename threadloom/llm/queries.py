@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import centroids, decontaminate, language_id, line_dedup, lm_scoring, media, mixing, ngram_jaccard, periodic_runs, sharding, token_store, toxicity
+from threadloom.llm import centroids, decontaminate, language_id, line_dedup, lm_scoring, media, mixing, near_dedup, ngram_jaccard, periodic_runs, sharding, token_store, toxicity
 from threadloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
@@ -67,7 +71,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op7_lm_scoring, op8_token_store, op9_toxicity, op10_sharding, op12_periodic_runs, op13_centroids)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_mix_sources, op5_media_columns, op6_ngram_jaccard, op7_lm_scoring, op8_token_store, op9_toxicity, op10_sharding, op11_near_dedup, op12_periodic_runs, op13_centroids)}
 
 
 OP4_SQL = r"""
