@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
@@ -29,6 +29,8 @@ from threadloom.functions.columns import (
 )
 from threadloom.operators.dedupe import first_wins, last_wins
 from threadloom.operators.ordered import forward_filled
+from threadloom.sources import split_csv
+from threadloom.sources.split_csv import lines
 
 # Names under which a column is looked for, in order of preference.
 FIELD_NAMES: dict[str, tuple[str, ...]] = {
@@ -60,40 +62,51 @@ def field_mapping(columns: Sequence[str]) -> dict[str, str | None]:
     return found
 
 
-def csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, list[str]]]:
-    """(encoding, files) of files that can be read together: one header and one encoding, UTF-8 or else GB18030.
+def csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str, list[str]]]:
+    """(encoding, header line, files) of files that can be read together: one header and one encoding, UTF-8 or else GB18030.
 
-    One scan of the lines, of which two values a file come back: its first line's bytes, and whether all are valid UTF-8.
+    One scan of the lines, of which two values a file come back: its first filled line's bytes, and whether all are valid UTF-8.
     """
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"))
-    found = lines.groupBy("file").agg(
-        F.min_by(F.hex(F.col("value").cast("binary")), F.struct("start", "nth")).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
-    )
+    own = lines(spark, paths).withColumn("nth", F.monotonically_increasing_id())
+    at = F.when(F.trim("value") != "", F.struct("start", "nth"))
+    found = own.groupBy("file").agg(F.min_by(F.hex(F.col("value").cast("binary")), at).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     groups: dict[tuple[bool, str], list[str]] = {}
     for r in found.orderBy("file").collect():  # one row a file, as the driver lists them anyway
-        groups.setdefault((r["utf8"], r["header"]), []).append(r["file"])
-    return [("UTF-8" if utf8 else "GB18030", files) for (utf8, _), files in groups.items()]
+        if r["header"]:
+            groups.setdefault((r["utf8"], r["header"]), []).append(r["file"])
+    encoding = lambda utf8: "utf-8" if utf8 else "gb18030"
+    return [(encoding(utf8), bytes.fromhex(header).decode(encoding(utf8), "replace"), files) for (utf8, header), files in groups.items()]
+
+
+def csv_tables(spark: SparkSession, paths: str | Sequence[str]) -> list[DataFrame]:
+    """One table for each group of ``csv_groups``, with the columns of its header, ``_file`` and ``_row``."""
+    found = []
+    for encoding, header, files in csv_groups(spark, paths):
+        if split_csv.opens_quote(header):  # a header of several lines
+            first = split_csv.csv_records(spark, files[:1], 1 << 30, encoding).where("row = 1").first()
+            header = first["value"] if first else header
+        names = split_csv.header_names(header)
+        found.append(split_csv.parsed(split_csv.csv_records(spark, files, len(names), encoding), names))
+    return found
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All columns as strings, bound by name across files, empty strings kept; a file without a column has it empty.
 
-    Quoted line feeds are read, malformed lines skipped, a leading BOM dropped. Files are read in the groups of
-    ``csv_groups``. ``_file`` and ``_row`` (the row's number in its file, from 2, as the header is row 1) come last.
+    Files are split among tasks, quoted line feeds or not (``split_csv``). Records with more fields than the header and
+    blank lines are skipped, missing fields are empty, a leading BOM is dropped. ``_file`` and ``_row`` (the row's number in
+    its file, from 2, as the header is row 1) come last.
     """
-    read = []
-    for encoding, files in csv_groups(spark, paths):
-        if encoding != "UTF-8":  # Spark reads other charsets than the Unicode ones only under this setting
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = spark.read.csv(files, header=True, multiLine=True, mode="DROPMALFORMED", encoding=encoding, escape='"', inferSchema=False)
-        named = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns]
-        # A file with quoted line feeds is read by one task, so its rows are neighbours in this order.
-        numbered = df.select(*named, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-        read.append(numbered.withColumn("_row", F.col("_row") - F.min("_row").over(Window.partitionBy("_file")) + 2))
+    read = csv_tables(spark, paths)
     if not read:
         return spark.createDataFrame([], "_file string, _row long")
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
-    return out.select(*[F.coalesce(c, F.lit("")).alias(c) for c in out.columns if c not in ("_file", "_row")], "_file", "_row")
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns if c not in ("_file", "_row")], "_file", "_row")
+
+
+def ingest_files(spark: SparkSession, paths: str | Sequence[str], **how: str) -> DataFrame:
+    """The records (``ingest``) of CSV files of any layouts: fields are found in each file's own header. At least one file must be filled."""
+    return reduce(DataFrame.unionByName, [ingest(t, **how) for t in csv_tables(spark, paths)])
 
 
 def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
