@@ -8,14 +8,14 @@ a step or two. The steps of many sets run side by side in numpy.
 
 Signatures are cut into bands. Members of a small bucket meet as pairs; those of a crowded one meet two of its members, and
 what these links leave outside the bucket's main class meets all its members block by block, on a byte of each place of the
-signature: pairs in different classes that can be at the threshold go on. Each pair is verified on its whole sets before it
+signature, and in the end of several signatures: pairs in different classes that can be at the threshold go on. Each pair is verified on its whole sets before it
 is a link. Links shrink to a forest by union-find within a task; rounds over the forests give the classes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ PLACES = ROWS * BANDS
 SMALL = 16
 #: Standard deviations by which the likeness of two signatures may miss the threshold; members of a block.
 SIGMAS, BLOCK = 5.0, 512
+#: Signatures by which the last of a crowded bucket are compared.
+LONG = 4
 #: Shingles whose steps run side by side.
 CHUNK = 1 << 16
 #: Node ids up to which the texts to verify are picked by a broadcast of ids, 8 bytes each; beyond it by a shuffled semi join.
@@ -130,10 +132,25 @@ def place_bytes(signature: np.ndarray) -> np.ndarray:
     return (_mixed(signature) >> np.uint64(56)).astype(np.uint8)
 
 
-def least_like(percent: int = PERCENT) -> int:
-    """Equal bytes that two signatures at the threshold have at least, but for SIGMAS standard deviations of chance."""
-    p = percent / 100.0
-    return int(PLACES * p - SIGMAS * np.sqrt(PLACES * p * (1.0 - p)))
+def spread_factor(union: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """Variance of a SuperMinHash estimate against that of independent ranks, for unions of so many elements: below 1, rising."""
+    u = np.maximum(np.asarray(union, dtype=np.float64), 2.0)[..., None]
+    step = np.arange(1, places, dtype=np.float64)
+    own = np.log(step / places)
+    near = [np.log(np.maximum(step + d, 1e-300) / (places - 1)) for d in (1, -1, 0)]
+    up, down, same = (np.exp(u * (own + x)) for x in near)
+    return 1.0 - ((up + down - 2.0 * same).sum(axis=-1)) * (places - 1) / (u[..., 0] - 1.0)
+
+
+_UNIONS = np.unique(np.geomspace(2, 1 << 22, 400).astype(np.int64))
+_SPREAD = spread_factor(_UNIONS)
+
+
+def least_like(union: np.ndarray, percent: int = PERCENT, rounds: int = 1) -> np.ndarray:
+    """Equal places that so many signatures of sets at the threshold have at least, but for SIGMAS standard deviations of chance."""
+    p, places = percent / 100.0, PLACES * rounds
+    known = np.minimum(np.searchsorted(_UNIONS, union), len(_UNIONS) - 1)  # the next larger union, of larger variance
+    return places * p - SIGMAS * np.sqrt(places * p * (1.0 - p) * _SPREAD[known])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -172,17 +189,17 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, set binary, n_shingles long, keys array<long>, likeness binary")
 
 
-def _whole_sets(docs: DataFrame, ends: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(nid, shingles) of the given nodes, from the whole text of one row of each."""
+def _of_texts(docs: DataFrame, ends: DataFrame, nodes: DataFrame, made: Callable[[list[np.ndarray]], list[bytes]], scratch: Scratch) -> DataFrame:
+    """(nid, made) of the given nodes: what ``made`` gives for the sets of whole texts, one row's text of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t) for t in batch.slice(at, 512).column(0).cast(pa.binary()).to_pylist()]
-                own = {n: s.tobytes() for n, s in zip(map(_set_id, sets), sets, strict=True) if n not in seen}
+                own = {n: s for n, s in zip(map(_set_id, sets), sets, strict=True) if n not in seen and len(s)}
                 seen.update(own)
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(made(list(own.values())), pa.binary())], ["set", "made"])
         _words.clear()
         give_back()
 
@@ -190,21 +207,29 @@ def _whole_sets(docs: DataFrame, ends: DataFrame, nodes: DataFrame, scratch: Scr
     ids = wanted.select(F.col("rep").alias("__rep")).distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("__rep")), "left_semi").select("text")
-    found = texts.mapInArrow(run, "set binary, shingles binary").dropDuplicates(["set"])
-    return scratch.keep(found.join(wanted.select("nid", "set"), "set").select("nid", "shingles"), "sets")
+    found = texts.mapInArrow(run, "set binary, made binary").dropDuplicates(["set"])
+    return scratch.keep(found.join(wanted.select("nid", "set"), "set").select("nid", "made"), "made")
+
+
+def _long_likeness(sets: list[np.ndarray]) -> list[bytes]:
+    """Bytes of LONG signatures, each by permutations of its own."""
+    if not sets:
+        return []
+    parts = [place_bytes(signatures([_mixed(s + np.uint64(0xA5A5A5A5 * (k + 1))) for s in sets])) for k in range(LONG)]
+    return [row.tobytes() for row in np.hstack(parts)]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes with 100 * intersection >= percent * union of their whole shingle sets."""
     ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-    found = _whole_sets(docs, ends, nodes, scratch)
+    found = _of_texts(docs, ends, nodes, lambda sets: [x.tobytes() for x in sets], scratch)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
-    left, right = found.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), found.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
+    left, right = found.select(F.col("nid").alias("a"), F.col("made").alias("sa")), found.select(F.col("nid").alias("b"), F.col("made").alias("sb"))
     return scratch.keep(pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long"), "links")
 
 
@@ -245,11 +270,10 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return scratch.keep(pairs, "pairs"), crowded.select("key", "nid", "n")
 
 
-def _across(crowded: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Pairs of one crowded bucket that lie in different classes and whose signatures allow the threshold, each once.
+def _open_members(crowded: DataFrame, classes: DataFrame, nodes: DataFrame, scratch: Scratch, docs: DataFrame | None = None) -> DataFrame | None:
+    """Members of crowded buckets that hold several classes, each marked stray if it is outside its bucket's main class.
 
-    Members outside a bucket's main class meet all its members in blocks of bounded size. A pair that shares several crowded
-    buckets comes from the least of them.
+    With the documents, their likeness is that of LONG signatures.
     """
     placed = crowded.join(classes, crowded["nid"] == classes["node"], "left").select("key", "nid", "n", F.coalesce("component", "nid").alias("component"))
     placed = scratch.keep(placed, "placed")
@@ -260,33 +284,48 @@ def _across(crowded: DataFrame, classes: DataFrame, nodes: DataFrame, percent: i
         return None
     members = scratch.keep(placed.drop("n").join(main, "key"), "open")
     buckets = members.groupBy("nid").agg(F.collect_set("key").alias("keys"))  # one a band at most
-    seen = scratch.keep(buckets.join(nodes.select("nid", "likeness"), "nid"), "seen")
+    sizes = nodes.select("nid", "n_shingles", *["likeness"] * (docs is None))
+    seen = buckets.join(sizes, "nid")
+    if docs is not None:
+        seen = seen.join(_of_texts(docs, buckets.select("nid"), nodes, _long_likeness, scratch).withColumnRenamed("made", "likeness"), "nid")
+    seen = scratch.keep(seen, "seen")
     of_rows, of_strays = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("outside") / BLOCK)
-    wide = members.join(seen, "nid").select("key", "nid", "component", "keys", "likeness", (F.col("component") != F.col("main")).alias("stray"), of_rows.alias("of_rows"), of_strays.alias("of_strays"))
-    wide = scratch.keep(wide, "wide")
+    stray = (F.col("component") != F.col("main")).alias("stray")
+    return scratch.keep(members.join(seen, "nid").select("key", "nid", "component", "keys", "likeness", "n_shingles", stray, of_rows.alias("of_rows"), of_strays.alias("of_strays")), "wide")
+
+
+def _across(wide: DataFrame, percent: int, scratch: Scratch, best: int | None = None) -> DataFrame:
+    """Pairs of one crowded bucket that lie in different classes and whose sizes and signatures allow the threshold.
+
+    Strays meet all members of their bucket in blocks of bounded size. With ``best``, only so many of the likest members of
+    each block come, which join most strays to their class; without it all come, a pair of several buckets from the least.
+    """
     span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     strays = wide.where("stray").select("*", F.pmod(F.xxhash64("nid"), "of_strays").alias("i"), span("of_rows").alias("j"))
     others = wide.select("*", span("of_strays").alias("i"), F.pmod(F.xxhash64("nid"), "of_rows").alias("j"))
-    kept, by, fewest = ["key", "i", "j", "nid", "component", "stray", "keys", "likeness"], ["key", "i", "j"], least_like(percent)
+    kept, by, rounds = ["key", "i", "j", "nid", "component", "stray", "keys", "likeness", "n_shingles"], ["key", "i", "j"], 1 if best else LONG
 
     def meet(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(own) and len(other):
             table = np.frombuffer(b"".join(other["likeness"]), dtype=np.uint8).reshape(len(other), -1)
-            nids, classes, stray = other["nid"].to_numpy(), other["component"].to_numpy(), other["stray"].to_numpy()
+            nids, classes, stray, sizes = (other[c].to_numpy() for c in ("nid", "component", "stray", "n_shingles"))
             shared = [frozenset(x) for x in other["keys"]]
             for r in own.itertuples(index=False):
                 equal = (table == np.frombuffer(r.likeness, dtype=np.uint8)).sum(axis=1)
-                mine = frozenset(r.keys)
-                for k in np.flatnonzero((equal >= fewest) & (classes != r.component) & (~stray | (nids > r.nid))):
-                    if min(mine & shared[k]) == key[0]:
-                        a.append(min(r.nid, nids[k]))
-                        b.append(max(r.nid, nids[k]))
+                small, large = np.minimum(sizes, r.n_shingles), np.maximum(sizes, r.n_shingles)
+                found = np.flatnonzero((classes != r.component) & (100 * small >= percent * large) & (equal >= least_like(100 * small // percent + 1, percent, rounds)))
+                if best:
+                    found = found[np.argsort(-equal[found], kind="stable")[:best]]
+                else:
+                    mine = frozenset(r.keys)
+                    found = [k for k in found if (not stray[k] or nids[k] > r.nid) and min(mine & shared[k]) == key[0]]
+                a += [min(r.nid, nids[k]) for k in found]
+                b += [max(r.nid, nids[k]) for k in found]
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     met = strays.select(kept).groupBy(*by).cogroup(others.select(kept).groupBy(*by)).applyInPandas(meet, "a long, b long")
-    pairs = scratch.keep(met.distinct(), "across")
-    return pairs if pairs.limit(1).count() else None
+    return scratch.keep(met.distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,17 +341,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     with Scratch(docs.sparkSession, "near") as scratch:
         rows = scratch.keep(_rows(own), "rows")
         sets = rows.where("n_shingles > 0").groupBy("set")
-        nodes = sets.agg(F.min("doc_id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"), F.first("likeness", ignorenulls=True).alias("likeness"))
+        nodes = sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys", ignorenulls=True).alias("keys"), F.first("likeness", ignorenulls=True).alias("likeness"))
         nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")  # written once, so numbers stay
         pairs, crowded = _candidates(nodes, scratch)
         links = spanning_forest(verified(own, pairs, nodes, percent, scratch))
         classes = connected_components(links, scratch)
-        across = _across(crowded, classes, nodes, percent, scratch) if crowded.limit(1).count() else None
-        if across is not None:
-            more = verified(own, across, nodes, percent, scratch)
-            if more.limit(1).count():
-                trees = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-                classes = connected_components(trees.union(spanning_forest(more)), scratch)
+        for best in (2, None):  # first the likest alone, which leaves few strays; then all that is left, by longer signatures
+            wide = _open_members(crowded, classes, nodes, scratch, None if best else own)
+            if wide is None:
+                break
+            more = verified(own, _across(wide, percent, scratch, best), nodes, percent, scratch)
+            trees = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = connected_components(trees.union(spanning_forest(more)), scratch)
         named = nodes.select("nid", "set", "rep").join(classes.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
         named = scratch.keep(named.select("set", "rep", "component"), "named")
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
