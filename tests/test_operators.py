@@ -12,6 +12,7 @@ from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
 from threadloom.operators import results as T
 from threadloom.operators import text as X
+from threadloom.operators import vocabulary
 
 
 def rows(df, *cols):
@@ -89,9 +90,9 @@ def test_signal_ids_run_by_frequency_then_key(spark):
 
 def test_small_corpus_has_no_common_words(spark):
     df = spark.createDataFrame([("ab",)] * 10, "t string")
-    assert rows(X.rarity_weights(df, F.col("t"), ["a"]), "token", "hits", "weight") == [("a", 10, 1.0)]
+    assert rows(vocabulary.rarity_weights(df, F.col("t"), ["a"]), "token", "hits", "weight") == [("a", 10, 1.0)]
     big = spark.createDataFrame([("ab" if i % 2 else "cd" if i % 10 == 0 else "",) for i in range(300)], "t string")
-    assert rows(X.rarity_weights(big, F.col("t"), ["a", "c", "z"]), "token", "weight") == [("a", 0.0), ("c", 0.4), ("z", 1.0)]
+    assert rows(vocabulary.rarity_weights(big, F.col("t"), ["a", "c", "z"]), "token", "weight") == [("a", 0.0), ("c", 0.4), ("z", 1.0)]
 
 
 def test_similar_texts_finds_what_all_pairs_find(spark):
@@ -150,3 +151,32 @@ def test_projection_retires_what_an_old_policy_said(spark):
     cards = spark.createDataFrame([("r1", "usable", "praise", [("problem", "t", "q", "self", "high", "", "")])], f"record_id string, record_status string, primary_expression string, evidence_items {items}")
     got = {r["record_id"]: tuple(r)[1:] for r in T.with_projection(results, cards, ["primary_intent", "projection_policy_version"]).collect()}
     assert got == {"r1": ("high", "old", 2, "gratitude_recognition"), "r2": ("high", "old", 2, "x"), "r3": ("unclear", "unclear", 1, "x")}
+
+
+def test_vocabulary_of_several_parts_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcé ", k=rng.randint(0, 60))) for _ in range(300)] + [None, "", "A b\tC" * 2000]
+    tokens = ["".join(rng.choices("abcéA ", k=rng.randint(1, 5))) for _ in range(400)] + ["zzz", " ", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = lambda t: "".join((t or "").split()).lower()
+    want = {t: sum(bare(t) in bare(x) for x in texts) for t in tokens if bare(t)}
+    for chars in (50, 10**6):
+        got = vocabulary.document_frequency(df, F.col("t"), tokens, part_chars=chars).collect()
+        assert {r["token"]: r["hits"] for r in got} == want and {r["total"] for r in got} == {len(texts)}
+    found = vocabulary.matches(df.withColumn("n", F.length("t")), F.col("t"), ["ab", "B C"], keep={"n": F.col("n")}, part_chars=1)
+    assert sorted((r["n"], r["needle"]) for r in found.collect() if r["n"]) == sorted((str(len(x)), n) for x in texts if x for n in ("ab", "bc") if n in bare(x))
+    assert vocabulary.document_frequency(df.limit(0), F.col("t"), ["a"]).collect() == [("a", 0, 0)] and vocabulary.document_frequency(df, F.col("t"), []).collect() == []
+
+
+def test_scenarios_name_tokens_and_quotes(spark):
+    said = ["how to fix WiFi", "wi fi broken", "tea"] + ["nothing here"] * 60
+    rows_ = [(i, f"u{i % 4}" if i else None, "v", t) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows_, "i int, u string, v string, t string")
+    asked = {"net": ["wifi", "router"], "tea": ["tea"], "none": ["xyz"], "empty": []}
+    got = {r["scenario"]: r for r in vocabulary.scenario_check(df, text=F.col("t"), user=F.col("u"), video=F.col("v"), scenarios=asked, order=F.lpad(F.col("i").cast("string"), 9, "0"), min_hits=2, min_users=1).collect()}
+    net = got["net"]
+    assert (net["hits"], net["users"], net["videos"], net["verdict"]) == (2, 1, 1, "signal")
+    assert [tuple(x) for x in net["tokens"]] == [("wifi", 2)] and net["quotes"] == ["how to fix WiFi", "wi fi broken"]
+    assert (got["tea"]["verdict"], got["none"]["verdict"], got["none"]["hits"], got["empty"]["hits"]) == ("weak", "none", 0, 0)

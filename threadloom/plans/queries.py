@@ -14,6 +14,7 @@ from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
 from threadloom.operators import ranking as R
 from threadloom.operators import text as X
+from threadloom.operators import vocabulary as V
 from threadloom.plans import evidence_queries, listing_queries, outreach_queries, reader_queries
 from threadloom.plans.registry import QUERIES, SQL, query
 
@@ -263,7 +264,7 @@ def spam_filters(spark, table):
 n AS (SELECT token, (SELECT count(*) FROM p WHERE contains(t, token)) AS hits, (SELECT count(*) FROM p) AS total FROM w)
 SELECT token, hits, CASE WHEN total < 200 THEN 1.0 WHEN hits / total > 0.2 THEN 0.0 WHEN hits / total > 0.05 THEN 0.4 ELSE 1.0 END::DOUBLE AS weight FROM n""")
 def df_weights(spark, table):
-    return X.rarity_weights(table("documents"), F.col("text"), ["license", "contact", "apache", "example.com", "the", "zzzz"])
+    return V.rarity_weights(table("documents"), F.col("text"), ["license", "contact", "apache", "example.com", "the", "zzzz"])
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('licenses', 'license'), ('licenses', 'apache'), ('mail', 'example.com'), ('nothing', 'zzzz')) v(scenario, token)), p AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t, lang, source FROM documents), n AS (SELECT token, (SELECT count(*) FROM p WHERE contains(p.t, token)) AS hits, (SELECT count(*) FROM p) AS total FROM (SELECT DISTINCT token FROM t)),
@@ -271,7 +272,19 @@ ok AS (SELECT t.scenario, t.token FROM t JOIN n USING (token) WHERE total < 200
 SELECT s.scenario, coalesce(hits, 0) AS hits, coalesce(users, 0) AS users, coalesce(videos, 0) AS videos, CASE WHEN coalesce(hits, 0) >= 8 AND users >= 5 THEN 'signal' WHEN coalesce(hits, 0) > 0 THEN 'weak' ELSE 'none' END AS verdict FROM (SELECT DISTINCT scenario FROM t) s LEFT JOIN h USING (scenario)""".replace("\\\\", "\\"))
 def scenario_verify(spark, table):
     asked = {"licenses": ["license", "apache"], "mail": ["example.com"], "nothing": ["zzzz"]}
-    return X.scenario_check(table("documents"), text=F.col("text"), user=F.col("source"), video=F.col("lang"), scenarios=asked)
+    return V.scenario_check(table("documents"), text=F.col("text"), user=F.col("source"), video=F.col("lang"), scenarios=asked).drop("tokens", "quotes")
+
+
+#: The words of benchmark items and user turns, as tokens.
+TOKENS_SQL = """SELECT DISTINCT token FROM (SELECT unnest(regexp_split_to_array(text, '[\\s、/|,，。?？!！:：;；（）()\\[\\]"'']+')) AS token FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE role = 'user')) WHERE length(token) >= 2"""
+
+
+@query(f"""WITH t AS ({TOKENS_SQL}), n AS (SELECT token, lower(token) AS needle FROM t), p AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM documents), h AS (SELECT needle, count(*) AS hits FROM (SELECT DISTINCT needle FROM n) JOIN p ON contains(t, needle) GROUP BY 1)
+SELECT token, coalesce(hits, 0) AS hits, (SELECT count(*) FROM documents) AS total FROM n LEFT JOIN h USING (needle)""")
+def vocabulary_frequency(spark, table):
+    """Document frequencies over whole texts of all words of the benchmark items and user turns, by one walk along each text."""
+    own = table("benchmark").select("text").union(table("conversations").where("role = 'user'").select("text"))
+    return V.document_frequency(table("documents"), F.col("text"), V.tokens_of(own, F.col("text")))
 
 
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE length(word) > 0 GROUP BY 1""".replace("\\\\", "\\"))
