@@ -7,6 +7,7 @@ from threadloom.functions import evidence as V
 from threadloom.operators import aggregates as A
 from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
+from threadloom.operators import matching
 from threadloom.operators import ordered as O
 from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
@@ -131,9 +132,53 @@ def test_numbers_without_whole_groups(spark):
     assert A.medians(df.limit(0), ["g"], "v").count() == 0
 
 
+def longest(text, pool, limit, least):
+    return matching.Pool(pool).longest(text, limit, least)
+
+
+def longest_by_all_parts(text, pool, limit=48, least=4):
+    text, bare = (text or "").strip(), (pool or "").replace(" ", "")
+    there = lambda f: f.strip().replace(" ", "") in bare
+    if not text or there(text):
+        return text[:limit]
+    for size in range(min(len(text), limit), least - 1, -1):
+        for start in range(len(text) - size + 1):
+            if there(text[start : start + size]):
+                return text[start : start + size]
+    return ""
+
+
+def test_longest_parts_by_automaton_equal_all_parts(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(2500):
+        letters = rng.choice(["ab ", "abc \n", "abcdefgh  \t"])
+        text, pool = ("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(2))
+        if rng.random() < 0.5 and text:
+            i = rng.randrange(len(text))
+            pool = pool[:5] + text[i : i + 12] + pool[5:]
+        for limit in (48, 7):
+            assert longest(text, pool, limit, 4) == longest_by_all_parts(text, pool, limit)
+    long = "ab" * 40_000 + "c"
+    assert longest("x" + long + "y", long + "z", 10**6, 4) == long and longest("q" * 50_000, long, 48, 4) == ""
+    df = spark.createDataFrame([("mended part ofthe text", "a real part of the text"), (None, None)], "q string, p string")
+    assert [r[0] for r in df.select(K.longest_quote(F.col("q"), F.col("p"))).collect()] == [" part ofthe text", ""]
+
+
+def test_signals_problems_and_quotes_are_grounded(spark):
+    item = "array<struct<type:string,text:string,evidence_quote:string,extra:int>>"
+    signals = [("a", "x", "real words", 1), ("b", "these are real things", "made up", 2), ("c", "zz", "nor are real", 3), ("d", "zz", "no", 4), ("e", None, None, 5), ("f", "these are real words " * 3, "", 6)]
+    df = spark.createDataFrame([(signals, ["real words", "zz", None, " are real "]), (None, None)], f"s {item}, q array<string>")
+    pool = F.lit("these are real words")
+    got, none = K.grounded_signals(df, "s", pool).collect()
+    assert [(x["type"], x["evidence_quote"], x["extra"]) for x in got["s"]] == [("a", "real words", 1), ("b", "these are real ", 2), ("c", " are real", 3), ("f", " these are real words ", 6)] and none["s"] == []
+    assert [r["x"] for r in df.select(K.grounded_quotes(F.col("q"), pool).alias("x")).collect()] == [["real words", "are real"], []]
+
+
 def test_quotes_and_json(spark):
-    assert K._longest("abcdef", "xxbcdezz", 48, 4) == "bcde" and K._longest("abc", "zabc", 48, 4) == "abc" and K._longest("abcd", "zz", 48, 4) == "" and K._longest("a b c d e", "zabcdz", 48, 4) == "a b c d "
-    assert K._longest("x" * 60, "x" * 70, 48, 4) == "x" * 48 and K._longest(None, None, 48, 4) == ""
+    assert longest("abcdef", "xxbcdezz", 48, 4) == "bcde" and longest("abc", "zabc", 48, 4) == "abc" and longest("abcd", "zz", 48, 4) == "" and longest("a b c d e", "zabcdz", 48, 4) == "a b c d "
+    assert longest("x" * 60, "x" * 70, 48, 4) == "x" * 48 and longest(None, None, 48, 4) == ""
     answers = ['{"a": 1}', 'x ```json\n{"a": [1, 2]}\n``` y', 'see {"a": "}"} and {', '{"a": [1, {"b": "c', '{"a": 1, "b": ', "none", None, "[1]"]
     want = [{"a": 1}, {"a": [1, 2]}, {"a": "}"}, {"a": [1, {"b": "c"}]}, {"a": 1}, None, None, None]
     assert [json.loads(x) if (x := K._object(a)) else None for a in answers] == want

@@ -12,42 +12,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.types import StringType
 
-from threadloom.functions.columns import quote_exists, strip
+from threadloom.functions.columns import first_filled, quote_exists, strip
+from threadloom.operators.matching import Pool
 
 _FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)```", re.DOTALL)
 
 
-def _found(fragment: str, pool: str, bare_pool: str) -> bool:
-    f = fragment.strip()
-    return f in pool or f.replace(" ", "") in bare_pool
-
-
-def _longest(text: str | None, pool: str | None, limit: int, least: int) -> str:
-    """The first of the longest substrings of the text that stand in the pool.
+def longest_quote(text: Column, pool: Column, limit: int = 48, least: int = 4) -> Column:
+    """The text if it stands in the pool (cut at the limit), else its longest part of at least 4 characters that does, else empty.
 
-    If a fragment stands there so do its beginnings, hence one walk that only ever asks for one character more.
+    Null texts and pools are empty. Time and memory grow with the length of both, whatever they hold.
     """
-    text, pool = (text or "").strip(), pool or ""
-    bare = pool.replace(" ", "")
-    if _found(text, pool, bare):
-        return text[:limit]
-    start = size = 0
-    for i in range(len(text)):
-        while size < limit and i + size < len(text) and _found(text[i : i + size + 1], pool, bare):
-            start, size = i, size + 1
-    return text[start : start + size] if size >= least else ""
-
-
-def longest_quote(text: Column, pool: Column, limit: int = 48, least: int = 4) -> Column:
-    """The text if it stands in the pool (cut at the limit), else its longest part of at least 4 characters that does, else empty."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, pools: pd.Series) -> pd.Series:
-        return pd.Series([_longest(t, p, limit, least) for t, p in zip(texts, pools, strict=True)], dtype=object)
+        return pd.Series([Pool(p).longest(t, limit, least) for t, p in zip(texts, pools, strict=True)], dtype=object)
 
     return run(text, pool)
 
 
+def repaired_quotes(quotes: Column, pool: Column, limit: int = 48) -> Column:
+    """An array as long as ``quotes``: each stripped if it stands in the pool, else its longest part that does; empty without one."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series, pools: pd.Series) -> pd.Series:
+        out = []
+        for own, p in zip(lists, pools, strict=True):
+            held = Pool(p)
+            bare = [(q or "").strip() for q in own] if own is not None else None
+            out.append(None if bare is None else [q if q and held.holds(q) else held.longest(q, limit) for q in bare])
+        return pd.Series(out, dtype=object)
+
+    return run(quotes, pool)
+
+
 def repaired_quote(quote: Column, pool: Column, limit: int = 48) -> Column:
     """A quote that stands in the pool as it is; else its longest part that does; empty without one."""
     return F.when((strip(quote) != "") & quote_exists(strip(quote), pool), strip(quote)).otherwise(longest_quote(quote, pool, limit))
@@ -61,6 +59,26 @@ def grounded_relations(df: DataFrame, pool: Column) -> DataFrame:
     return fixed.withColumns({"relation": F.when(lost, "insufficient").otherwise(F.col("relation")), "evidence_quote": F.col("__quote")}).drop("__quote")
 
 
+def grounded_quotes(quotes: Column, pool: Column, limit: int = 48) -> Column:
+    """Quotes that stand in the pool, others mended; what can't be mended is left out. Problems are mended up to 64 characters."""
+    return F.filter(repaired_quotes(F.coalesce(quotes, F.array().cast("array<string>")), pool, limit), lambda q: q != "")
+
+
+def grounded_signals(df: DataFrame, signals: str, pool: Column) -> DataFrame:
+    """Signals (type, text, evidence_quote, ...) whose quote stands in the pool stay as they are; others get the longest part of
+    their text, else of their quote, that does; those without one are dropped. A null array becomes an empty one."""
+    field = lambda n: F.transform(F.coalesce(F.col(signals), F.array()), lambda s: F.coalesce(s[n], F.lit("")))
+    mended = df.withColumn("__text", repaired_quotes(field("text"), pool)).withColumn("__quote", repaired_quotes(field("evidence_quote"), pool)).withColumn("__cut", F.transform("__text", lambda t: F.substring(t, 1, 48)))
+
+    def own(s: Column, i: Column) -> Column:
+        quote, stripped = F.element_at("__quote", i + 1), strip(F.coalesce(s["evidence_quote"], F.lit("")))
+        whole = (stripped != "") & (quote == stripped)
+        return s.withField("evidence_quote", F.when(whole, s["evidence_quote"]).otherwise(first_filled(F.element_at("__cut", i + 1), quote)))
+
+    kept = F.filter(F.transform(signals, own), lambda s: s["evidence_quote"] != "")
+    return mended.withColumn(signals, F.coalesce(kept, F.array().cast(df.schema[signals].dataType))).drop("__text", "__quote", "__cut")
+
+
 def _closed(text: str) -> str:
     """A cut-off object with its open string, lists and objects closed; a last entry that has no value yet is dropped."""
     stack, inside, escaped, safe = [], False, False, ""

@@ -6,6 +6,7 @@ import os
 from datetime import date
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import columns as C
@@ -266,12 +267,19 @@ def json_repair(spark, table):
     return parsed.groupBy("turn", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, substr(trim(text), 1, 30) AS quote FROM documents WHERE length(trim(text)) >= 60 AND NOT contains(substr(trim(text), 1, 31), '§')""")
+#: Each document with one benchmark item, in turn; parts of the item by place and length, longest first.
+QUOTES_SQL = """b AS (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark), d AS (SELECT doc_id, replace(coalesce(text, ''), ' ', '') AS bare, doc_id % (SELECT count(*) FROM benchmark) AS k FROM documents),
+f AS (SELECT k, q, i, n, replace(regexp_replace(q[i:i+n-1], '^\\s+|\\s+$', '', 'g'), ' ', '') AS part FROM (SELECT k, q, i, unnest(range(4, 49)) AS n FROM (SELECT k, q, unnest(range(1, length(q) - 2)) AS i FROM b)) WHERE i + n - 1 <= length(q)),
+found AS (SELECT doc_id, arg_max(q[i:i+n-1], n * 100000 - i) AS quote FROM d JOIN f USING (k) WHERE contains(bare, part) GROUP BY 1)"""
+
+
+@query(f"""WITH {QUOTES_SQL} SELECT doc_id, CASE WHEN contains(bare, replace(q, ' ', '')) THEN q[1:48] ELSE coalesce(quote, '') END AS quote FROM d JOIN b USING (k) LEFT JOIN found USING (doc_id)""")
 def longest_quote(spark, table):
-    """The longest part of an altered quote that its text still holds: here its first 30 characters."""
-    docs = table("documents").withColumn("text", F.trim("text")).where((F.length("text") >= 60) & ~F.contains(F.substring("text", 1, 31), F.lit("§")))
-    altered = F.concat(F.substring("text", 1, 30), F.lit("§§"))
-    return docs.select("doc_id", F.substring("text", 1, 30).alias("want"), X.longest_quote(altered, F.substring("text", 1, 30), 48).alias("quote")).select("doc_id", F.when(F.trim("want") == F.trim("quote"), F.col("want")).otherwise(F.col("quote")).alias("quote"))
+    """The longest part of a benchmark item that a whole document holds, each document with one item in turn."""
+    items = table("benchmark").withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1).select("k", F.col("text").alias("item"))  # the few items of a benchmark
+    n = items.count()
+    docs = table("documents").select("doc_id", "text", (F.col("doc_id") % n).alias("k"))
+    return docs.join(items, "k").select("doc_id", X.longest_quote(F.col("item"), F.col("text")).alias("quote"))
 
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
