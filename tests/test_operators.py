@@ -166,6 +166,12 @@ def test_longest_parts_by_automaton_equal_all_parts(spark):
     assert [r[0] for r in df.select(K.longest_quote(F.col("q"), F.col("p"))).collect()] == [" part ofthe text", ""]
 
 
+def test_quotes_of_any_length_are_found_verbatim(spark):
+    quotes = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "a"), (3, "of the\nold"), (4, ""), (5, None), (6, "a")], "q int, quote string")
+    texts = spark.createDataFrame([("x", "x alpha beta gamma delta y"), ("y", "xof the\nolder"), ("z", None), ("w", "A")], "t string, text string")
+    assert sorted((r["q"], r["t"]) for r in K.verbatim_quotes(quotes, texts).collect()) == [(1, "x"), (2, "x"), (3, "y"), (6, "x")]
+
+
 def test_signals_problems_and_quotes_are_grounded(spark):
     item = "array<struct<type:string,text:string,evidence_quote:string,extra:int>>"
     signals = [("a", "x", "real words", 1), ("b", "these are real things", "made up", 2), ("c", "zz", "nor are real", 3), ("d", "zz", "no", 4), ("e", None, None, 5), ("f", "these are real words " * 3, "", 6)]
@@ -211,7 +217,7 @@ def test_vocabulary_of_several_parts_equals_brute_force(spark):
         got = vocabulary.document_frequency(df, F.col("t"), tokens, part_chars=chars).collect()
         assert {r["token"]: r["hits"] for r in got} == want and {r["total"] for r in got} == {len(texts)}
     found = vocabulary.matches(df.withColumn("n", F.length("t")), F.col("t"), ["ab", "B C"], keep={"n": F.col("n")}, part_chars=1)
-    assert sorted((r["n"], r["needle"]) for r in found.collect() if r["n"]) == sorted((str(len(x)), n) for x in texts if x for n in ("ab", "bc") if n in bare(x))
+    assert sorted((r["n"], r["needle"]) for r in found.collect() if r["n"]) == sorted((len(x), n) for x in texts if x for n in ("ab", "bc") if n in bare(x))
     assert vocabulary.document_frequency(df.limit(0), F.col("t"), ["a"]).collect() == [("a", 0, 0)] and vocabulary.document_frequency(df, F.col("t"), []).collect() == []
 
 

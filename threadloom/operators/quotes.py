@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from threadloom.functions.columns import first_filled, quote_exists, strip
 from threadloom.operators.matching import Pool
+from threadloom.operators.vocabulary import holding
 
 _FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)```", re.DOTALL)
 
@@ -167,18 +168,15 @@ def guarded(answers: DataFrame, texts: DataFrame, key: str, *, worth: int = 6) -
     return joined.where((F.col("worth") >= worth) & (strip(F.col("quote")) != "") & quote_exists(strip(F.col("quote")), F.col("__text"))).drop("__text")
 
 
-def verbatim_quotes(quotes: DataFrame, texts: DataFrame, *, quote: str = "quote", text: str = "text", seed_words: int = 5) -> DataFrame:
+def verbatim_quotes(quotes: DataFrame, texts: DataFrame, *, quote: str = "quote", text: str = "text") -> DataFrame:
     """Pairs of a quote and a text that holds it verbatim: all columns of both (names must differ).
 
-    A quote's second to sixth words stand whole in any text that quotes it, so that run of words is the join's key; only
-    rows that share it are compared. Quotes of fewer than seven words are left to the caller.
+    One walk along each text finds all quotes in it, of any length; texts aren't shuffled, only the rows that hold quotes
+    are joined. Empty and null quotes and null texts give no pair; equal quotes each give their own.
     """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    seeds = quotes.withColumn("__seed", F.array_join(F.slice(words(F.col(quote)), 2, seed_words), " ")).where(F.size(words(F.col(quote))) >= seed_words + 2)
-    own = texts.withColumn("__words", words(F.col(text)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - seed_words + 1, F.lit(1))), lambda i: F.array_join(F.slice("__words", i, F.lit(seed_words)), " "))
-    named = own.select("*", F.explode(F.array_distinct(runs)).alias("__run")).drop("__words")
-    return named.join(seeds, F.col("__run") == F.col("__seed")).where(F.contains(F.col(text), F.col(quote))).drop("__run", "__seed")
+    needles = quotes.select(F.col(quote).alias("needle")).where("needle IS NOT NULL").distinct()
+    found = holding(texts, text, needles)
+    return found.join(quotes, found["needle"] == quotes[quote]).drop("needle")
 
 
 def labels_of(c: Column, names: Sequence[str]) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from threadloom.functions.columns import keyword_tokens, squeeze
@@ -102,26 +103,36 @@ def rarity_weights(df: DataFrame, text: Column, tokens: DataFrame | Sequence[str
     return document_frequency(df, text, tokens).select("token", "hits", rarity(F.col("hits"), F.col("total"), least_rows).alias("weight"))
 
 
-def matches(df: DataFrame, text: Column, tokens: DataFrame | Sequence[str], *, keep: dict[str, Column], part_chars: int = PART_CHARS) -> DataFrame:
-    """The columns to keep (as strings) with each needle that the row's text holds, one row each, as ``needle``."""
-    own, names = df.select(squeeze(text).alias("t"), *[c.cast("string").alias(n) for n, c in keep.items()]), list(keep)
+def holding(df: DataFrame, text: str, needles: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The rows of df with each needle that the column ``text`` holds, exactly as it is written, one row each, as ``needle``.
+
+    Null texts hold nothing, and empty needles are nowhere. Only rows that hold a needle come, as often as they hold different ones.
+    """
+    at_text = df.columns.index(text)
+    shape = T.StructType([*df.schema.fields, T.StructField("needle", T.StringType())])
 
     def held(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(part)
             for batch in batches:
-                at, needles = [], []
-                for k, t in enumerate(batch.column(0).to_pylist()):
-                    found = {needle for _, needle in automaton.iter(t)}
-                    at += [k] * len(found)
-                    needles += found
+                at, found = [], []
+                for k, t in enumerate(batch.column(at_text).to_pylist()):
+                    own = {needle for _, needle in automaton.iter(t)} if t else ()
+                    at += [k] * len(own)
+                    found += own
                 rows = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[batch.column(1 + i).take(rows) for i in range(len(names))], pa.array(needles, pa.string())], [*names, "needle"])
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(found, pa.string())], [*batch.schema.names, "needle"])
 
-        return own.mapInArrow(run, ", ".join(f"`{n}` string" for n in keep) + ", needle string")
+        return df.mapInArrow(run, shape)
 
-    empty = df.sparkSession.createDataFrame([], ", ".join(f"`{n}` string" for n in keep) + ", needle string")
-    return reduce(DataFrame.union, [held(p) for p in _parts(_vocabulary(df.sparkSession, tokens), part_chars)], empty)
+    empty = df.sparkSession.createDataFrame([], shape)
+    return reduce(DataFrame.union, [held(p) for p in _parts(needles.where("needle <> ''"), part_chars)], empty)
+
+
+def matches(df: DataFrame, text: Column, tokens: DataFrame | Sequence[str], *, keep: dict[str, Column], part_chars: int = PART_CHARS) -> DataFrame:
+    """The columns to keep with each needle that the row's text holds, white space and case aside, one row each, as ``needle``."""
+    own = df.select(squeeze(text).alias("__t"), *[c.alias(n) for n, c in keep.items()])
+    return holding(own, "__t", _vocabulary(df.sparkSession, tokens), part_chars).drop("__t")
 
 
 def scenario_check(
@@ -140,7 +151,7 @@ def scenario_check(
     weights = rarity_weights(df, text, scenarios.select("token"), least_rows).groupBy(squeeze(F.col("token")).alias("needle")).agg(F.max("weight").alias("weight"))
     telling = asked.join(weights.where("weight >= 0.9"), "needle").select("scenario", "needle").distinct()
     row = F.monotonically_increasing_id()
-    keep = {"row": row, "user": user, "video": video, "quote": F.substring(text, 1, 80), "at": (order if order is not None else F.substring(text, 1, 80)).cast("string")}
+    keep = {"row": row, "user": user.cast("string"), "video": video.cast("string"), "quote": F.substring(text, 1, 80), "at": (order if order is not None else F.substring(text, 1, 80)).cast("string")}
     found = matches(df, text, telling.select(F.col("needle").alias("token")), keep=keep).join(F.broadcast(telling), "needle")
     rows = found.groupBy("scenario", "row").agg(*[F.first(c).alias(c) for c in ("user", "video", "quote", "at")], F.collect_set("needle").alias("needles"))
     rows = materialise(rows, "scenario")  # of a row at most its scenario's tokens
