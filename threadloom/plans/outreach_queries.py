@@ -320,16 +320,3 @@ def stream_available_now(spark, table):
         stream = incremental.file_stream(spark, pattern, events.schema, "parquet")
         incremental.run_available(stream, f"{scratch.root}/out", f"{scratch.root}/checkpoint")
         return scratch.result(spark.read.schema(events.schema).parquet(f"{scratch.root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-
-
-@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
-def stream_merge(spark, table):
-    """Two batches merged by key: the last row of each user."""
-    events = table("events").select("user_id", "event_id")
-    with Scratch(spark, "merge") as scratch:
-        root = f"{scratch.root}/table"
-        events.where("event_id % 2 = 0").write.parquet(f"{root}/batch=0")
-        events.where("event_id % 2 = 1").write.parquet(f"{root}/batch=1")
-        return scratch.result(incremental.merged(spark, root, "user_id", "event_id"))
-
-
