@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.plans.registry import query
 from threadloom.scratch import Scratch
-from threadloom.sources import readers
+from threadloom.sources import keyed_store, readers, workbook
 
 #: How Spark's writer must be told to keep all white space and to double quotes.
 AS_IS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -68,13 +68,13 @@ def json_line_rows(spark, table):
     """Conversations as JSON Lines and as JSON arrays, one of them with broken lines among the rows."""
     with Scratch(spark, "json") as scratch:
         rows = table("conversations").withColumn("text", F.coalesce("text", F.lit("")))
-        line = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"), (F.col("conv_id") % 2).alias("half"))
+        line = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"), (F.col("conv_id") % 2).alias("half"), F.floor(F.col("conv_id") / 50).alias("file"))
         whole = line.where("half = 0").select("value").union(line.where("half = 0").select(F.concat(F.lit("{broken "), F.col("value"))).limit(7))
         whole.write.text(f"{scratch.root}/lines")
-        arrays = line.where("half = 1").groupBy(F.xxhash64("value") % 64).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value")).select("value")
-        arrays.repartition(64).write.option("lineSep", " ").text(f"{scratch.root}/arrays")
+        arrays = line.where("half = 1").groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))  # of fifty conversations
+        arrays.write.partitionBy("file").text(f"{scratch.root}/arrays")
         shape = "conv_id long, turn long, role string, text string"
-        read = readers.read_json_lines(spark, f"{scratch.root}/lines", shape).union(readers.read_json_array(spark, f"{scratch.root}/arrays", shape))
+        read = readers.read_json_lines(spark, f"{scratch.root}/lines", shape).union(readers.read_json_array(spark, f"{scratch.root}/arrays", shape).drop("file"))
         return scratch.result(read.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", F.md5(F.encode("text", "UTF-8")).alias("digest")))
 
 
@@ -137,3 +137,24 @@ def search_card_rows(spark, table):
     rows = table("lineitem").withColumn("l_orderkey", F.col("l_orderkey").cast("long")).withColumn("l_linenumber", F.col("l_linenumber").cast("int")).where("l_linenumber <> 2")
     cards = rows.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, top).otherwise(inner)).alias("cards"))
     return readers.search_cards(cards, "cards").select("mblog.*")
+
+
+@query("""SELECT 'Contents' AS sheet, page_id AS id, md5(coalesce(url, '')) AS digest FROM pages UNION ALL SELECT 'Comments', conv_id * 1000 + turn, md5(coalesce(role, '') || coalesce(text, '')) FROM conversations""")
+def workbook_sheets(spark, table):
+    """Pages and conversations as two sheets of workbooks, written book by book and read back."""
+    with Scratch(spark, "workbooks") as scratch:
+        pages = table("pages").select("page_id", "url")
+        said = table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+        workbook.write_workbooks({"Contents": (pages, ["page_id"]), "Comments": (said, ["id"])}, f"{scratch.root}/books", most_rows=20_000)
+        read = lambda sheet, key, digest: workbook.read_workbook(spark, f"{scratch.root}/books", sheet).select(F.lit(sheet).alias("sheet"), F.col(key).cast("long").alias("id"), F.md5(F.encode(digest, "UTF-8")).alias("digest"))
+        return scratch.result(read("Contents", "page_id", F.col("url")).union(read("Comments", "id", F.concat("role", "text"))))
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'set' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS extra FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AND o_custkey >= 0""".replace("SELECT o_orderkey, o_custkey,", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey,"))
+def keyed_upserts(spark, table):
+    """Orders in a keyed store: half inserted, then a third set two fields, one of them new; all looked up by their keys."""
+    with Scratch(spark, "keyed") as scratch:
+        orders, path = table("orders"), f"{scratch.root}/store"
+        keyed_store.upsert(path, orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status")), "o_orderkey", 8)
+        keyed_store.upsert(path, orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("set").alias("status"), (F.col("o_orderkey") % 7).alias("extra")), "o_orderkey")
+        return scratch.result(keyed_store.find(spark, path, orders.select("o_orderkey")).select("o_orderkey", "o_custkey", "status", "extra"))
