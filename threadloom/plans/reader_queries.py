@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.plans.registry import query
 from threadloom.scratch import Scratch
-from threadloom.sources import keyed_store, readers, workbook
+from threadloom.sources import html_tree, keyed_store, readers, workbook
 
 #: How Spark's writer must be told to keep all white space and to double quotes.
 AS_IS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -158,3 +158,17 @@ def keyed_upserts(spark, table):
         keyed_store.upsert(path, orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status")), "o_orderkey", 8)
         keyed_store.upsert(path, orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("set").alias("status"), (F.col("o_orderkey") % 7).alias("extra")), "o_orderkey")
         return scratch.result(keyed_store.find(spark, path, orders.select("o_orderkey")).select("o_orderkey", "o_custkey", "status", "extra"))
+
+
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS title,
+coalesce(n, 0) AS links, coalesce(md5(hrefs), md5('')) AS href_digest FROM pages LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(href, ' ' ORDER BY href) AS hrefs FROM a GROUP BY 1) USING (page_id)""")
+def page_links(spark, table):
+    """Title, number and digest of the links of each page, by steps through its node table."""
+    pages = table("pages")
+    t = html_tree.tree(pages, "page_id", "html")
+    titles = t.where("tag = 'title'").groupBy("page").agg(F.min(F.struct("node", "last")).alias("f")).select("page", "f.*")
+    title = titles.join(html_tree.texts(titles, t).withColumnRenamed("top", "node"), ["page", "node"], "left").select("page", html_tree.tidy(F.col("text")).alias("title"))
+    hrefs = t.where("tag = 'a'").groupBy("page").agg(F.count(F.lit(1)).alias("links"), F.array_join(F.array_sort(F.collect_list(html_tree.attribute("href"))), " ").alias("hrefs"))
+    own = pages.select(F.col("page_id").alias("page")).join(title, "page", "left").join(hrefs, "page", "left")
+    digest = F.md5(F.encode(F.coalesce("hrefs", F.lit("")), "UTF-8"))
+    return own.select(F.col("page").alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("links", F.lit(0)).alias("links"), digest.alias("href_digest"))
