@@ -1,4 +1,5 @@
 import json
+import math
 import statistics
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from threadloom.operators import ordered as O
 from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
 from threadloom.operators import results as T
+from threadloom.operators import segment
 from threadloom.operators import text as X
 from threadloom.operators import vocabulary
 
@@ -231,3 +233,33 @@ def test_scenarios_name_tokens_and_quotes(spark):
     assert (net["hits"], net["users"], net["videos"], net["verdict"]) == (2, 1, 1, "signal")
     assert [tuple(x) for x in net["tokens"]] == [("wifi", 2)] and net["quotes"] == ["how to fix WiFi", "wi fi broken"]
     assert (got["tea"]["verdict"], got["none"]["verdict"], got["none"]["hits"], got["empty"]["hits"]) == ("weak", "none", 0, 0)
+
+
+def test_segmentation_equals_all_splits(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    counts = [("".join(rng.choices("abc", k=rng.randint(1, 4))), rng.randint(0, 50)) for _ in range(40)] + [("你好", 5), ("好", 9), ("", 3)]
+    costs = {r["word"]: r["cost"] for r in segment.learnt(spark.createDataFrame(counts, "word string, n int")).collect()}
+    unknown = segment.unknown_cost(max(costs.values()))
+    total = sum(n for w, n in counts if w and n > 0)
+    assert costs["你好"] == round(-1000 * math.log(5 / total)) and "" not in costs
+
+    def all_splits(t):
+        if not t:
+            return [[]]
+        return [[t[:k], *rest] for k in range(1, len(t) + 1) if k == 1 or t[:k] in costs for rest in all_splits(t[k:])]
+
+    price = lambda split: sum(costs.get(w, unknown) for w in split)
+    texts = ["".join(rng.choices("abcd你好", k=rng.randint(0, 9))) for _ in range(60)]
+    want = Counter()
+    for t in texts:
+        own = min(all_splits(t), key=lambda s: (price(s), [-len(w) for w in s]))
+        assert segment.cheapest(t, segment.trie(list(costs.items())), unknown) == own
+        want.update(own)
+    df = spark.createDataFrame([(f"{t}, {t.upper()}",) for t in texts] + [(None,)], "t string")
+    words = spark.createDataFrame(list(costs.items()), "word string, cost long")
+    for chars in (10**6, 1):
+        got = {r["word"]: r["n"] for r in segment.segmented_counts(df, F.col("t"), words, stop=["a"], broadcast_chars=chars).collect()}
+        assert got == {w: 2 * n for w, n in want.items() if w != "a"}

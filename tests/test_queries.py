@@ -49,4 +49,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_core_query_has_sql():
-    assert set(plans.queries()) == set(plans.oracle_sql()) and set(plans.queries()) <= set(entry.queries())
+    without = {"segmented_words"}  # a search for the cheapest split; tests/test_operators.py tries all splits
+    assert set(plans.queries()) == set(plans.oracle_sql()) | without and set(plans.queries()) <= set(entry.queries())

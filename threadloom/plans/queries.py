@@ -13,6 +13,7 @@ from threadloom.operators import aggregates as A
 from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
 from threadloom.operators import ranking as R
+from threadloom.operators import segment as S
 from threadloom.operators import text as X
 from threadloom.operators import vocabulary as V
 from threadloom.plans import evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, stream_queries
@@ -275,6 +276,20 @@ def scenario_verify(spark, table):
     return V.scenario_check(table("documents"), text=F.col("text"), user=F.col("source"), video=F.col("lang"), scenarios=asked).drop("tokens", "quotes")
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(m) AS word, generate_subscripts(m, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]{2,4}') AS m FROM documents)), c AS (SELECT word, count(*) AS n, min(doc_id * 10000000 + p) AS f FROM w GROUP BY 1)
+SELECT row_number() OVER (ORDER BY n DESC, f) AS rank, word, n FROM c ORDER BY n DESC, f LIMIT 8""")
+def frequent_runs(spark, table):
+    """The most frequent runs of two to four letters, as a profile without a model is begun with."""
+    return S.frequent_runs(table("documents"), F.col("text"), "doc_id", "[a-z]{2,4}")
+
+
+@query()
+def segmented_words(spark, table):
+    """Words of whole documents without their spaces, by a dictionary learnt from the conversations; tests try all splits."""
+    said = X.word_counts(table("conversations"), F.col("text"))
+    return S.segmented_counts(table("documents"), F.replace("text", F.lit(" "), F.lit("")), S.learnt(said))
+
+
 #: The words of benchmark items and user turns, as tokens.
 TOKENS_SQL = """SELECT DISTINCT token FROM (SELECT unnest(regexp_split_to_array(text, '[\\s、/|,，。?？!！:：;；（）()\\[\\]"'']+')) AS token FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE role = 'user')) WHERE length(token) >= 2"""
 
