@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from threadloom.llm import centroids, near_dedup, periodic_runs
+from threadloom.llm import centroids, language_id, near_dedup, periodic_runs
 
 
 def lloyd(rows, k=8, rounds=10, dims=64):
@@ -239,3 +239,7 @@ def test_superminhash_estimates_and_stops_early():
         assert (found >> np.uint64(32)).max() < 180 and (n < 1500 or (found >> np.uint64(32)).max() <= 3)
     one = near_dedup.signatures([np.array([5], dtype=np.uint64)])[0] >> np.uint64(32)
     assert sorted(one.tolist()) == list(range(180))  # one element ranks every place once
+
+
+def test_figures_are_no_letters():
+    assert [language_id.has_letters(t) for t in ("² ½ ① 12_3 !", "", None, "²a", "你", "ª")] == [False, False, False, True, True, True]

@@ -30,7 +30,6 @@ RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,7 +47,8 @@ def places(text: str) -> np.ndarray:
 
 
 def has_letters(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether some character is a letter (Unicode's L, as in training); figures such as ² or ½ are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
