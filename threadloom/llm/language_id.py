@@ -8,7 +8,6 @@ landmarks and coefficients fold exactly into one DIM x languages matrix and a ba
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -16,7 +16,7 @@ from threadloom.operators import ranking as R
 from threadloom.operators import segment as S
 from threadloom.operators import text as X
 from threadloom.operators import vocabulary as V
-from threadloom.plans import evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, stream_queries
+from threadloom.plans import evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, report_queries, stream_queries
 from threadloom.plans.registry import QUERIES, SQL, query
 
 SCENARIOS = {"widgets": ["widget", "gadget"], "small": ["small"], "metal": ["ring", "bolt", "gear"]}
@@ -440,7 +440,7 @@ def reply_structure(spark, table):
     return table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("replies"), F.count_if(C.is_root(F.col("turn"))).alias("roots"))
 
 
-for _module in (evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, stream_queries):
+for _module in (evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, report_queries, stream_queries):
     assert _module  # importing them registers their queries
 
 
