@@ -10,9 +10,11 @@ from threadloom.operators import dedupe as D
 from threadloom.operators import joins as J
 from threadloom.operators import matching
 from threadloom.operators import ordered as O
+from threadloom.operators import queue as Q
 from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
 from threadloom.operators import results as T
+from threadloom.operators import run_report
 from threadloom.operators import segment
 from threadloom.operators import text as X
 from threadloom.operators import vocabulary
@@ -263,3 +265,56 @@ def test_segmentation_equals_all_splits(spark):
     for chars in (10**6, 1):
         got = {r["word"]: r["n"] for r in segment.segmented_counts(df, F.col("t"), words, stop=["a"], broadcast_chars=chars).collect()}
         assert got == {w: 2 * n for w, n in want.items() if w != "a"}
+
+
+def test_twenty_families_are_dealt_once_each_key(spark):
+    import random
+
+    rng = random.Random(2)
+    families = [f"f{i}" for i in range(20)]
+    rows_ = [(rng.randint(0, 150), rng.choice([*families, "other"]), rng.randint(0, 10**6), rng.randint(0, 10**6), rng.random() < 0.7) for _ in range(1500)]
+    taken, want = set(), []
+    for f in families:
+        own = [r for r in rows_ if r[1] == f]
+        picked = [("hot", r) for r in sorted(own, key=lambda r: (-r[2], r[0]))[:4]]
+        for kind, r in picked:
+            if r[0] not in taken:
+                taken.add(r[0])
+                want.append((r[0], f, kind))
+        n = 0
+        for r in sorted((r for r in own if r[4]), key=lambda r: (-r[3], r[0])):
+            if r[0] not in taken and n < 3:
+                taken.add(r[0])
+                n += 1
+                want.append((r[0], f, "recent"))
+    df = spark.createDataFrame(rows_, "id int, family string, likes int, at int, ok boolean")
+    order = lambda c: [F.desc(c), F.asc("id")]
+    got = Q.family_quotas(df, families, key="id", hot=order("likes"), recent=order("at"), eligible=F.col("ok"), n_hot=4, n_recent=3)
+    assert got.columns == [*df.columns, "pick"] and sorted((r["id"], r["family"], r["pick"]) for r in got.collect()) == sorted(want)
+    plans = [Q.family_quotas(df, f, key="id", hot=order("likes"), recent=order("at"), eligible=F.col("ok"), n_hot=4, n_recent=3)._jdf.queryExecution().optimizedPlan().toString() for f in (families[:2], families)]
+    assert plans[0].count("Window") == plans[1].count("Window") and "Join" not in plans[1]  # it does not grow with the families
+    assert Q.family_quotas(df.limit(0), families, key="id", hot=order("likes"), recent=order("at"), eligible=F.col("ok"), n_hot=4, n_recent=3).collect() == []
+
+
+ROW = "seq long, record_id string, user_key string, user_id string, username string, platform string, creator_type string, creator_name string, video_title string, source_file string, homepage_url string, comment_url string, comment_text string, contactability string, primary_intent string, signals array<string>, evidence string, relation string, product_fit string, problems array<string>, help_seeking boolean, costs array<string>, gaps array<string>, impact string, paid_help boolean, hypotheses array<struct<hypothesis_id:string,relation:string>>"
+
+
+def test_page_and_leads_of_nulls_and_of_nothing(spark):
+    names = [f.split()[0] for f in ROW.split(", ")]
+    made = lambda **own: tuple(own.get(n) for n in names)
+    some = [
+        made(seq=1, record_id="r1", user_key="u", username="", platform="bili", evidence="tried", problems=["b", "a"], comment_text="one", comment_url="l1", product_fit="low", contactability="medium"),
+        made(seq=2, record_id="r2", user_key="u", username="name", evidence="continued", problems=["a"], help_seeking=True, costs=["c"], impact="stopped", comment_text=" one ", comment_url="l1", product_fit="odd", video_title=" v ", signals=["gratitude"]),
+        made(seq=3, record_id="r3", hypotheses=[("H1", "weakens"), ("H9", "supports"), ("H1", "odd")]), made(seq=4, record_id="", user_key="x"), made(),
+    ]
+    df = spark.createDataFrame(some, ROW)
+    page = {(r["section"], r["key"]): (r["n"], r["pct"], r["users"]) for r in run_report.page(df, total_records=9).collect()}
+    count = lambda name: page["measure", name][0]
+    assert [count(n) for n in ("total_analyzed", "total_records", "unique_users", "trained_users", "high_priority_user_count", "source_video_count", "source_file_count", "valid_comments")] == [5, 9, 2, 1, 1, 1, 0, 0]
+    assert page["signal", "gratitude"][:2] == (1, 20.0) and page["hypothesis", "H1|weakens"] == (1, None, 0) and page["contradiction", "H1"][:2] == (1, 100.0) and page["hypothesis_by_creator", "H1|未知|weakens"][0] == 1
+    leads = {r["user_key"]: r for r in run_report.leads(df).collect()}
+    u = leads["u"]
+    assert sorted(leads) == ["record:r3", "u", "x"][:2] and (u["username"], u["platform"], u["candidate_score"], u["priority"], u["product_fit"], u["evidence"], u["contactability"]) == ("name", "bili", 8, "high", "low", "continued", "medium")
+    assert (u["problems"], u["quotes"], u["comment_urls"], u["n_records"], u["n_comment_urls"]) == (["a", "b"], ["one"], ["l1"], 2, 1) and run_report.lead_comments(df).count() == 3
+    none = run_report.page(df.limit(0))
+    assert {r["n"] for r in none.collect()} == {0} and run_report.leads(df.limit(0)).collect() == []

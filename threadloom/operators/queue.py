@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from threadloom.functions.columns import is_root, sane_epoch
@@ -77,23 +80,36 @@ def routes(candidates: DataFrame) -> DataFrame:
 def family_quotas(rows: DataFrame, families: Sequence[str], *, key: str, hot: Sequence[Column], recent: Sequence[Column], eligible: Column, n_hot: int, n_recent: int) -> DataFrame:
     """Per family, in order, its hottest and then its most recent eligible rows; a key taken once is not taken again.
 
-    Families are a short stated list, and each takes a few rows: what is taken is gathered family by family.
+    The hot list is cut first and then loses what is taken; the recent pool loses it first. All that can be taken is
+    ``n_hot + n_recent`` a family, so no recent row beyond that many more can count: rows are ranked once, and only the few
+    that the quotas bound are dealt out one after another.
     """
-    taken, out = None, None
-    for name in families:
-        own = rows.where(F.col("family") == name)
-        picks = []
-        for kind, order, n, pool in (("hot", hot, n_hot, own), ("recent", recent, n_recent, own.where(eligible))):
-            # The hot list is cut first and then loses what is taken; the recent pool loses it first.
-            first = top_ranked(pool, order, n).drop("rank") if kind == "hot" else pool
-            left = first.join(taken, key, "left_anti") if taken is not None else first
-            pick = (left if kind == "hot" else top_ranked(left, order, n).drop("rank")).withColumn("pick", F.lit(kind))
-            picks.append(pick)
-            new = pick.select(key)
-            taken = new if taken is None else taken.union(new)
-        both = picks[0].unionByName(picks[1])
-        out = both if out is None else out.unionByName(both)
-    return out
+    turn = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
+    own = rows.withColumn("__turn", turn).where(F.col("__turn") > 0)
+    most = n_recent + len(families) * (n_hot + n_recent)
+    ranked = []
+    for kind, (order, n, pool) in enumerate(((hot, n_hot, own), (recent, most, own.where(eligible)))):
+        place = F.row_number().over(Window.partitionBy("__turn").orderBy(*order))
+        ranked.append(pool.withColumns({"__kind": F.lit(kind), "__place": place}).where(F.col("__place") <= n))
+    shape = T.StructType([*rows.schema.fields, T.StructField("pick", T.StringType())])
+    names, width, at_key = rows.columns, len(rows.columns), rows.columns.index(key)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, count = set(), Counter()
+        for batch in batches:
+            keys, turns, kinds = (batch.column(i).to_pylist() for i in (at_key, width, width + 1))
+            kept = []
+            for i, (k, t, kind) in enumerate(zip(keys, turns, kinds, strict=True)):
+                if k not in taken and (kind == 0 or count[t] < n_recent):
+                    taken.add(k)
+                    count[t] += kind
+                    kept.append(i)
+            own = batch.take(pa.array(kept, pa.int64()))
+            picks = pa.array([("hot", "recent")[kinds[i]] for i in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([*own.columns[:width], picks], [*names, "pick"])
+
+    few = ranked[0].unionByName(ranked[1]).repartition(1).sortWithinPartitions("__turn", "__kind", "__place")  # as many as the quotas allow
+    return few.mapInArrow(deal, shape)
 
 
 def keyword_plan(keywords: DataFrame, day: date, limit: int) -> DataFrame:
