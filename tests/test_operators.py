@@ -15,6 +15,7 @@ from threadloom.operators import quotes as K
 from threadloom.operators import ranking as R
 from threadloom.operators import results as T
 from threadloom.operators import run_report
+from threadloom.operators import scoping
 from threadloom.operators import segment
 from threadloom.operators import text as X
 from threadloom.operators import vocabulary
@@ -318,3 +319,16 @@ def test_page_and_leads_of_nulls_and_of_nothing(spark):
     assert (u["problems"], u["quotes"], u["comment_urls"], u["n_records"], u["n_comment_urls"]) == (["a", "b"], ["one"], ["l1"], 2, 1) and run_report.lead_comments(df).count() == 3
     none = run_report.page(df.limit(0))
     assert {r["n"] for r in none.collect()} == {0} and run_report.leads(df.limit(0)).collect() == []
+
+
+def test_scoped_conclusions(spark):
+    shape = "theme string, record_ids array<string>, refs array<struct<record_id:string,n:int>>, comment_count int"
+    df = spark.createDataFrame([("a", ["r3", "r1", "r9"], [("r9", 1), ("r1", 2), ("r3", 3)], 99), ("b", ["r9"], [("r1", 1)], 99), ("c", ["r2"], None, 99), ("d", None, None, 99)], shape)
+    records = spark.createDataFrame([("r1", "u"), ("r2", None), ("r3", "u"), ("r3", "u")], "record_id string, user_key string")
+    got = {r["theme"]: r for r in scoping.scoped(df, records, key="theme", sources=2).collect()}
+    a, c = got["a"], got["c"]
+    assert sorted(got) == ["a", "c"] and (a["record_ids"], [x["n"] for x in a["refs"]], a["comment_count"], a["unique_user_count"], a["source_count"]) == (["r3", "r1"], [2, 3], 2, 1, 2)
+    assert (c["record_ids"], c["refs"], c["unique_user_count"]) == (["r2"], [], 1)
+    assert sorted(r["theme"] for r in scoping.scoped(df, records, key="theme", ids=None).collect()) == ["a", "b"]
+    docs = spark.createDataFrame([(2, 5, ["z"]), (1, 7, ["x", "y"])], "n int, tokens int, themes array<string>")
+    assert tuple(scoping.merged_documents(docs, ["tokens"], ["themes"], "n").first()) == (12, ["x", "y", "z"])

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.sources import readers, sinks
+from threadloom.sources import exports, readers, sinks
 from threadloom.streaming import incremental
 
 
@@ -106,3 +106,25 @@ def test_qa_site_rows(spark):
     assert [(r["comment_id"], r["content"], r["place"], r["user_id"]) for r in got] == [("c", "yes", "here", "m")]
     page = spark.range(1).select(readers.next_offset(F.lit("https://x/y?limit=5&offset=20")).alias("o")).first()
     assert page["o"] == "20"
+
+
+def test_counts_of_lines_lie_within_their_bounds(spark, tmp_path):
+    import random
+
+    rng, total = random.Random(1), 0
+    for i in range(40):
+        n = rng.randint(50, 150)
+        total += n
+        (tmp_path / f"{i} x.csv").write_text("head\n" + "".join("y" * rng.randint(5, 40) + "\n" for _ in range(n)))
+    (tmp_path / "empty.csv").write_text("")
+    whole = exports.line_counts(spark, str(tmp_path)).first()
+    assert tuple(whole) == (total, total, total, 41, 41)
+    few = exports.line_counts(spark, str(tmp_path), whole_below=100, sample=12).first()
+    assert few["read_files"] == 13 and few["low"] <= total <= few["high"] and abs(few["rows"] - total) < total * 0.1
+
+
+def test_lead_rows_have_labels_and_joined_lists(spark):
+    shape = "user_key string, username string, platform string, homepage_url string, candidate_score int, priority string, contactability string, contact_reason string, product_fit string, evidence string, help_seeking boolean, problems array<string>, relations array<string>, quotes array<string>, n_records int, comment_urls array<string>, contact_status string"
+    df = spark.createDataFrame([("k", "n", "bili", None, 5, "high", "low", "why", "high", "tried", True, ["a", "b"], ["unclear", "odd"], ["q", "r"], 2, ["u"], "replied")], shape)
+    r = exports.lead_rows(df).first()
+    assert len(r) == 18 and (r["主页"], r["评分"], r["联系状态"], r["产品适配"], r["行为证据"], r["求助"], r["具体问题"], r["一次回复能否解决"], r["代表评论"], r["产品经理备注"]) == ("", "5", "已回复", "高", "已尝试", "是", "a；b", "暂无法判断；odd", "q | r", "")

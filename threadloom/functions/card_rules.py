@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from threadloom.functions.columns import strip
 from threadloom.functions.evidence import ITEM, contains_any, with_item_ids
 from threadloom.functions.rules import short_circuit
 
@@ -73,7 +74,7 @@ def _applies(text: Column, rule: CardRule) -> Column:
 def rule_card(text: Column, record: Column) -> Column:
     """struct(record_status, primary_expression, evidence_items) of a comment; those that need no reading have no items."""
     skipped = short_circuit(text)
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     expression: Column = F.lit("other")
     added = []
     for rule in CARD_RULES:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.functions.columns import fuzzy_hit
+from threadloom.functions.columns import fuzzy_hit, strip
 from threadloom.functions.evidence import contains_any
 from threadloom.operators.aggregates import filled
 from threadloom.operators.dedupe import first_wins
@@ -45,7 +45,7 @@ def quote_score(hypothesis: Column, relation: Column, quote: Column, intent: Col
     for (h, r), p in own.items():
         chosen = chosen.when((hypothesis == h) & (relation == r), p)
     whole = F.coalesce(confidence, F.lit(0.0)) + F.least(F.length(quote), F.lit(60)) / 60.0 + common + chosen.otherwise(0.0)
-    return F.when(F.length(F.trim(F.coalesce(quote, F.lit("")))) < 4, -10.0).otherwise(whole)
+    return F.when(F.length(strip(F.coalesce(quote, F.lit("")))) < 4, -10.0).otherwise(whole)
 
 
 def representative_quotes(rows: DataFrame, most: int = 5) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import run_report as P
+from threadloom.operators import scoping
+from threadloom.plans.reader_queries import AS_IS
 from threadloom.plans.registry import query
+from threadloom.scratch import Scratch
+from threadloom.sources import exports, readers
 
 #: Events as analysed comments: labels by type and by the number k of their properties.
 ANALYSED = """a AS (SELECT event_id AS seq, event_id::VARCHAR AS record_id, user_id, (props->>'$.k')::BIGINT AS k, event_type FROM events), r AS (SELECT *,
@@ -82,3 +86,47 @@ def lead_list(spark, table):
     found = P.leads(_analysed(table)).drop("platform")
     lists = ("problems", "relations", "comment_urls", "quotes")
     return found.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in found.columns])
+
+
+def _case(value: str, labels: dict[str, str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {value} END"
+
+
+@query(
+    f"""WITH {ANALYSED} SELECT record_id, comment_text AS "评论", username AS "用户", homepage_url AS "用户主页", 'bili' AS "平台", video_title AS "视频标题", creator_name AS "博主", creator_type AS "分类", {_case("primary_intent", exports.INTENT_LABELS)} AS "主要目的",
+array_to_string(list_transform(signals, lambda x: {_case("x", exports.SIGNAL_LABELS)}), '，') AS "信息信号", {_case("evidence", exports.EVIDENCE_LABELS)} AS "行为证据", array_to_string(problems, '；') AS "具体问题", {_case("relation", exports.VIDEO_LABELS)} AS "单向内容关系",
+CASE WHEN k % 2 = 0 THEN 's' || k || '（question）；alone' ELSE '' END AS "新发现", {_case("product_fit", exports.FIT_LABELS)} AS "产品适配", (k % 10)::VARCHAR AS "置信度", '' AS "分析时间" FROM s"""
+)
+def results_export(spark, table):
+    """Analysed comments as the results CSV, written and read back: labels for keys, lists joined."""
+    k = F.regexp_extract("comment_text", r"(\d+)$", 1).cast("long")
+    new = F.array(F.struct(F.lit("question").alias("type"), F.concat(F.lit("s"), k.cast("string")).alias("text")), F.struct(F.lit(" ").alias("type"), F.lit(" alone").alias("text")), F.struct(F.lit("t").alias("type"), F.lit("").alias("text")))
+    rows = _analysed(table).withColumns({"new_signals": F.when(k % 2 == 0, new), "confidence": k % 10, "analyzed_at": F.lit(None).cast("string")})
+    with Scratch(spark, "export") as scratch:
+        exports.result_rows(rows).write.csv(f"{scratch.root}/results", **AS_IS)
+        return scratch.result(readers.read_csv(spark, f"{scratch.root}/results").drop("_file", "_row"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_custkey % 4 > 0 THEN o_custkey::VARCHAR ELSE o_orderkey::VARCHAR END AS who FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderpriority AS theme, count(*) AS comment_count, count(DISTINCT who) AS unique_user_count, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS ids, count(*) FILTER (o_custkey % 3 = 0) AS refs FROM o GROUP BY 1""")
+def scoped_themes(spark, table):
+    """Themes over all orders (by priority) narrowed to those of one status: ids, references and counts taken anew."""
+    orders = table("orders").withColumn("id", F.col("o_orderkey").cast("string"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "id"))), lambda x: x["id"])
+    refs = F.collect_list(F.when(F.col("o_custkey") % 3 == 0, F.struct(F.col("id").alias("record_id"), F.lit("i").alias("item"))))
+    themes = orders.groupBy(F.col("o_orderpriority").alias("theme")).agg(ids.alias("record_ids"), refs.alias("refs"))
+    records = orders.where("o_orderstatus = 'F'").select(F.col("id").alias("record_id"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey").cast("string")).alias("user_key"))
+    found = scoping.scoped(themes, records, key="theme")
+    return found.select("theme", "comment_count", "unique_user_count", F.md5(F.encode(F.array_join("record_ids", ","), "UTF-8")).alias("ids"), F.size("refs").cast("long").alias("refs"))
+
+
+@query("""SELECT count(*) - 2 AS rows, true AS within FROM events""")
+def line_counts(spark, table):
+    """Rows of two folders of text files (a header each) counted from a few files: here whole, as they are few; and within the bounds from one."""
+    with Scratch(spark, "lines") as scratch:
+        for part in range(2):
+            table("events").where(F.col("event_id") % 2 == part).select(F.col("event_id").cast("string")).coalesce(1).write.text(f"{scratch.root}/{part}")
+        paths = [f"{scratch.root}/0", f"{scratch.root}/1"]
+        whole, guess = exports.line_counts(spark, paths), exports.line_counts(spark, paths, whole_below=0, sample=1, sigmas=3.0)
+        close = F.abs(guess.first()["rows"] - F.col("rows")) <= F.col("rows") * 0.01
+        return scratch.result(whole.select("rows", (close & (F.col("low") == F.col("rows")) & (F.col("high") == F.col("rows"))).alias("within")))

@@ -40,10 +40,16 @@ def remove_dir(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def result_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path whose files stay as long as the driver's process, or until ``clean_up``."""
+    path = fresh_path(spark, tag)
+    _results.append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back. It stays as long as the driver's process, or until ``clean_up``."""
-    path = fresh_path(df.sparkSession, tag)
-    _results.append(path)
+    path = result_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
