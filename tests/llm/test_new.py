@@ -243,3 +243,13 @@ def test_superminhash_estimates_and_stops_early():
 
 def test_figures_are_no_letters():
     assert [language_id.has_letters(t) for t in ("² ½ ① 12_3 !", "", None, "²a", "你", "ª")] == [False, False, False, True, True, True]
+
+
+def test_stores_go_with_the_results(spark):
+    from threadloom import scratch
+    from threadloom.llm import media, queries, token_store
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    before = len(scratch._results)
+    assert media.media_columns(docs).count() == 2 and token_store.store_and_read(docs, queries.tokenizer_file()).count() == 2
+    assert {"media", "tokens"} <= {p.rsplit("/", 1)[1].split("-")[0] for p in scratch._results[before:]}

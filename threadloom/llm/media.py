@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.llm.common import Scratch, fresh_path, utf8
+from threadloom.llm.common import Scratch, utf8
 from threadloom.llm.files import Ranges, Writer, make_dir, open_fs
+from threadloom.scratch import result_path
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -134,7 +135,7 @@ def store(docs: DataFrame, rows: DataFrame, scratch: Scratch, root: str | None =
     hold other rows when it is read again, some digest is left without a file; such texts are dealt by digest and stored
     then. A task that runs again writes a shard of another name, so a lost executor damages nothing that is referred to.
     """
-    root = root or fresh_path(docs.sparkSession, "media")
+    root = root or result_path(docs.sparkSession, "media")
     make_dir(root)
     owners = rows.groupBy("digest").agg(F.min("part").alias("part"))
     owner_files = f"{scratch.root}/owners"

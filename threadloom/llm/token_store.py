@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Scratch, fresh_path, give_back
+from threadloom.llm.common import Scratch, give_back
 from threadloom.llm.files import Ranges, Writer, make_dir, remove_dir
+from threadloom.scratch import result_path
 
 END_ID = 2
 MAGIC = b"TLPACK01"
@@ -265,7 +266,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *
     (ids of all documents before it). A task that runs again writes a pack of another name.
     """
     spark = docs.sparkSession
-    root = root or fresh_path(spark, "tokens")
+    root = root or result_path(spark, "tokens")
     with Scratch(spark, "tokens") as scratch:
         recipes = _packed(docs, tokenizer_path, root, scratch, end_id, id_col, text_col)
         _in_order(recipes, root, scratch)
