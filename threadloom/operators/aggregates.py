@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.functions.columns import PLAY_TIERS, percent
+from threadloom.functions.columns import PLAY_TIERS, is_root, percent
 from threadloom.operators.ordered import middle, nearest, numbered, ranked_values
 
 
@@ -27,6 +27,18 @@ def run_statistics(df: DataFrame, *, user: Column, conditions: dict[str, Column]
     )
 
 
+def group_summary(df: DataFrame, group: Sequence[str], *, distinct: dict[str, Column], sums: dict[str, Column], tops: dict[str, Column]) -> DataFrame:
+    """Rows of each group (``n``), with distinct counts of filled values, sums and maxima."""
+    return df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_distinct(filled(c)).alias(n) for n, c in distinct.items()], *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in tops.items()]
+    )
+
+
+def reply_structure(df: DataFrame, thread: str, *, reply: Column, parent: str) -> DataFrame:
+    """Per thread: rows, replies, and roots, whose parent is empty or zero."""
+    return df.groupBy(thread).agg(F.count(F.lit(1)).alias("turns"), F.count_if(reply).alias("replies"), F.count_if(is_root(F.col(parent))).alias("roots"))
+
+
 def label_percentages(df: DataFrame, label: str) -> DataFrame:
     """n and pct of each label; percentages of the labelled rows, so they sum to 100."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -288,14 +288,14 @@ def quote_check(spark, table):
     return X.verbatim_quotes(quotes, table("documents").select("doc_id", "text")).select("doc_id", "item_id")
 
 
-@query("""SELECT turn, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE role = 'user' AND length(text) % 10 >= 6 GROUP BY 1""")
+@query("""SELECT turn, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE length(text) % 10 >= 6 GROUP BY 1""")
 def model_hook(spark, table):
-    """A stand-in model answers batch by batch; answers count whose quote is in the text and that are worth enough."""
-    rows = table("conversations").where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "turn", "text")
+    """A stand-in model answers batch by batch with the second half of each text; answers count whose quote is in the text and that are worth enough."""
+    rows = table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "turn", "text")
 
     def make():
         def answer(batch: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"id": batch["id"], "worth": batch["text"].str.len() % 10, "quote": batch["text"].str.slice(0, 12)})
+            return pd.DataFrame({"id": batch["id"], "worth": batch["text"].fillna("").str.len() % 10, "quote": [t[len(t) // 2 :] for t in batch["text"].fillna("")]})
 
         return answer
 

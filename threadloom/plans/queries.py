@@ -423,10 +423,9 @@ def latency_profile(spark, table):
     return A.latency_profile(table("lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity"), ["flag"], "l_quantity")
 
 
-@query("""SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents WHERE n_chars >= 20 AND NOT contains(text, '|') GROUP BY 1""")
+@query("""SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, sum(length(coalesce(text, '')))::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY 1""")
 def channel_summary(spark, table):
-    rows = table("documents").where((F.col("n_chars") >= 20) & ~F.contains("text", F.lit("|")))
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
+    return A.group_summary(table("documents"), ["lang"], distinct={"sources": F.col("source")}, sums={"chars": F.length(F.coalesce("text", F.lit("")))}, tops={"longest": F.col("n_chars")})
 
 
 @query("""SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS before, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus IN ('F', 'P')) AS after, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus IN ('F', 'P')) - (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS added""")
@@ -437,7 +436,7 @@ def merge_growth(spark, table):
 
 @query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS replies, count(*) FILTER (turn = 0) AS roots FROM conversations GROUP BY 1""")
 def reply_structure(spark, table):
-    return table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("replies"), F.count_if(C.is_root(F.col("turn"))).alias("roots"))
+    return A.reply_structure(table("conversations"), "conv_id", reply=F.col("role") == "assistant", parent="turn")
 
 
 for _module in (evidence_queries, item_queries, listing_queries, outreach_queries, reader_queries, report_queries, stream_queries):
