@@ -34,6 +34,12 @@ def group_summary(df: DataFrame, group: Sequence[str], *, distinct: dict[str, Co
     )
 
 
+def quantiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """Per group n and, as p10, p25 and so on, the element at round-half-even(q * (n - 1)) of the filled values in order."""
+    ranked = ranked_values(df, list(group), value)
+    return ranked.groupBy(*group).agg(F.max("n").alias("n"), *[nearest(value, q).alias(f"p{round(100 * q)}") for q in at])
+
+
 def reply_structure(df: DataFrame, thread: str, *, reply: Column, parent: str) -> DataFrame:
     """Per thread: rows, replies, and roots, whose parent is empty or zero."""
     return df.groupBy(thread).agg(F.count(F.lit(1)).alias("turns"), F.count_if(reply).alias("replies"), F.count_if(is_root(F.col(parent))).alias("roots"))

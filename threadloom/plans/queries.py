@@ -224,6 +224,15 @@ def arrival_distribution(spark, table):
     return A.shares_within(gaps, "gap_hours", [24, 168, 8760])
 
 
+@query("""WITH g AS (SELECT o_orderpriority, ((epoch(l_shipdate) - epoch(o_orderdate)) / 3600.0::DOUBLE) AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate), t AS (SELECT o_orderpriority, list_sort(list(h)) AS v, count(*) AS n FROM g GROUP BY 1)
+SELECT o_orderpriority, n, """ + ", ".join(f"v[round_even({q} * (n - 1), 0)::BIGINT + 1] AS p{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + """ FROM t""")
+def arrival_quantiles(spark, table):
+    """When lines arrive after their order, in hours, by priority: tenths, quarters and the median."""
+    lines = table("lineitem").select(F.col("l_orderkey").alias("k"), "l_shipdate")
+    gaps = J.within_hours(lines, table("orders").select(F.col("o_orderkey").alias("k"), "o_orderdate", "o_orderpriority"), "k", "l_shipdate", "o_orderdate")
+    return A.quantiles(gaps, "gap_hours", (0.1, 0.25, 0.5, 0.75, 0.9), ["o_orderpriority"])
+
+
 @query("""WITH d AS (SELECT length(text) AS n_text, contains(text, '?') AS question, contains(text, '***') AS starred, contains(text, '@') AS contact FROM documents), b AS (SELECT median(n_text) AS base FROM d),
 s AS (SELECT 'question' AS feature, n_text FROM d WHERE question UNION ALL SELECT 'starred', n_text FROM d WHERE starred UNION ALL SELECT 'contact', n_text FROM d WHERE contact) SELECT feature, count(*) AS n, median(n_text) AS median, median(n_text) / any_value(base) AS lift FROM s, b GROUP BY 1""")
 def feature_lift(spark, table):
