@@ -69,7 +69,7 @@ def line_counts(spark: SparkSession, paths: str | Sequence[str], *, whole_below:
     """One row: rows (of lines but a header a file), low, high, files, read_files.
 
     Files below a size are counted whole. Of larger ones a sample of so many, by hash of the path, is counted, and the rest
-    by its lines a byte; low and high bound that by so many standard errors of the ratio. If no file is left to guess, low
+    by its lines a byte; low and high are so many standard errors of that guess away. If no file is left to guess, low
     and high are exact. Sizes come from the file listing; no content of a file that is not counted is read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -90,7 +90,9 @@ def line_counts(spark: SparkSession, paths: str | Sequence[str], *, whole_below:
     ).first()
     ratio = r["y"] / r["x"] if r["x"] else 0.0
     spread = max(0.0, r["yy"] - 2 * ratio * r["xy"] + ratio * ratio * r["xx"]) / max(1.0, r["n"] - 1)
-    error = sigmas * sqrt(spread / r["n"]) / (r["x"] / r["n"]) * r["rest"] if r["n"] else 0.0
+    left = r["files"] - r["read_files"]
+    # what the files left differ by themselves, and what the ratio may be wrong by
+    error = sigmas * sqrt(spread * left + spread / r["n"] * (r["rest"] * r["n"] / r["x"]) ** 2) if r["n"] else 0.0
     guess = ratio * r["rest"]
     out = (round(r["known"] + guess), max(r["known"], int(r["known"] + guess - error)), int(r["known"] + guess + error + (r["rest"] > 0)), r["files"], r["read_files"])
     return spark.createDataFrame([out], "rows long, low long, high long, files long, read_files long")
