@@ -332,3 +332,21 @@ def test_scoped_conclusions(spark):
     assert sorted(r["theme"] for r in scoping.scoped(df, records, key="theme", ids=None).collect()) == ["a", "b"]
     docs = spark.createDataFrame([(2, 5, ["z"]), (1, 7, ["x", "y"])], "n int, tokens int, themes array<string>")
     assert tuple(scoping.merged_documents(docs, ["tokens"], ["themes"], "n").first()) == (12, ["x", "y", "z"])
+
+
+def test_similar_texts_in_blocks_with_rare_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(X, "_BLOCK", 7)
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdef") for _ in range(40)) + "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(r.randrange(12))) for _ in range(12)]
+    texts = [b[: r.randrange(1, 60)] if r.random() < 0.3 else b.replace(r.choice("abc"), r.choice("xyz"), r.randrange(3)) for b in base for _ in range(10)]
+    df = spark.createDataFrame([(i, "gh"[i % 2], t) for i, t in enumerate(texts)] + [(900, None, texts[0]), (901, None, texts[0])], "i int, g string, t string")
+    sets = [{t[k : k + 2] for k in range(len(t) - 1)} for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0
+    for least in (0.5, 0.75, 1.0):
+        want = sorted((a, b, like(a, b)) for a in range(len(texts)) for b in range(a + 1, len(texts)) if a % 2 == b % 2 and like(a, b) >= least)
+        met = X.similar_texts(df, id_col="i", text=F.col("t"), group=["g"], least=least)
+        assert want and rows(met, "a", "b", "similarity") == want
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "__p#" not in plan and "FlatMapGroupsInArrow" in plan  # no join on shared elements: pairs that only may be alike are never rows
