@@ -98,3 +98,18 @@ def test_steps_and_forum_pages(spark):
     assert [(r["page"], r["comment_id"], r["sub_comment_count"], r["content"], r["user_nickname"], r["forum_id"]) for r in said] == [(2, "9", 2, "said it", "n", "5")]
     t = html_tree.tree(df.withColumn("h", F.replace("h", F.lit("<!--"), F.lit(""))), "id", "h")
     assert html_tree.children(t.where("tag = 'li'"), t, F.col("tag") == "a").count() == 2 and html_tree.descendants(t.where("tag = 'ul'"), t, "tag = 'a'").count() == 3
+
+
+def test_page_links_equal_their_sql_where_references_are_cut_or_of_other_kinds(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from threadloom.plans import queries as plans
+
+    titles = ["a &amp;&amp and&amp", "x &quot;0b96", "&amp;lt; &#39;", "\u00a0 a\n\t b\u3000 ", "", "&ampamp;"]
+    links = ['<a href="/a?x=1&amp;y=2">a</a><a class="c" href="/b">b</a>', '<a href="">c</a><a>d</a>', '<a href="/é&lt;">e</a><a href="/d">f</a>']
+    pages = [(k, f"<html><head><title>{t}</title></head><body>{links[k % 3]}</body></html>") for k, t in enumerate(titles)] + [(90, "<p>no title</p>"), (91, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = plans.queries()["page_links"](spark, str(tmp_path)).select("page_id", "title", "links", "href_digest").collect()
+    want = con.execute(f"SELECT page_id, title, links, href_digest FROM ({plans.oracle_sql()['page_links']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -35,15 +35,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([A-Za-z][^\s/>]*)[
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 
 
-def attributes(source: str) -> dict[str, str]:
+def attributes(source: str, resolve=html.unescape) -> dict[str, str]:
     """Names in lower case, character references resolved; of equal names the first counts."""
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
+        found.setdefault(name.lower(), resolve(next((v for v in values if v), "")))
     return found
 
 
-def nodes(page: str | None) -> list[tuple[int, int, int, str, dict[str, str], str | None]]:
+def nodes(page: str | None, resolve=html.unescape) -> list[tuple[int, int, int, str, dict[str, str], str | None]]:
     """(node, parent, last, tag, attributes, text) of a page in its order; parents of outermost nodes are -1.
 
     An end without its beginning is passed over; what is open at the end ends there; a bare < is text.
@@ -59,9 +59,9 @@ def nodes(page: str | None) -> list[tuple[int, int, int, str, dict[str, str], st
         if s:
             parent = stack[-1] if stack else -1
             if out and out[-1][3] == TEXT and out[-1][1] == parent:
-                out[-1][5] += html.unescape(s)
+                out[-1][5] += resolve(s)
             else:
-                out.append([len(out), parent, len(out), TEXT, {}, html.unescape(s)])
+                out.append([len(out), parent, len(out), TEXT, {}, resolve(s)])
 
     page, at = page or "", 0
     while at < len(page):
@@ -86,7 +86,7 @@ def nodes(page: str | None) -> list[tuple[int, int, int, str, dict[str, str], st
                     break
                 if open_tag in SCOPES:
                     break
-            out.append([len(out), stack[-1] if stack else -1, len(out), tag, attributes(rest), None])
+            out.append([len(out), stack[-1] if stack else -1, len(out), tag, attributes(rest, resolve), None])
             if tag in VOID or rest.endswith("/") and tag not in RAW:
                 continue
             stack.append(len(out) - 1)
@@ -94,7 +94,7 @@ def nodes(page: str | None) -> list[tuple[int, int, int, str, dict[str, str], st
                 close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                 raw = page[at : close.start() if close else len(page)]
                 if raw:
-                    out.append([len(out), stack[-1], len(out), TEXT, {}, html.unescape(raw) if tag in ("title", "textarea") else raw])
+                    out.append([len(out), stack[-1], len(out), TEXT, {}, resolve(raw) if tag in ("title", "textarea") else raw])
                 at = close.end() if close else len(page)
                 end(len(stack) - 1)
     end(0)
@@ -104,8 +104,11 @@ def nodes(page: str | None) -> list[tuple[int, int, int, str, dict[str, str], st
 _NODES = [("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())]
 
 
-def tree(df: DataFrame, page: str, html_column: str) -> DataFrame:
-    """The node table of pages: ``page`` is the column that tells them apart. Null and empty pages have no nodes."""
+def tree(df: DataFrame, page: str, html_column: str, *, as_written: bool = False) -> DataFrame:
+    """The node table of pages: ``page`` is the column that tells them apart. Null and empty pages have no nodes.
+
+    Character references are resolved in texts and attributes, or stay as they are written.
+    """
     own = df.select(F.col(page).alias("page"), F.col(html_column).alias("html"))
     kinds = {"int32": T.IntegerType(), "string": T.StringType()}
     shape = T.StructType([own.schema["page"], *[T.StructField(n, kinds.get(str(k), T.MapType(T.StringType(), T.StringType()))) for n, k in _NODES]])
@@ -113,7 +116,7 @@ def tree(df: DataFrame, page: str, html_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, source in enumerate(batch.column(1).to_pylist()):
-                found = nodes(source)
+                found = nodes(source, str if as_written else html.unescape)
                 for at in range(0, len(found), 20_000):
                     part = found[at : at + 20_000]
                     columns = [list(c) for c in zip(*part, strict=True)]
