@@ -268,6 +268,16 @@ def test_segmentation_equals_all_splits(spark):
         assert got == {w: 2 * n for w, n in want.items() if w != "a"}
 
 
+def test_a_dictionary_beyond_what_is_held_is_looked_for_in_parts(spark):
+    costs = [(a + b + c, 900 + k) for k, (a, b, c) in enumerate((a, b, c) for a in "abcdefgh" for b in "abcdefgh" for c in ("", "a", "b"))]
+    words = spark.createDataFrame(costs, "word string, cost long")
+    df = spark.createDataFrame([("ab-" + "abcdefgh" * 2000,), ("",), (None,), ("häabz hhb",)], "t string")
+    whole, parts = (segment.segmented_counts(df, F.col("t"), words, broadcast_chars=chars) for chars in (10**6, 40))
+    assert rows(whole, "word", "n") == rows(parts, "word", "n")
+    with_generate = parts._jdf.queryExecution().optimizedPlan().toString() + whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in with_generate  # no row a place and length of a text
+
+
 def test_twenty_families_are_dealt_once_each_key(spark):
     import random
 
