@@ -117,3 +117,21 @@ def test_links_by_platform(spark):
     assert tuple(row["x"]) == ("https://www.xiaohongshu.com/user/profile/u", "https://www.xiaohongshu.com/explore/n1#comment-c1")
     assert tuple(row["b"]) == ("own", "https://www.bilibili.com/video/BV1#reply9") and tuple(row["d"]) == ("", "")
     assert tuple(row["ib"]) == ("BV1aa", "12") and tuple(row["ix"]) == ("ab12", "cd34")
+
+
+def test_strip_takes_all_that_unicode_calls_white_space(spark):
+    by_regex = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    points = spark.range(1, 0x11000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, F.lit("0"))), "UTF-32").alias("c"))
+    texts = points.select(F.explode(F.array(F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c"), F.col("c"))).alias("t")).union(spark.createDataFrame([("",), (None,)], "t string"))
+    assert texts.where(~C.strip(F.col("t")).eqNullSafe(by_regex)).count() == 0
+
+
+def test_what_a_card_needs_often_is_computed_once(spark):
+    from threadloom.functions import evidence
+
+    spark.createDataFrame([], f"items array<{evidence.ITEM}>, e string").createOrReplaceTempView("some_cards")
+    plan = lambda c: spark.table("some_cards").select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    items = F.col("items")
+    assert plan(evidence.limited_items(items, ("behavior",))).count("array_sort") == 1  # before: 18
+    assert plan(evidence.card_signals(items, F.col("e"))).count("array_join") == 1  # before: 30
+    assert plan(evidence.new_signals(items)).count("context") == 3  # before: 6

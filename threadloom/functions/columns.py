@@ -6,7 +6,7 @@ Each takes and returns Columns, so Catalyst sees plain expressions. Where the so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -14,9 +14,18 @@ from pyspark.sql.column import Column
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
+#: Fixed value: all characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often it stands there; Spark repeats what a lambda encloses for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(c: Column) -> Column:
-    """Strip all Unicode white space; Spark's own trim strips spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Strip all Unicode white space; without a list of characters, Spark's own trim strips spaces only."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse(c: Column) -> Column:

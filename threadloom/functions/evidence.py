@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from threadloom.functions.columns import strip
+from threadloom.functions.columns import let, strip
 
 ITEM = "struct<type:string,text:string,evidence_quote:string,speaker_scope:string,certainty:string,subtype:string,evidence_item_id:string>"
 
@@ -200,11 +200,11 @@ def with_item_ids(items: Column, record: Column) -> Column:
     """Items named {record}::e{place}, but for those already named for this record."""
     rid = F.coalesce(F.nullif(strip(_text(record)), F.lit("")), F.lit("unknown"))
 
-    def named(x: Column, i: Column) -> Column:
-        kept = F.startswith(strip(_text(x["evidence_item_id"])), F.concat(rid, F.lit("::")))
-        return x.withField("evidence_item_id", F.when(kept, x["evidence_item_id"]).otherwise(F.concat(rid, F.lit("::e"), i.cast("string"))))
+    def named(own: Column) -> Column:
+        kept = lambda x: F.startswith(strip(_text(x["evidence_item_id"])), F.concat(own, F.lit("::")))
+        return F.transform(items, lambda x, i: x.withField("evidence_item_id", F.when(kept(x), x["evidence_item_id"]).otherwise(F.concat(own, F.lit("::e"), i.cast("string")))))
 
-    return F.transform(items, named)
+    return let(rid, named)
 
 
 def items_of(items: Column, *types: str) -> Column:
@@ -257,29 +257,33 @@ def impact(items: Column) -> Column:
 
 def card_signals(items: Column, expression: Column) -> Column:
     """Sorted signals of a card: keyword rules by item type, and over all its texts together."""
-    pool = F.array_join(F.flatten(F.transform(items, lambda x: F.array(strip(_text(x["evidence_quote"])), strip(_text(x["text"]))))), "\n")
+    texts = F.array_join(F.flatten(F.transform(items, lambda x: F.array(strip(_text(x["evidence_quote"])), strip(_text(x["text"]))))), "\n")
     of = lambda x: F.concat(_text(x["text"]), _text(x["evidence_quote"]))
     by_subtype = lambda kind, codes: F.transform(items_of(items, kind), lambda x: F.try_element_at(F.create_map(*[F.lit(v) for p in codes.items() for v in p]), _text(x["subtype"])))
+    said = lambda kind: F.transform(items_of(items, kind), of)
 
     def by_words(kind: str, rules) -> Column:
-        return F.flatten(F.transform(items_of(items, kind), lambda x: F.array(*[F.when(contains_any(of(x), words), F.lit(name)) for name, words in rules])))
+        return F.array_compact(F.flatten(F.transform(said(kind), lambda t: F.array(*[F.when(contains_any(t, words), F.lit(name)) for name, words in rules]))))
 
-    def of_result(x: Column) -> Column:
+    def of_result(t: Column) -> Column:
         found = F.when(F.lit(False), F.lit(None).cast("string"))
         for name, words in RESULT_SIGNALS:
-            found = found.when(contains_any(of(x), words), name)
-        return found.when(strip(of(x)) != "", "positive_result")
+            found = found.when(contains_any(t, words), name)
+        return found.when(strip(t) != "", "positive_result")
+
+    def of_card(pool: Column, problems: Column) -> Column:
+        asked = F.arrays_overlap(problems, F.array(*[F.lit(name) for name, _ in PROBLEM_SIGNALS[:2]]))
+        question = F.when((expression == "question") & ~asked, F.when(contains_any(pool, HOWTO_QUESTION), "howto_uncertainty").otherwise("applicability_question"))
+        return F.concat(problems, F.array(question, *[F.when(contains_any(pool, words), F.lit(name)) for name, words in CARD_SIGNALS]))
 
-    asked = by_words("problem", PROBLEM_SIGNALS[:2])
-    question = F.when((expression == "question") & (F.size(F.array_compact(asked)) == 0), F.when(contains_any(pool, HOWTO_QUESTION), "howto_uncertainty").otherwise("applicability_question"))
     found = F.concat(
         by_subtype("behavior", BEHAVIOR_SIGNALS),
         by_subtype("engagement", ENGAGEMENT_SIGNALS),
         by_subtype("action_gap", GAP_SIGNALS),
-        F.transform(items_of(items, "result"), of_result),
-        by_words("problem", PROBLEM_SIGNALS),
+        F.transform(said("result"), of_result),
         by_words("barrier", BARRIER_SIGNALS),
-        F.array(F.when(expression == "praise", F.lit("gratitude")), question, *[F.when(contains_any(pool, words), F.lit(name)) for name, words in CARD_SIGNALS]),
+        F.array(F.when(expression == "praise", F.lit("gratitude"))),
+        let(texts, lambda pool: let(by_words("problem", PROBLEM_SIGNALS), lambda problems: of_card(pool, problems))),
     )
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
@@ -294,11 +298,10 @@ def new_signals(items: Column, most: int = 5) -> Column:
         lambda x: (x["text"] != "") | (x["quote"] != ""),
     )
     key = lambda x: F.lower(F.regexp_replace(F.when(x["text"] != "", x["text"]).otherwise(x["quote"]), r"(?U)\s+", " "))
-    keys = F.transform(wanted, key)
-    firsts = F.filter(wanted, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    once = lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1))
     return F.slice(
         F.transform(
-            firsts,
+            let(wanted, once),
             lambda x: F.struct(
                 x["type"].alias("type"),
                 F.when(x["text"] != "", x["text"]).otherwise(F.substring(x["quote"], 1, 40)).alias("text"),
@@ -354,17 +357,23 @@ def limited_items(items: Column, priority: Sequence[str]) -> Column:
     rank = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in priority]), _text(x["type"])), F.lit(0)), F.lit(99))
     placed = F.transform(items, lambda x, i: F.struct(rank(x).cast("int").alias("rank"), i.alias("i"), x.alias("item")))
     ordered = F.filter(F.array_sort(placed), lambda p: _text(p["item"]["evidence_quote"]) != "")
-    quotes = F.transform(ordered, lambda p: p["item"]["evidence_quote"])
-    once = F.transform(F.filter(ordered, lambda p, i: F.array_position(quotes, p["item"]["evidence_quote"]) == i + 1), lambda p: p["item"])
-    kind = lambda *names: _has(once, lambda x: x["type"].isin(*names))
-    sub = lambda name: _has(once, lambda x: x["subtype"] == name)
-    complex_ = (
-        (kind("problem") & kind("behavior") & kind("result"))
-        | (sub("sought_paid_help") & sub("paid_but_no_result"))
-        | (kind("quantitative") & kind("problem", "barrier"))
-        | (F.size(F.array_distinct(F.transform(once, lambda x: _text(x["type"])))) >= 4)
-    )
-    return F.slice(once, F.lit(1), F.when(complex_, 4).otherwise(2))
+
+    def once(own: Column) -> Column:
+        quotes = F.transform(own, lambda p: p["item"]["evidence_quote"])
+        return let(quotes, lambda all_of: F.transform(F.filter(own, lambda p, i: F.array_position(all_of, p["item"]["evidence_quote"]) == i + 1), lambda p: p["item"]))
+
+    def first(own: Column) -> Column:
+        kind = lambda *names: _has(own, lambda x: x["type"].isin(*names))
+        sub = lambda name: _has(own, lambda x: x["subtype"] == name)
+        complex_ = (
+            (kind("problem") & kind("behavior") & kind("result"))
+            | (sub("sought_paid_help") & sub("paid_but_no_result"))
+            | (kind("quantitative") & kind("problem", "barrier"))
+            | (F.size(F.array_distinct(F.transform(own, lambda x: _text(x["type"])))) >= 4)
+        )
+        return F.slice(own, F.lit(1), F.when(complex_, 4).otherwise(2))
+
+    return let(let(ordered, once), first)
 
 
 def grounded_items(items: Column, *, self_marks: Sequence[str], other_marks: Sequence[str], action_marks: Sequence[str]) -> Column:
