@@ -360,3 +360,17 @@ def test_similar_texts_in_blocks_with_rare_pairs(spark, monkeypatch):
         assert want and rows(met, "a", "b", "similarity") == want
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "__p#" not in plan and "FlatMapGroupsInArrow" in plan  # no join on shared elements: pairs that only may be alike are never rows
+
+
+def test_research_clusters_count_records_and_users_without_expansion(spark):
+    from threadloom.functions.evidence import ITEM
+    from threadloom.operators import research
+
+    item = lambda scope, sure: ("problem", "t", "q", scope, sure, "", "")
+    made = [("r1", [item("self", "high"), item("other_user", "low")]), ("r2", [item("self", "medium")]), ("r2", [item("self", "high")]), ("r3", [item(None, "low")])]
+    cards = spark.createDataFrame(made, f"record_id string, evidence_items array<{ITEM}>")
+    users = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", ""), ("r9", "z")], "record_id string, user_key string")
+    got = research.research_clusters(cards, users, [])
+    counts = got.select("comments", "users", "own", "general", "others", "high_certainty", "medium_certainty", "refs").collect()
+    assert [tuple(r) for r in counts] == [(3, 4, 2, 0, 1, 2, 1, ["r1::e0"])]  # users a, b, the records r2 and r3
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
