@@ -40,7 +40,7 @@ v AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k, ts::DATE ORDER
 def stream_limits(spark, table):
     """A user's cooldown of six hours, one row a k and day, twenty rows a day: three limits in one stream."""
     with Scratch(spark, "limits") as scratch, limits.rocksdb(spark):
-        events = _events(table)
+        events = _events(table).select("event_id", "user_id", "k", "ts")
         _arrivals(events, f"{scratch.root}/in")
         stream = _stream(spark, f"{scratch.root}/in", events).withWatermark("ts", DELAY)
         cooled = limits.cooled_down(stream, "user_id", "ts", "event_id", 6 * 3600)

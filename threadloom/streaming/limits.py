@@ -4,16 +4,19 @@ Rows wait in the first limit's state until the watermark has passed them; then t
 watermark, and no earlier row can follow. So what limits let through depends neither on how the input was cut into batches
 nor on restarts: state and timers come back from the checkpoint. State goes when it can no longer matter. Limits follow one
 another as stateful operators of one query, and each counts what it lets through itself.
+
+Keys share ``BUCKETS`` states by their hash, each with one timer: a call to the state store serves all keys of a bucket, not
+one key, and rows wait as frames, not one by one. In frames a row is JSON, as pandas has no integers with nulls.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +24,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Where a session's streams must keep the state of this kind of operator.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: States of an operator; a checkpoint keeps to the number it was begun with.
+BUCKETS = 256
+
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
@@ -37,81 +43,109 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 #: The time at which a row was decided: the watermark of that moment.
 DECIDED = "decided"
 
+#: Times in rows as JSON keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+#: What limits need of a row: itself, its key as text, its time in microseconds, and what decides between equal times.
+FRAME = ["row", "key", "at", "id"]
+
 
 class _InOrder(StatefulProcessor):
-    """Rows of a key in the order of (time, id): once the watermark has passed them, or at once if they are decided already."""
+    """Rows of each key of a bucket in the order of (time, id): once the watermark has passed them, or at once if they are decided already."""
 
-    def __init__(self, schema: T.StructType, out: T.StructType, at: str, order: str, cooldown: int | None, most: int | None):
-        self.schema, self.out, self.at, self.order, self.cooldown, self.most = schema, out, at, order, cooldown, most
-        self.waits = DECIDED not in schema.names
+    def __init__(self, waits: bool, cooldown: int | None, most: int | None):
+        self.waits, self.cooldown, self.most = waits, cooldown, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         if self.waits:
-            self.waiting = handle.getListState("waiting", self.schema)
-        self.passed = handle.getValueState("passed", T.StructType([T.StructField("last", T.LongType()), T.StructField("n", T.LongType())]))
-
-    def _time(self, row: tuple) -> int:
-        return int(round(row[self.schema.names.index(self.at)].timestamp() * 1_000_000))
-
-    def _rank(self, row: tuple) -> tuple:
-        return self._time(row), row[self.schema.names.index(self.order)]
-
-    def _let_through(self, due: list[tuple], now: int, idle: bool) -> Iterator[Row]:
-        last, n = self.passed.get() if self.passed.exists() else (None, 0)
-        before = n
-        for r in due:
-            t = self._time(r)
-            if (self.cooldown is None or last is None or t - last >= self.cooldown * 1_000_000) and (self.most is None or n < self.most):
-                last, n = t, n + 1
-                yield Row(*self.out.names)(*r[: len(self.out.names) - 1], datetime.fromtimestamp(now / 1000))
-        if last is None:
-            return
+            self.waiting = handle.getListState("waiting", "rows binary")
+        self.passed = handle.getValueState("passed", "keys binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _sorted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["at", "id"], kind="stable")
+
+    def _let_through(self, due: pd.DataFrame, now: int) -> tuple[pd.DataFrame, int | None]:
+        """The rows that pass, marked; the time, in milliseconds, when nothing of what was kept of the keys matters any more."""
+        known: dict[str, tuple[int, int]] = pickle.loads(self.passed.get()[0]) if self.passed.exists() else {}
+        cooldown, kept = None if self.cooldown is None else self.cooldown * 1_000_000, []
+        for key, t in zip(due["key"].tolist(), due["at"].tolist(), strict=True):
+            last, n = known.get(key, (None, 0))
+            passes = (cooldown is None or last is None or t - last >= cooldown) and (self.most is None or n < self.most)
+            if passes:
+                known[key] = t, n + 1
+            kept.append(passes)
         # a cooldown that is over, or a day that is, needs no memory
-        end = last // 1000 + (self.cooldown * 1000 if self.cooldown is not None else 2 * 86_400_000)
-        if idle and end <= now:
+        live = cooldown if cooldown is not None else 2 * 86_400_000_000
+        known = {k: v for k, v in known.items() if v[0] + live > now * 1000}
+        if known:
+            self.passed.update((pickle.dumps(known),))
+        elif self.passed.exists():
             self.passed.clear()
-            return
-        if n != before:
-            self.passed.update((last, n))
-        if idle:
-            self.handle.registerTimer(end + 1)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = due["row"][kept].reset_index(drop=True)
+        passed = pd.DataFrame({"row": rows, DECIDED: pd.Series(pd.Timestamp(now, unit="ms", tz="UTC"), index=rows.index, dtype="datetime64[ns, UTC]")})
+        return passed, max(t for t, _ in known.values()) // 1000 + live // 1000 + 1 if known else None
+
+    def _wake(self, at: int | None) -> None:
+        """One timer a bucket: whatever else is due is handled with it. Others that were set before are passed over."""
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         if not self.waits:
-            own = map(tuple, rows)
-            yield from self._let_through(sorted(own, key=self._rank) if self.most is None else heapq.nsmallest(self.most, own, key=self._rank), now, True)
+            frames = [f if self.most is None else self._sorted(f).groupby("key", sort=False).head(self.most) for f in rows]
+            passed, end = self._let_through(self._sorted(pd.concat(frames)), now)
+            before = self.timer.get()[0] if self.timer.exists() else None
+            if end is not None and (before is None or before <= now):
+                self._wake(end)
+            yield passed
             return
-        first, held = None, []
-        for r in map(tuple, rows):
-            first = min(self._time(r), first if first is not None else self._time(r))
-            held.append(r)
-            if len(held) >= 10_000:
-                self.waiting.appendList(held)
-                held = []
-        if held:
-            self.waiting.appendList(held)
-        if first is not None:  # one timer a key and batch: whatever else is due is handled with it
-            self.handle.registerTimer(max(first // 1000, now) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first = None
+        for frame in rows:
+            least = int(frame["at"].min())
+            first = least if first is None else min(first, least)
+            self.waiting.appendValue((pickle.dumps(frame[FRAME]),))
+        before = self.timer.get()[0] if self.timer.exists() else None
+        at = max(first // 1000, now) + 1
+        if before is None or at < before:
+            self._wake(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        own = list(self.waiting.get()) if self.waits and self.waiting.exists() else []
-        due = sorted((r for r in own if self._time(r) // 1000 < now), key=self._rank)
-        rest = [r for r in own if self._time(r) // 1000 >= now]
-        yield from self._let_through(due, now, not rest)
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(map(self._time, rest)) // 1000 + 1)
-        elif own:
-            self.waiting.clear()
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        held = [pickle.loads(f) for (f,) in self.waiting.get()] if self.waits and self.waiting.exists() else []
+        own = pd.concat(held) if held else pd.DataFrame(columns=FRAME)
+        is_due = own["at"] // 1000 < now
+        rest = own[~is_due]
+        passed, end = self._let_through(self._sorted(own[is_due]), now)
+        if len(rest):
+            self.waiting.put([(pickle.dumps(rest),)])
+            self._wake(int(rest["at"].min()) // 1000 + 1)
+        else:
+            if held:
+                self.waiting.clear()
+            self._wake(end)
+        if len(passed):
+            yield passed
 
 
 def _limited(stream: DataFrame, keys: Sequence[str], at: str, order: str, cooldown: int | None, most: int | None) -> DataFrame:
-    out = stream.schema if DECIDED in stream.columns else T.StructType([*stream.schema.fields, T.StructField(DECIDED, T.TimestampType())])
-    processor = _InOrder(stream.schema, out, at, order, cooldown, most)
-    return stream.groupBy(*keys).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime", eventTimeColumnName=DECIDED)
+    waits = DECIDED not in stream.columns
+    row = F.struct(*[c for c in stream.columns if c != DECIDED])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    own = stream.select(F.col(at if waits else DECIDED).alias("time"), F.to_json(row, _JSON).alias("row"), F.to_json(F.struct(*keys)).alias("key"), F.unix_micros(at).alias("at"), F.col(order).alias("id"), bucket.alias("bucket"))
+    out = T.StructType([own.schema["row"], T.StructField(DECIDED, T.TimestampType())])
+    shape = T.StructType([f for f in stream.schema.fields if f.name != DECIDED])
+    limited = own.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_InOrder(waits, cooldown, most), outputStructType=out, outputMode="append", timeMode="eventTime", eventTimeColumnName=DECIDED
+    )
+    return limited.select(F.from_json("row", shape, _JSON).alias("row"), DECIDED).select("row.*", DECIDED)
 
 
 def cooled_down(stream: DataFrame, key: str, at: str, order: str, seconds: int) -> DataFrame:
@@ -125,8 +159,6 @@ def capped_per_day(stream: DataFrame, key: str | None, at: str, order: str, most
     Rows are capped in ``spread`` parts of a key first, so that what meets in one place is that many times the cap at most.
     """
     own = stream.withColumns({"__day": F.to_date(at), "__part": F.pmod(F.xxhash64(order), F.lit(spread)).cast("int")})
-    if DECIDED in own.columns:
-        own = own.select(*[c for c in own.columns if c != DECIDED], DECIDED)
     keys = [*([key] if key else []), "__day"]
     parts = _limited(own, [*keys, "__part"], at, order, None, most) if spread > 1 else own
     return _limited(parts, keys, at, order, None, most).drop("__day", "__part")
