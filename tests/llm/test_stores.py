@@ -159,3 +159,14 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(1500)]
     got = TS.Encoder(tokenizer_file(), most_pieces=50).encode(texts)
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e[:-1] for e in expected_ids(texts)]
+
+
+def test_new_words_meet_the_model_alone_and_their_signs_once():
+    encoder, wholes = TS.Encoder(tokenizer_file()), []
+    whole = encoder.whole
+    encoder.whole = lambda piece: wholes.append(piece) or whole(piece)
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) + sign for k in range(1000) for sign in ("***", ",.", "")]
+    texts = [" ".join(words), "\n".join(words), "  ".join(words)]
+    got = list(encoder.encode(texts)) + list(encoder.encode(texts))
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e[:-1] for e in expected_ids(texts * 2)]
+    assert len(wholes) < 20

@@ -23,9 +23,12 @@ from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -169,25 +172,32 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizers file, as little-endian u32 bytes.
 
     Its pre-tokenizer always breaks before a single space between two other characters, around a single line feed between
-    two such, and between letters and the signs that follow them. A text is cut there and each distinct piece is encoded
-    once, letters by the library's model alone, the rest by the whole tokenizer; the result is that of encoding the text.
+    two such, and between letters and the signs that follow them. Texts are cut there by Arrow, some millions of characters
+    at once, and their pieces numbered; each new piece is encoded once, letters by the library's model alone, the rest by
+    the whole tokenizer, and the ids of the texts are taken by number. The result is that of encoding the texts.
     """
 
     #: White space but for the space and the line feed, and neighbours that make a break depend on more than one character.
     _OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
     _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
+    #: Signs that never go with the letters before them: all of ASCII but the apostrophe.
+    _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    #: Characters that are cut at once.
+    _AT_ONCE = 12_000_000
 
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str, most_pieces: int = 800_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        letters = dict(enumerate(_byte_letters()))
-        self._later = _Pieces(self, " ", letters, most_pieces)
-        self._first = _Pieces(self, "", letters, most_pieces)
-        self._later.other = self._first.other = self._first
+        self._letters = dict(enumerate(_byte_letters()))
+        self._space = self._letters[ord(" ")]
+        self._most = most_pieces
+        self._feed = self.whole("\n")
+        self._known = pa.array([], pa.large_string())
+        self._ids, self._ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def vocabulary(self) -> int:
         return self._tokenizer.get_vocab_size(with_added_tokens=True)
@@ -198,52 +208,77 @@ class Encoder:
     def special_in(self, text: str) -> bool:
         return any(s in text for s in self._special)
 
-    def model_ids(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, feed, first, later = [], self._first["\n"], self._first.__getitem__, self._later.__getitem__
-        for t in texts:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            upto, held = at, 0
+            while upto < len(texts) and held < self._AT_ONCE:
+                held += len(texts[upto])
+                upto += 1
+            yield from self._together(texts[at:upto])
+            at = upto
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of these texts. Each is cut as if behind a line feed, whose ids are left out again."""
+        plain, odd, cuts = [], [], []
+        for k, t in enumerate(texts):
             if any(c in t for c in self._OTHER_SPACE) or any(c in t for c in self._JOINED_SPACE) or self.special_in(t):
-                pieces = self._SAFE.split(t)
-                out.append(self._first[pieces[0]] + b"".join(map(later, pieces[1:])))
+                odd.append(k)
+                cuts.append(self._SAFE.split("\n" + t))
             else:
-                lines = []
-                for line in t.split("\n"):
-                    pieces = line.split(" ")
-                    lines.append(first(pieces[0]) + b"".join(map(later, pieces[1:])))
-                out.append(feed.join(lines))
-            self._later.age()
-            self._first.age()
+                plain.append(k)
+        cut = pc.split_pattern(pa.array([("\n" + texts[k]).replace("\n", " \n")[1:] for k in plain], pa.large_string()), " ")
+        ids, ends = self._by_number([cut.flatten(), pa.array([x for c in cuts for x in c], pa.large_string())])
+        bounds = ends[np.concatenate([[0], np.cumsum([*np.diff(cut.offsets.to_numpy()), *map(len, cuts)])])].tolist()
+        out = [b""] * len(texts)
+        for k, first, last in zip([*plain, *odd], bounds, bounds[1:]):
+            out[k] = ids[first + len(self._feed) // 4 : last].tobytes()
         return out
 
+    def _by_number(self, pieces: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces and their ends; pieces not known yet are learnt, those long unused and long ones forgotten."""
+        had = len(self._known)
+        coded = pa.chunked_array([self._known, *pieces]).combine_chunks().dictionary_encode()
+        self._known, numbers = coded.dictionary, coded.indices[had:].to_numpy()
+        ids, ends = self._new(self._known[had:].to_numpy(zero_copy_only=False).tolist())
+        self._ids, self._ends = np.concatenate([self._ids, ids]), np.concatenate([self._ends, self._ends[-1] + ends[1:]])
+        found = _ragged(self._ids, self._ends, numbers)
+        if len(self._known) > self._most or self._known.nbytes > 64 * self._most:
+            used = np.unique(numbers)
+            used = used[pc.utf8_length(self._known.take(pa.array(used))).to_numpy() <= 64]
+            self._known = self._known.take(pa.array(used))
+            self._ids, self._ends = _ragged(self._ids, self._ends, used)
+        return found
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and their ends: behind a line feed if they begin with one, else behind a space; signs behind letters go by themselves."""
+        parts: list[str] = []
+        for piece in pieces:
+            feed, led = ("\n", piece[1:]) if piece[:1] == "\n" else ("", " " + piece)
+            stem = led.rstrip(self._SIGNS)
+            if not stem.removeprefix(" ").isalpha():
+                stem = led
+            parts += (feed, stem, led[len(stem) :])
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        ids, ends, tokenize = array("I"), [0], self._model.tokenize
+        for part in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            if part.removeprefix(" ").isalpha():
+                letters = part.replace(" ", self._space) if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
+                ids.extend([t.id for t in tokenize(letters)])
+            else:
+                ids.frombytes(self.whole(part))
+            ends.append(len(ids))
+        found, upto = _ragged(np.array(ids, dtype="<u4"), np.array(ends), coded.indices.to_numpy())
+        return found, upto[::3]
 
-class _Pieces(dict):
-    """Ids of pieces with one lead (a space or nothing), learnt when first asked for; the long unused are forgotten."""
-
-    other: _Pieces
-
-    def __init__(self, owner: Encoder, lead: str, letters: dict[int, str], most: int):
-        self._owner, self._lead, self._letters, self._most, self._old = owner, lead, letters, most, {}
-        self._ascii_lead = lead.translate(letters)
-
-    def age(self) -> None:
-        if len(self) > self._most:
-            self._old = dict(self)
-            self.clear()
 
-    def __missing__(self, piece: str) -> bytes:
-        data = self._old.get(piece)
-        if data is None:
-            if piece.isalpha():
-                lead = self._ascii_lead + piece if piece.isascii() else (self._lead + piece).encode().decode("latin-1").translate(self._letters)
-                data = self._owner.model_ids(lead)
-            elif piece and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-                data = self[piece[:-1]] + self.other[piece[-1]]
-            else:
-                data = self._owner.whole(self._lead + piece)
-        self[piece] = data
-        return data
+def _ragged(values: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of these numbers one after another, number k from ends[k] to ends[k + 1], and their ends from 0 on."""
+    sizes = np.diff(ends)[numbers]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat(ends[:-1][numbers] - upto[:-1], sizes)
+    places += np.arange(upto[-1])
+    return values[places], upto
 
 
 _encoders: dict[str, Encoder] = {}
@@ -287,10 +322,11 @@ def _packed(docs: DataFrame, tokenizer_path: str, root: str, scratch: Scratch, e
         part = TaskContext.get().partitionId()
         uri, pack, encode_texts, placed, row = f"{loose}/{part:06d}-{uuid.uuid4().hex[:8]}.pack", None, encoder(tokenizer_path).encode, {}, 0
         for pdf in batches:
+            encoded = encode_texts([t if isinstance(t, str) else "" for t in pdf["text"]])
             for at in range(0, len(pdf), 256):
                 own = pdf.iloc[at : at + 256]
                 out = []
-                for data in encode_texts([t if isinstance(t, str) else "" for t in own["text"]]):
+                for data in islice(encoded, len(own)):
                     ids = np.frombuffer(data + end, dtype="<u4")
                     refs, start = [], 0
                     for stop in cut_points(ids):
