@@ -226,6 +226,29 @@ def test_vocabulary_of_several_parts_equals_brute_force(spark):
     assert vocabulary.document_frequency(df.limit(0), F.col("t"), ["a"]).collect() == [("a", 0, 0)] and vocabulary.document_frequency(df, F.col("t"), []).collect() == []
 
 
+def test_vocabulary_beyond_a_million_characters_is_one_scan(spark):
+    tokens = spark.range(150_000).select(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit("é世z")).alias("token"))
+    df = spark.createDataFrame([("xw000000007é世zw000149999é 世Z",), ("w000000007é",), (None,)], "t string")
+    assert len(vocabulary._parts(tokens.withColumn("needle", F.col("token")), vocabulary.PART_CHARS)) == 1
+    got = vocabulary.document_frequency(df, F.col("t"), tokens)
+    assert sorted(r["token"] for r in got.where("hits = 1").collect()) == ["w000000007é世z", "w000149999é世z"] and got.count() == 150_000
+
+
+def test_needles_equal_brute_force(monkeypatch):
+    import random
+
+    from threadloom.operators import needles
+
+    monkeypatch.setattr(needles, "BLOCK", 64)
+    rng = random.Random(1)
+    for most in (200, 30, 30, 30):  # texts longer than a block and shorter ones
+        texts = ["".join(rng.choices("abcé\0世\U0001f600", k=rng.randint(0, most))) for _ in range(60)] + [None, ""]
+        for n in (0, 1, 5, 200):
+            asked = sorted({"".join(rng.choices("abcé\0世\U0001f600", k=rng.randint(1, 6))) for _ in range(n)})
+            got = [(int(a), asked[b]) for at, found in needles.Needles(asked).in_texts(texts) for a, b in zip(at, found)]
+            assert sorted(got) == sorted((k, x) for k, t in enumerate(texts) if t for x in asked if x in t)
+
+
 def test_scenarios_name_tokens_and_quotes(spark):
     said = ["how to fix WiFi", "wi fi broken", "tea"] + ["nothing here"] * 60
     rows_ = [(i, f"u{i % 4}" if i else None, "v", t) for i, t in enumerate(said)]
