@@ -2,6 +2,7 @@
 
 import hashlib
 import tarfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -161,6 +162,24 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e[:-1] for e in expected_ids(texts)]
 
 
+def test_texts_are_drawn_and_cut_some_millions_of_characters_at_once():
+    rng = np.random.default_rng(4)
+    words = np.array(["w%d" % k for k in range(20_000)])
+    texts, drawn = [" ".join(rng.choice(words, 50_000)) for _ in range(40)], []
+    encoder = TS.Encoder(tokenizer_file())
+    tracemalloc.start()
+    try:
+        got = encoder.encode(drawn.append(k) or t for k, t in enumerate(texts))
+        sizes = [len(next(got))]
+        assert len(drawn) < 15
+        sizes += map(len, got)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60e6 and len(drawn) == 40
+    assert sizes == [4 * len(e) - 4 for e in expected_ids(texts)]
+
+
 def test_new_words_meet_the_model_alone_and_their_signs_once():
     encoder, wholes = TS.Encoder(tokenizer_file()), []
     whole = encoder.whole

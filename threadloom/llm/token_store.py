@@ -21,7 +21,7 @@ import uuid
 import zlib
 from array import array
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -183,10 +183,10 @@ class Encoder:
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
     #: Signs that never go with the letters before them: all of ASCII but the apostrophe.
     _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-    #: Characters that are cut at once.
-    _AT_ONCE = 12_000_000
+    #: Characters that are cut at once; a worker needs some 20 bytes of memory for each of them.
+    _AT_ONCE = 3_000_000
 
-    def __init__(self, path: str, most_pieces: int = 800_000):
+    def __init__(self, path: str, most_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -208,15 +208,17 @@ class Encoder:
     def special_in(self, text: str) -> bool:
         return any(s in text for s in self._special)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            upto, held = at, 0
-            while upto < len(texts) and held < self._AT_ONCE:
-                held += len(texts[upto])
-                upto += 1
-            yield from self._together(texts[at:upto])
-            at = upto
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text in turn; no more texts are drawn than are cut at once."""
+        drawn, held = [], 0
+        for t in texts:
+            drawn.append(t)
+            held += len(t)
+            if held >= self._AT_ONCE:
+                yield from self._together(drawn)
+                drawn, held = [], 0
+        if drawn:
+            yield from self._together(drawn)
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Ids of these texts. Each is cut as if behind a line feed, whose ids are left out again."""
@@ -292,6 +294,8 @@ def encoder(path: str) -> Encoder:
 
 
 RECIPE = "uid long, pack int, n_tokens long, root binary, refs array<struct<hash:binary,uri:string,frame:int,at:int,n:int>>"
+_REF = pa.struct([("hash", pa.binary()), ("uri", pa.string()), ("frame", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
+_RECIPE = {"uid": pa.int64(), "pack": pa.int32(), "n_tokens": pa.int64(), "root": pa.binary(), "refs": pa.list_(_REF)}
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, root: str | None = None, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -318,13 +322,13 @@ def _packed(docs: DataFrame, tokenizer_path: str, root: str, scratch: Scratch, e
     width = "<u2" if encoder(tokenizer_path).vocabulary() <= 1 << 16 else "<u4"
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         uri, pack, encode_texts, placed, row = f"{loose}/{part:06d}-{uuid.uuid4().hex[:8]}.pack", None, encoder(tokenizer_path).encode, {}, 0
-        for pdf in batches:
-            encoded = encode_texts([t if isinstance(t, str) else "" for t in pdf["text"]])
-            for at in range(0, len(pdf), 256):
-                own = pdf.iloc[at : at + 256]
+        for batch in batches:
+            encoded = encode_texts(t.as_py() or "" for t in batch["text"])
+            for at in range(0, batch.num_rows, 256):
+                own = batch["doc_id"].slice(at, 256)
                 out = []
                 for data in islice(encoded, len(own)):
                     ids = np.frombuffer(data + end, dtype="<u4")
@@ -338,14 +342,12 @@ def _packed(docs: DataFrame, tokenizer_path: str, root: str, scratch: Scratch, e
                         start = stop
                     out.append(((part << 36) | row, part, len(ids), merkle_root([r["hash"] for r in refs]), refs))
                     row += 1
-                frame = pd.DataFrame(out, columns=["uid", "pack", "n_tokens", "root", "refs"])
-                frame.insert(0, "doc_id", own["doc_id"].to_numpy())
-                yield frame
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RECIPE.values(), strict=True))], ["doc_id", *_RECIPE])
         if pack:
             pack.close()
         give_back()
 
-    drafts = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, f"doc_id {id_type}, {RECIPE}"), "drafts")
+    drafts = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {id_type}, {RECIPE}"), "drafts")
     uses = drafts.select("uid", "pack", F.posexplode("refs").alias("seq", "ref")).select("uid", "pack", "seq", "ref.*")
     owners = uses.groupBy("hash").agg(F.min("pack").alias("pack"))
     owned = uses.select("hash", "pack", "uri", "frame", "at", "n").dropDuplicates(["hash", "pack"]).join(owners, ["hash", "pack"], "left_semi")
