@@ -6,6 +6,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
@@ -171,15 +172,29 @@ def test_texts_are_drawn_and_cut_some_millions_of_characters_at_once():
     try:
         got = encoder.encode(drawn.append(k) or t for k, t in enumerate(texts))
         sizes = [len(next(got))]
-        assert len(drawn) < 15
+        assert len(drawn) < 8
         sizes += map(len, got)
         most = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert most < 60e6 and len(drawn) == 40
+    assert most < 40e6 and len(drawn) == 40
     assert sizes == [4 * len(e) - 4 for e in expected_ids(texts)]
 
 
+def test_small_batches_last_as_long_as_asked(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, rows = spark.conf.get(name), spark.range(0, 8_000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    with pytest.raises(ValueError, match="end"), TS.small_batches(spark):
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 3 << 20
+        raise ValueError("end")
+    assert spark.conf.get(name) == before
+
+
 def test_new_words_meet_the_model_alone_and_their_signs_once():
     encoder, wholes = TS.Encoder(tokenizer_file()), []
     whole = encoder.whole

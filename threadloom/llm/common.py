@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql.column import Column
 
 from threadloom.scratch import Scratch, fresh_path
 
-__all__ = ["WORD", "Scratch", "crc_mod", "doc_columns", "fresh_path", "give_back", "table", "utf8"]
+__all__ = ["WORD", "Scratch", "crc_mod", "doc_columns", "fresh_path", "give_back", "small_batches", "table", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +43,18 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> Iterator[None]:
+    """Tables that are written within it go to Python and back in batches of some megabytes, whatever the length of their rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def utf8(text: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")

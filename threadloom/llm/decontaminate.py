@@ -185,8 +185,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
 
 def _without_matches(shared):
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
+        give_back()
 
     return clean
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Scratch, give_back
+from threadloom.llm.common import Scratch, give_back, small_batches
 from threadloom.llm.files import Ranges, Writer, make_dir, remove_dir
 from threadloom.scratch import result_path
 
@@ -184,9 +184,9 @@ class Encoder:
     #: Signs that never go with the letters before them: all of ASCII but the apostrophe.
     _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
     #: Characters that are cut at once; a worker needs some 20 bytes of memory for each of them.
-    _AT_ONCE = 3_000_000
+    _AT_ONCE = 1_500_000
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -347,7 +347,8 @@ def _packed(docs: DataFrame, tokenizer_path: str, root: str, scratch: Scratch, e
             pack.close()
         give_back()
 
-    drafts = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {id_type}, {RECIPE}"), "drafts")
+    with small_batches(docs.sparkSession):
+        drafts = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {id_type}, {RECIPE}"), "drafts")
     uses = drafts.select("uid", "pack", F.posexplode("refs").alias("seq", "ref")).select("uid", "pack", "seq", "ref.*")
     owners = uses.groupBy("hash").agg(F.min("pack").alias("pack"))
     owned = uses.select("hash", "pack", "uri", "frame", "at", "n").dropDuplicates(["hash", "pack"]).join(owners, ["hash", "pack"], "left_semi")
@@ -453,7 +454,8 @@ def read_store(spark: SparkSession, root: str, *, with_ids: bool = False) -> Dat
     near = recipes.select("doc_id", "uid", "nth", "start", "n_tokens", "root", "refs").repartitionByRange("uid").sortWithinPartitions("uid")
     fields = f"doc_id {id_type}, uid long, nth long, start long, n_tokens long, root binary, ids_crc32 long" + ", ids array<long>" * with_ids
     with Scratch(spark, "token-rows") as scratch:
-        documents = scratch.result(near.mapInPandas(read, fields))
+        with small_batches(spark):
+            documents = scratch.result(near.mapInPandas(read, fields))
         tree, manifest = merkle_tree(_leaves(documents), scratch), spark.read.parquet(f"{root}/manifest")
         differing = tree.exceptAll(manifest).limit(1).count() + manifest.select(tree.columns).exceptAll(tree).limit(1).count()
         if differing:
