@@ -2,6 +2,7 @@ import json
 import math
 import statistics
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.functions import evidence as V
@@ -301,6 +302,36 @@ def test_a_dictionary_beyond_what_is_held_is_looked_for_in_parts(spark):
     assert "Generate" not in with_generate  # no row a place and length of a text
 
 
+def test_a_held_dictionary_gives_the_words_of_the_trie(spark):
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    for k in range(8):
+        own = "abcdé漢𐐨"[: rng.randint(2, 7)]
+        costs = {"".join(rng.choices(own, k=rng.randint(1, 6))): rng.choice([1, 2, 3, 100, 101, 102, rng.randint(0, 16_000_000)]) for _ in range(rng.randint(0, 40))}
+        unknown = segment.unknown_cost(max(costs.values(), default=0))
+        [pieces] = segment._pieces(iter([pa.RecordBatch.from_arrays([pa.array(list(costs), pa.string()), pa.array(list(costs.values()), pa.int64())], ["word", "cost"])]))
+        model = segment.model_of(pieces.column(0).to_pylist(), [w for w in costs if len(w) == 1], unknown)
+        held, top = segment.Held((model, unknown, sorted({len(w) for w in costs}))), segment.trie(list(costs.items()))
+        for n in (0, 1, 7, 60, 900, 12_000 if k % 4 == 0 else 90):  # the longest cost far more than 2**24
+            t = "".join(rng.choices(own + "z", k=n))
+            t = t if n % 20 else f"-{t[:20]}, _{t[20:50]}\n{t[50:]} "
+            want = [w for r in re.findall(r"\w+", t) for w in segment.cheapest(r, top, unknown)]
+            words, counts = held.counts([t, None])
+            assert held.words(t) == want and dict(zip(words, counts.tolist(), strict=True)) == Counter(want)
+
+
+def test_a_dictionary_of_millions_of_characters_is_walked_at_once(spark):
+    words = spark.range(250_000).select(F.lpad(F.lower(F.conv("id", 10, 36)), 10, "0").alias("word"), (F.col("id") % 7 + 900).alias("cost"))
+    df = spark.createDataFrame([("00000000zz00000012AB-00000012abq",), (None,)], "t string")
+    got = segment.segmented_counts(df, F.col("t"), words)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # no scan for each part of it, no table of places
+    assert rows(got, "word", "n") == [("00000000zz", 1), ("00000012ab", 2), ("q", 1)]
+
+
 def test_twenty_families_are_dealt_once_each_key(spark):
     import random
 
